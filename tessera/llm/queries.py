@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query to module.
 WHERE = {
+    "op2_mixing": "mixing",
     "op5_chat_formatting": "chat",
     "op8_sampled_sharding": "sharding",
 }
