@@ -8,6 +8,7 @@ from importlib import import_module
 WHERE = {
     "op2_mixing": "mixing",
     "op5_chat_formatting": "chat",
+    "op6_fingerprints": "fingerprints",
     "op8_sampled_sharding": "sharding",
 }
 
