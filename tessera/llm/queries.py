@@ -9,6 +9,7 @@ WHERE = {
     "op2_mixing": "mixing",
     "op5_chat_formatting": "chat",
     "op6_fingerprints": "fingerprints",
+    "op7_pii": "pii",
     "op8_sampled_sharding": "sharding",
 }
 
