@@ -11,6 +11,7 @@ WHERE = {
     "op6_fingerprints": "fingerprints",
     "op7_pii": "pii",
     "op8_sampled_sharding": "sharding",
+    "op10_vector_near_duplicates": "neardup_vectors",
 }
 
 
