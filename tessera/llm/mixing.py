@@ -115,7 +115,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
     sources = written(targets(sizes, weights, share, most), "mix-sources")
     f, s = fragments(placed(docs), block).alias("f"), slots(sources, block, shard_slots).alias("s")
     same = F.col("f.block").eqNullSafe(F.col("s.block")) & F.col("f.source").eqNullSafe(F.col("s.source")) & (F.col("f.lo") < F.col("s.take"))
-    taken = f.join(s, same).select("f.row", "f.word", "f.lo", "f.hi", "s.shard", "s.place", (F.least("f.hi", "s.take") - F.col("f.lo")).alias("words"))
+    # both sides grow with the words, and the number of generated slots isn't in Spark's estimate: merge, never broadcast
+    taken = f.join(s.hint("merge"), same).select("f.row", "f.word", "f.lo", "f.hi", "s.shard", "s.place", (F.least("f.hi", "s.take") - F.col("f.lo")).alias("words"))
     return sources, taken
 
 
