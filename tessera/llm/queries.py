@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query to module.
 WHERE = {
     "op2_mixing": "mixing",
+    "op3_quality": "quality",
     "op4_best_fit_packing": "packing",
     "op5_chat_formatting": "chat",
     "op6_fingerprints": "fingerprints",
