@@ -13,6 +13,7 @@ WHERE = {
     "op6_fingerprints": "fingerprints",
     "op7_pii": "pii",
     "op8_sampled_sharding": "sharding",
+    "op9_toxicity": "toxicity",
     "op10_vector_near_duplicates": "neardup_vectors",
 }
 
