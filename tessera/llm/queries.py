@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query to module.
 WHERE = {
+    "op1_ngram_join": "ngram_join",
     "op2_mixing": "mixing",
     "op3_quality": "quality",
     "op4_best_fit_packing": "packing",
