@@ -40,7 +40,7 @@ def _probes() -> str:
 def with_fingerprint(df: DataFrame, text: str, out: str, words: int = WORDS) -> DataFrame:
     """Adds ``out``: array of BINS bytes (int), or null for a text without words. Steps are columns of their own, since an
     expression inside a lambda would be computed for each element."""
-    keep = df.columns
+    keep = [F.col(f"`{c}`") for c in df.columns]
     df = df.withColumn("_h", F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
     h = F.col("_h")
     n = F.size(h)

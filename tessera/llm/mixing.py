@@ -120,15 +120,36 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
     return sources, taken
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Adds row, which tells repeated rows apart and doesn't depend on where a row is stored."""
-    key = [F.col("doc_id"), F.xxhash64("text"), F.col("source")]
-    return docs.withColumn("row", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)], F.row_number().over(W.partitionBy(*key).orderBy("doc_id")).alias("n")))
+def numbered(docs: DataFrame, key: list[str]) -> DataFrame:
+    """Adds row: the key columns and a number that tells rows with the same key apart; it doesn't depend on where a row is stored."""
+    return docs.withColumn("row", F.struct(*key, F.row_number().over(W.partitionBy(*key).orderBy(key[0])).alias("n")))
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The documents as the mix takes them: each text becomes its taken words with the spaces after them, first those
+    that any pass takes, then those that a second pass takes again; documents of which nothing is taken go. n_chars
+    follows the text where there is such a column. For documents, at most two uses of a block, so ``most`` stays 2."""
+    key = F.struct(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    slim = docs.select(key.alias("key"), "source", n_words(text_of()).alias("size"))
+    rows = written(numbered(slim, ["key"]), "mix-docs")
+    _, taken = mix(rows.select("row", "source", "size"), **params)
+    per = taken.groupBy("row", "word").agg(F.max("words").alias("once"), (F.sum("words") - F.max("words")).alias("again"))
+    per = per.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "once", "again"))).alias("_frags")).withColumn("_key", F.col("row.key"))
+    full = docs.withColumn("_key", key)
+    if (rows.agg(F.max("row.n").alias("n")).first()["n"] or 1) > 1:  # rows that repeat: each takes its own words from one of them
+        full = full.dropDuplicates(["_key"])
+    full = full.join(per, "_key").withColumn("_words", F.regexp_extract_all(text_of(), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
+    use = lambda n: F.flatten(F.transform("_frags", lambda f: F.slice(F.col("_words"), (f["word"] + 1).cast("int"), f[n].cast("int"))))
+    once, again = F.array_join(use("once"), ""), F.array_join(use("again"), "")
+    full = full.withColumn("text", F.when(F.length(again) > 0, F.concat_ws("\n", once, again)).otherwise(once))
+    if "n_chars" in docs.columns:
+        full = full.withColumn("n_chars", F.length("text"))
+    return full.drop("_key", "_frags", "_words", "row")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text_of()).alias("size"), F.xxhash64("text").alias("text"))
-    rows = written(numbered(slim).drop("text"), "mix-docs")
+    rows = written(numbered(slim, ["doc_id", "text", "source"]).drop("text"), "mix-docs")
     sources, taken = mix(rows.select("row", "source", "size"))
     per = taken.groupBy("row").agg(F.sum("words").cast("long").alias("taken"))
     out = rows.join(per, "row", "left").alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))

@@ -91,7 +91,7 @@ def _passes(kind: str, s: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base and more: arrays of spans (kind, start, end, text, before, after, check); more: those that touch no base span."""
-    keep = docs.columns
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     df = docs.withColumn("_t", text_of(text)).withColumn("_digit", F.col("_t").rlike("[0-9]"))
     for kind, pattern in (BASE | MORE).items():
         gate = F.contains(F.col("_t"), F.lit(NEEDS[kind])) if kind in NEEDS else F.col("_digit")

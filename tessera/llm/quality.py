@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
     return fitted(x[is_p], x[~is_p])
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of the documents and score."""
+def scored(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
+    """All columns of the documents and ``out``, the score of their text."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,18 +176,18 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             else:
                 yield pd.DataFrame({"score": model.score(np.array([measures(t or "") for t in pdf["text"]]))})
 
-    return with_scores(docs, add)
+    return with_scores(docs, add, out)
 
 
-def with_scores(docs: DataFrame, add) -> DataFrame:
-    """Adds ``score`` by a vectorised function of the text."""
+def with_scores(docs: DataFrame, add, out: str = "score") -> DataFrame:
+    """Adds ``out`` by a vectorised function of the text."""
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for out in add(pd.DataFrame({"text": t}) for t in texts):
-            yield out["score"]
+        for done in add(pd.DataFrame({"text": t}) for t in texts):
+            yield done["score"]
 
-    return docs.withColumn("score", score(F.col("text")))
+    return docs.withColumn(out, score(F.col("text")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,12 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     return fitted([np.asarray(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"score": model.score([t or "" for t in pdf["text"]])})
 
-    return with_scores(docs, add)
+    return with_scores(docs, add, out)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
