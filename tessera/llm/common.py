@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +62,36 @@ def running_offsets(df: DataFrame, group: list[str], order: list[str], size: str
     return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_part", "_start")
 
 
+def in_tiles(rows: DataFrame, order: list[str], compare: Callable[[tuple, dict], dict | None], schema: str) -> DataFrame:
+    """Applies ``compare`` to the rows of each tile (t, bucket, a, b), in ``order``; it gets the key and one array per column, and
+    gives one array per column of ``schema`` or None. Tiles are bounded by whoever makes them; sorted partitions are
+    read as a stream, so that very many small tiles cost no group each, and one tile at most is held over."""
+    keys = ["t", "bucket", "a", "b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def done(pdf: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            found = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if (out := compare(tuple(int(cols[k][lo]) for k in keys), {c: v[lo:hi] for c, v in cols.items()})) is not None:
+                    found.append(out)
+            if found:
+                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            k = pdf[keys].to_numpy()
+            starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()] if len(pdf) else [0]
+            yield from done(pdf, starts)
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield from done(rest, [0, len(rest)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def same_schema(df: DataFrame, like: DataFrame) -> DataFrame:
     """Columns and types of ``like``."""
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.schema.fields])

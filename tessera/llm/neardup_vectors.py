@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import in_tiles, table, written
 from tessera.llm.components import components
 
 TILE = 1024
@@ -70,14 +70,12 @@ def links(vectors: DataFrame, least: float, tables: int, bits: int, tile: int =
     signed = written(signatures(vectors, tables, bits), "signed")
     members = tiles(signed, tile).join(signed, "id")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, c: dict) -> dict | None:
         t, a, b = key[0], key[2], key[3]
-        pdf = pdf.sort_values(["chunk", "id"], kind="stable").reset_index(drop=True)
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+        x = np.stack(c["vector"]).astype(np.float64)
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        earlier = np.stack(pdf["buckets"].to_numpy())[:, :t]
-        ids, copies, chunk = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["chunk"].to_numpy()
+        ids, copies, chunk = c["id"], c["copies"], c["chunk"]
         left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
         pairs = []
         for at in range(0, len(left), 128):
@@ -86,18 +84,21 @@ def links(vectors: DataFrame, least: float, tables: int, bits: int, tile: int =
             if a == b:
                 near &= rows[:, None] < right[None, :]
             i, j = np.nonzero(near)
-            i, j = rows[i].astype(np.int32), right[j].astype(np.int32)
-            if t and len(i):
-                fresh = np.ones(len(i), bool)
-                for c in range(t):  # counted where the pair met first
-                    fresh &= earlier[i, c] != earlier[j, c]
+            if len(i):
+                pairs.append((rows[i].astype(np.int32), right[j].astype(np.int32)))
+        if not pairs:
+            return None
+        i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        if t:  # counted where the pair met first
+            earlier = np.stack(c["buckets"])[:, :t].astype(np.int64)
+            for k in range(t):
+                fresh = earlier[i, k] != earlier[j, k]
                 i, j = i[fresh], j[fresh]
-            pairs.append((i, j))
-        i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int32) for k in (0, 1))
         count = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        return pd.DataFrame({"id": ids, "links": count.astype(np.int64), "towards": local_roots(ids, i, j)})[count > 0]
+        hit = count > 0
+        return {"id": ids[hit], "links": count[hit].astype(np.int64), "towards": local_roots(ids, i, j)[hit]} if len(i) else None
 
-    return members.groupBy("t", "bucket", "a", "b").applyInPandas(compare, "id long, links long, towards long")
+    return in_tiles(members, ["chunk", "id"], compare, "id long, links long, towards long")
 
 
 def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -114,8 +115,8 @@ def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def shape(n: int, least: float, recall: float = 0.995) -> tuple[int, int]:
-    """Bits and tables for n vectors: about one vector in four shares a bucket by chance, and a pair just at the limit is found with this probability."""
-    bits = max(8, math.ceil(math.log2(max(2, n))) + 2)
+    """Bits and tables for n vectors: about one vector in sixteen shares a bucket by chance, and a pair just at the limit is found with this probability."""
+    bits = max(8, math.ceil(math.log2(max(2, n))) + 4)
     same = (1 - math.acos(least) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of, written
+from tessera.llm.common import in_tiles, table, text_of, written
 from tessera.llm.components import components
 from tessera.llm.neardup_vectors import local_roots
 
@@ -120,23 +120,17 @@ def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: in
     A pair is kept in the first band in which both meet."""
     needs = least_matches(threshold)
 
-    def prune(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def prune(key: tuple, c: dict) -> dict | None:
         t, a, b = key[0], key[2], key[3]
-        pdf = pdf.sort_values(["chunk", "id"], kind="stable").reset_index(drop=True)
-        sig = np.stack([np.frombuffer(s, "<u4") for s in pdf["sig"]])
-        chunk = pdf["chunk"].to_numpy()
-        left, right = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
-        first = [np.empty(0, np.int32)] * len(pdf)
-        used = np.zeros(len(pdf), bool)
+        sig = np.frombuffer(b"".join(c["sig"]), "<u4").reshape(len(c["sig"]), -1)
+        left, right = np.flatnonzero(c["chunk"] == a), np.flatnonzero(c["chunk"] == b)
+        kept = []
         for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            i, j = np.meshgrid(some, right, indexing="ij")
-            i, j = i.ravel(), j.ravel()
+            i, j = (v.ravel() for v in np.meshgrid(left[at : at + 64], right, indexing="ij"))
             if a == b:
                 keep = i < j
                 i, j = i[keep], j[keep]
-            same = np.zeros(len(i), np.int32)
-            done = 0
+            same, done = np.zeros(len(i), np.int32), 0
             for n, m in needs:
                 same += (sig[i, done:n] == sig[j, done:n]).sum(axis=1, dtype=np.int32)
                 keep = same >= m
@@ -144,51 +138,61 @@ def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: in
             for k in range(t):
                 keep = (sig[i, k * rows : (k + 1) * rows] != sig[j, k * rows : (k + 1) * rows]).any(axis=1)
                 i, j = i[keep], j[keep]
-            used[i] = used[j] = True
-            for p in np.unique(i):
-                first[p] = j[i == p].astype(np.int32)
-        place = np.flatnonzero(used)
-        return pd.DataFrame({"t": t, "bucket": key[1], "a": a, "b": b, "id": pdf["id"].to_numpy()[place], "place": place.astype(np.int32), "partners": pd.Series([first[p] for p in place], dtype=object)})
+            if len(i):
+                kept.append((i, j))
+        if not kept:
+            return None
+        i, j = (np.concatenate([p[k] for p in kept]).astype(np.int32) for k in (0, 1))
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        place = np.unique(np.concatenate([i, j]))
+        partners = np.empty(len(place), object)
+        partners[:] = [j[lo:hi] for lo, hi in zip(np.searchsorted(i, place), np.searchsorted(i, place, side="right"), strict=True)]
+        n = len(place)
+        return {"t": np.full(n, t), "bucket": np.full(n, key[1]), "a": np.full(n, a), "b": np.full(n, b), "id": c["id"][place], "place": place, "partners": partners}
 
     members = tiles(classes, bands, rows, tile).join(classes.select("id", "sig"), "id")
-    return members.groupBy("t", "bucket", "a", "b").applyInPandas(prune, "t int, bucket long, a int, b int, id long, place int, partners array<int>")
+    return in_tiles(members, ["chunk", "id"], prune, "t int, bucket long, a int, b int, id long, place int, partners array<int>")
 
 
 def verified(candidates: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
     """From surviving() and texts (id, copies, text): per tile id, links (counting copies), towards (least id of its cluster there)."""
 
-    def exact(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
-        at = {p: k for k, p in enumerate(pdf["place"])}
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        sets = [shingles(t, words) for t in pdf["text"]]
-        sizes = np.array([len(s) for s in sets])
-        # shingles of this tile that two members share, as bits of one integer per member
-        every, seen = np.unique(np.concatenate(sets), return_counts=True)
-        every = every[seen > 1]
-        bits = []
-        for s in sets:
-            where = np.searchsorted(every, s)
-            where = where[(where < len(every))]
-            hit = where[np.isin(every[where], s, assume_unique=True)] if len(every) else where
-            mask = np.zeros((len(every) + 7) // 8 * 8, np.uint8)
-            mask[hit] = 1
-            bits.append(int.from_bytes(np.packbits(mask).tobytes(), "big"))
+    def exact(key: tuple, c: dict) -> dict | None:
+        at = {p: k for k, p in enumerate(c["place"].tolist())}
+        ids, copies = c["id"], c["copies"]
+        sets = [shingles(t, words) for t in c["text"]]
+        bits = _as_bits(sets) if len(sets) > 2 else None
         i, j = [], []
-        for p, others in enumerate(pdf["partners"]):
-            mine, n = bits[p], sizes[p]
-            for q in others:
+        for p, others in enumerate(c["partners"]):
+            for q in others.tolist():
                 o = at[q]
-                both = (mine & bits[o]).bit_count()
-                if both >= threshold * (n + sizes[o] - both) - 1e-9:
+                both = (bits[p] & bits[o]).bit_count() if bits else len(np.intersect1d(sets[p], sets[o], assume_unique=True))
+                if both >= threshold * (len(sets[p]) + len(sets[o]) - both) - 1e-9:
                     i.append(p)
                     j.append(o)
-        i, j = np.array(i, np.int64), np.array(j, np.int64)
+        if not i:
+            return None
+        i, j = np.array(i), np.array(j)
         count = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
-        return pd.DataFrame({"id": ids, "links": count, "towards": local_roots(ids, i, j)})[count > 0]
+        hit = count > 0
+        return {"id": ids[hit], "links": count[hit], "towards": local_roots(ids, i, j)[hit]}
 
-    rows = candidates.join(texts, "id")
-    return rows.groupBy("t", "bucket", "a", "b").applyInPandas(exact, "id long, links long, towards long")
+    return in_tiles(candidates.join(texts, "id"), ["place"], exact, "id long, links long, towards long")
+
+
+def _as_bits(sets: list[np.ndarray]) -> list[int]:
+    """Each set as the bits of one integer, over the elements that at least two sets hold."""
+    every, seen = np.unique(np.concatenate(sets), return_counts=True)
+    every = every[seen > 1]
+    out = []
+    for s in sets:
+        mask = np.zeros(-(-len(every) // 8) * 8, np.uint8)
+        if len(every) and len(s):
+            where = np.minimum(np.searchsorted(every, s), len(every) - 1)
+            mask[where[every[where] == s]] = 1
+        out.append(int.from_bytes(np.packbits(mask).tobytes(), "big"))
+    return out
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
