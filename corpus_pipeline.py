@@ -12,37 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, packing, pii, quality
-from tessera.llm.common import same_schema, table, written
+from tessera.llm.common import hidden, shown, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_quality").where(F.col("_quality") >= quality.CUT).drop("_quality")
+    rows = quality.scored(hidden(docs).withColumn("text", F.col("doc__text")), model)
+    return shown(rows.where(F.col("score") >= quality.CUT), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least doc_id stays."""
     found = ngram_join.ngram_join(docs.select("doc_id", "text"))
-    first = found.where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").withColumn("_hash", F.xxhash64("text"))
-    once = kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return same_schema(once.unionByName(docs.where("doc_id is null")), docs)
+    first = found.where("doc_id = class_id").select("class_id").distinct()
+    rows = hidden(docs).withColumn("hash", F.xxhash64("doc__text"))
+    once = rows.join(first, F.col("doc__doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc__doc_id", "hash"])
+    return shown(once.unionByName(rows.where("doc__doc_id is null")), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced by its kind in brackets."""
     weights = pii.trained(pii.candidates(docs.select("text")))
-    found = pii.candidates(docs.withColumnsRenamed({c: f"doc__{c}" for c in docs.columns}).withColumn("text", F.col("doc__text")))
+    found = pii.candidates(hidden(docs).withColumn("text", F.col("doc__text")))
     spans = F.concat("base", pii.accepted(F.col("more"), weights))
-    out = found.withColumn("_spans", spans).withColumn("_new", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("_spans"))))
-    new = {"text": F.col("_new"), "n_chars": F.length("_new")}
-    return same_schema(out.select(*[new.get(c, F.col(f"`doc__{c}`")).alias(c) for c in docs.columns]), docs)
+    out = found.withColumn("spans", spans).withColumn("new", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans"))))
+    return shown(out, docs, text=F.col("new"), n_chars=F.length("new"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as the mix takes them; documents of which it takes nothing go."""
-    return same_schema(mixing.mixed_documents(docs), docs)
+    return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,16 @@ def in_tiles(rows: DataFrame, order: list[str], compare: Callable[[tuple, dict],
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def hidden(docs: DataFrame) -> DataFrame:
+    """All columns under names that no operator uses, so that columns of the same name can't clash."""
+    return docs.withColumnsRenamed({c: f"doc__{c}" for c in docs.columns})
+
+
+def shown(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` from hidden ones, some replaced."""
+    return same_schema(df.select(*[new.get(c, F.col(f"`doc__{c}`")).alias(c) for c in like.columns]), like)
+
+
 def same_schema(df: DataFrame, like: DataFrame) -> DataFrame:
     """Columns and types of ``like``."""
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.schema.fields])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import running_offsets, table, text_of, written
+from tessera.llm.common import hidden, running_offsets, shown, table, text_of, written
 
 #: Words in a block, slots in an output shard, rounds of a permutation, documents in a part of a source.
 BLOCK, SHARD_SLOTS, ROUNDS, PART_ROWS = 64, 4096, 24, 20_000
@@ -130,21 +130,20 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     that any pass takes, then those that a second pass takes again; documents of which nothing is taken go. n_chars
     follows the text where there is such a column. For documents, at most two uses of a block, so ``most`` stays 2."""
     key = F.struct(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
-    slim = docs.select(key.alias("key"), "source", n_words(text_of()).alias("size"))
+    slim = docs.select(key.alias("key"), F.col("source"), n_words(text_of()).alias("size"))
     rows = written(numbered(slim, ["key"]), "mix-docs")
     _, taken = mix(rows.select("row", "source", "size"), **params)
     per = taken.groupBy("row", "word").agg(F.max("words").alias("once"), (F.sum("words") - F.max("words")).alias("again"))
     per = per.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "once", "again"))).alias("_frags")).withColumn("_key", F.col("row.key"))
-    full = docs.withColumn("_key", key)
+    full = hidden(docs.withColumn("_key", key)).withColumnRenamed("doc___key", "_key")
     if (rows.agg(F.max("row.n").alias("n")).first()["n"] or 1) > 1:  # rows that repeat: each takes its own words from one of them
         full = full.dropDuplicates(["_key"])
-    full = full.join(per, "_key").withColumn("_words", F.regexp_extract_all(text_of(), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
+    words = F.regexp_extract_all(text_of("doc__text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    full = full.join(per, "_key").withColumn("_words", words)
     use = lambda n: F.flatten(F.transform("_frags", lambda f: F.slice(F.col("_words"), (f["word"] + 1).cast("int"), f[n].cast("int"))))
     once, again = F.array_join(use("once"), ""), F.array_join(use("again"), "")
-    full = full.withColumn("text", F.when(F.length(again) > 0, F.concat_ws("\n", once, again)).otherwise(once))
-    if "n_chars" in docs.columns:
-        full = full.withColumn("n_chars", F.length("text"))
-    return full.drop("_key", "_frags", "_words", "row")
+    full = full.withColumn("_new", F.when(F.length(again) > 0, F.concat_ws("\n", once, again)).otherwise(once))
+    return shown(full, docs, text=F.col("_new"), n_chars=F.length("_new"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
