@@ -111,3 +111,30 @@ def region_weighted_mean(p: DataFrame, means: DataFrame, value: str, sharp: floa
     top = sum((F.coalesce(weight(c) * c, F.lit(0.0)) for c in cols), F.lit(0.0))
     low = sum((F.coalesce(weight(c), F.lit(0.0)) for c in cols), F.lit(0.0))
     return q.select("t", "y", "x", (top / (low + 1e-15)).alias("conv"))
+
+
+def _window(p: DataFrame, value: str) -> tuple[DataFrame, list[Column]]:
+    from tessera.operators.neighbours import EIGHT, eight
+
+    return eight(p, value), [F.col(value), *[F.col(k) for k in EIGHT]]
+
+
+def attention(p: DataFrame, value: str, scale: float) -> DataFrame:
+    """Softmax over the 3x3 window of -scale x squared difference, applied to the values; outside the raster takes no part."""
+    q, cols = _window(p, value)
+    weight = lambda c: F.exp(-F.pow(c - F.col(value), 2) * scale)
+    top = sum((F.coalesce(weight(c) * c, F.lit(0.0)) for c in cols), F.lit(0.0))
+    low = sum((F.coalesce(weight(c), F.lit(0.0)) for c in cols), F.lit(0.0))
+    return q.select("t", "y", "x", (top / low).alias("attended"))
+
+
+def region_attention(p: DataFrame, value: str, scale: float) -> DataFrame:
+    """The same with weights kept inside the pixel's own region (hard labels)."""
+    from tessera.operators.neighbours import EIGHT, eight
+
+    q = eight(p.withColumn("_vl", F.struct(F.col(value).alias("v"), F.col("spix").alias("l"))), "_vl")
+    cols = [F.col("_vl"), *[F.col(k) for k in EIGHT]]
+    weight = lambda c: F.when(c["l"] == F.col("spix"), F.exp(-F.pow(c["v"] - F.col(value), 2) * scale)).otherwise(0.0)
+    top = sum((F.coalesce(weight(c) * c["v"], F.lit(0.0)) for c in cols), F.lit(0.0))
+    low = sum((weight(c) for c in cols), F.lit(0.0))
+    return q.select("t", "y", "x", (top / low).alias("attended"))

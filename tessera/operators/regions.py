@@ -88,8 +88,10 @@ def compact_ids(p: DataFrame, kept_below: int) -> DataFrame:
 
 def factorize(p: DataFrame, label: str = "spix") -> DataFrame:
     """Labels numbered by first appearance in t, y, x."""
-    first = p.groupBy(label).agg(F.min(F.struct("t", "y", "x")).alias("at"))
-    return first.select(label, (F.row_number().over(W.orderBy("at")) - 1).alias("code"))
+    from tessera.operators.order import ranked
+
+    first = p.groupBy(label).agg(F.min(F.struct("t", "y", "x")).alias("at")).select(label, "at.*", F.lit(0).alias("_g"))
+    return ranked(first, ["_g"], ["t", "y", "x"], "code").select(label, F.col("code").cast("long").alias("code"))
 
 
 def rank_in_region(p: DataFrame) -> DataFrame:
@@ -105,3 +107,28 @@ def child_offsets(sizes: DataFrame) -> DataFrame:
 def mean_or(col: str, least: float = 0.0) -> Column:
     """The mean of the values that are not placeholders below ``least``."""
     return F.avg(F.when(F.col(col) >= least, F.col(col)))
+
+
+def remapped(p: DataFrame, ids: DataFrame, label: str = "spix") -> DataFrame:
+    """Labels replaced by ``new_spix`` of a table of ids; labels without one become -1."""
+    return p.join(ids, label, "left").withColumn(label, F.coalesce("new_spix", F.lit(-1))).drop("new_spix")
+
+
+def child_ids(sizes: DataFrame) -> DataFrame:
+    """From t, spix, region, size: spix_new per component. The largest keeps its label; the others get numbers after the frame's largest label,
+    label by label: an exclusive prefix sum over labels of the numbers of children, made over one row per label."""
+    rows = child_offsets(sizes)
+    per = rows.groupBy("t", "spix").agg((F.count(F.lit(1)) - 1).alias("extra"))
+    before = W.partitionBy("t").orderBy("spix").rowsBetween(W.unboundedPreceding, -1)
+    start = per.select("t", "spix", F.coalesce(F.sum("extra").over(before), F.lit(0)).alias("start"), F.max("spix").over(W.partitionBy("t")).alias("top"))
+    j = rows.join(start, ["t", "spix"])
+    return j.withColumn("spix_new", F.when(F.col("offset") == 0, F.col("spix")).otherwise(F.col("top") + F.col("start") + F.col("offset"))).drop("start", "top", "offset")
+
+
+def beta_size_prior(sizes: DataFrame, whole: float, a: float = 2.0, b: float = 5.0) -> DataFrame:
+    """Adds log_prior: the Beta log-density of each region's share of a frame. Spark has no log-gamma, but it is wanted for constants only."""
+    import math
+
+    norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    share = F.col("count") / whole
+    return sizes.withColumn("log_prior", F.ln(share) * (a - 1) + F.ln(1.0 - share) * (b - 1) + norm)

@@ -720,3 +720,34 @@ def ordered_frames(spark, sf_dir):
 
     e = _table(spark, sf_dir, "events")
     return ordered(e, "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("video"), "event_id", F.col("frame").cast("long").alias("frame"), F.round("change", 6).alias("change"))
+
+
+# --- windows and priors -------------------------------------------------------------------------------------------------
+ATTEND = " SELECT a.t, a.y, a.x, round(sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0)) * b.c0) / sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0))), 5) AS attended FROM pix a JOIN pix b ON b.t = a.t AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 {} GROUP BY a.t, a.y, a.x"
+
+
+@query(ATTEND.format(""))
+def window_attention(p):
+    return rounded(assign.attention(p, "c0", 0.01), "t", "y", "x", places=5)
+
+
+@query(ATTEND.format("AND b.spix = a.spix"))
+def region_attention(p):
+    return rounded(assign.region_attention(p, "c0", 0.01), "t", "y", "x", places=5)
+
+
+@query(", c AS (SELECT t, spix, count(*) AS n FROM pix GROUP BY t, spix), h AS (SELECT (max(y) + 1) * 64.0 AS w FROM pix) SELECT t, spix, round(ln(n / w) + 4*ln(1 - n / w) + lgamma(7) - lgamma(2) - lgamma(5), 6) AS log_prior FROM c, h")
+def beta_size_prior(p):
+    sized = regions.counts(p).crossJoin(F.broadcast(height(p).select("npix")))  # one row
+    return rounded(regions.beta_size_prior(sized, F.col("npix")).select("t", "spix", "log_prior"), "t", "spix")
+
+
+@query(", u AS (SELECT spix, row_number() OVER (ORDER BY spix) - 1 AS n FROM (SELECT DISTINCT spix FROM pix) q) SELECT t, y, x, CASE WHEN u.n % 2 = 0 THEN u.n ELSE -1 END AS spix FROM pix p JOIN u ON u.spix = p.spix")
+def remap_ids(p):
+    ids = regions.compact_ids(p, 0).where(F.col("new_spix") % 2 == 0)
+    return regions.remapped(p, ids).select("t", "y", "x", "spix")
+
+
+@query()
+def split_child_ids(p):
+    return regions.child_ids(components.component_sizes(components.components(p))).select("t", "spix", "region", "spix_new")

@@ -153,3 +153,15 @@ def test_stream_is_the_batch_however_frames_arrive(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("frames_out").where("not late").collect()
     assert {(r.video, r.frame): (None if r.change is None or r.change != r.change else r.change) for r in got} == want
+
+
+def test_child_ids_are_new_and_distinct(spark):
+    grid = noise(9, 11, 3, 8)
+    sizes = components.component_sizes(components.components(raster(spark, grid)))
+    rows = regions.child_ids(sizes).collect()
+    assert len({r.spix_new for r in rows}) == len(rows)
+    for label in {r.spix for r in rows}:
+        mine = [r for r in rows if r.spix == label]
+        kept = [r for r in mine if r.spix_new == label]
+        assert len(kept) == 1 and kept[0].size == max(r.size for r in mine)
+        assert all(r.spix_new > 2 for r in mine if r is not kept[0])
