@@ -195,12 +195,12 @@ def _as_bits(sets: list[np.ndarray]) -> list[int]:
     return out
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
     """From doc_id, text: doc_id, class_id (least doc_id that links reach), n_links (other documents of similarity at or above the threshold), one row per row."""
     prints = written(signatures(docs, words), "signatures")
     classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = written(classes, "text-classes")
-    left = written(surviving(classes.select("id", "sig"), threshold), "candidates")
+    left = written(surviving(classes.select("id", "sig"), threshold, tile=tile), "candidates")
     wanted = left.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
     texts = texts.join(wanted, "id", "left_semi").join(classes.select("id", "x", "y", "copies"), ["id", "x", "y"]).select("id", "copies", "text").dropDuplicates(["id"])
