@@ -99,12 +99,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x times weights plus bias, in the precision of x, so that x isn't copied to doubles."""
+    return (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
+
+
+def _back(g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (g.astype(x.dtype) @ x).astype(float)
+
+
 def _apart(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """A plain logistic classifier of positives against unlabelled rows."""
 
     def grad(w: np.ndarray) -> np.ndarray:
-        gp, gu = -_sigmoid(-(p @ w[:-1] + w[-1])) / len(p), _sigmoid(u @ w[:-1] + w[-1]) / len(u)
-        return np.append(gp @ p + gu @ u + 1e-3 * w[:-1], gp.sum() + gu.sum())
+        gp, gu = -_sigmoid(-_times(p, w)) / len(p), _sigmoid(_times(u, w)) / len(u)
+        return np.append(_back(gp, p) + _back(gu, u) + 1e-3 * w[:-1], gp.sum() + gu.sum())
 
     return _descend(grad, p.shape[1] + 1, 200)
 
@@ -113,8 +122,8 @@ def estimated_prior(p: np.ndarray, u: np.ndarray, least: float = 0.2) -> float:
     """The least of U(s > t) / P(s > t) over thresholds that keep at least this share of the positives."""
     found = []
     for k in (0, 1):
-        w = _apart(p[k::2], u[k::2])
-        a, b = np.sort(p[1 - k :: 2] @ w[:-1]), np.sort(u[1 - k :: 2] @ w[:-1])
+        w = _apart(np.ascontiguousarray(p[k::2]), np.ascontiguousarray(u[k::2]))
+        a, b = np.sort(_times(p[1 - k :: 2], w)), np.sort(_times(u[1 - k :: 2], w))
         cuts = np.quantile(a, np.linspace(0, 1 - least, 60))
         above = lambda x: 1 - np.searchsorted(x, cuts, side="left") / len(x)
         found.append(float(np.min(above(b) / np.maximum(above(a), 1e-9))))
@@ -129,14 +138,14 @@ def fitted(p: np.ndarray, u: np.ndarray, decay: float = 1e-4) -> Model:
     prior = estimated_prior(p, u)
 
     def grad(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        zp, zu = _times(p, w), _times(u, w)
         pos, neg = -prior * _sigmoid(-zp) / len(p), -prior * _sigmoid(zp) / len(p)
         unl = _sigmoid(zu) / len(u)
         risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if risk < 0:  # the negative part went below zero: step back on it alone
-            g = -(np.append(unl @ u, unl.sum()) + np.append(neg @ p, neg.sum()))
+            g = -(np.append(_back(unl, u), unl.sum()) + np.append(_back(neg, p), neg.sum()))
         else:
-            g = np.append(pos @ p + unl @ u + neg @ p, pos.sum() + unl.sum() + neg.sum())
+            g = np.append(_back(pos + neg, p) + _back(unl, u), pos.sum() + unl.sum() + neg.sum())
         g[:-1] += decay * w[:-1]
         return g
 
@@ -146,7 +155,7 @@ def fitted(p: np.ndarray, u: np.ndarray, decay: float = 1e-4) -> Model:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"trusted": pdf["trusted"], "x": [measures(t or "") for t in pdf["text"]]})
+        yield pd.DataFrame({"trusted": pdf["trusted"], "x": [np.array(measures(t or "")).tobytes() for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | None:
@@ -155,10 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | Non
     seen = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id")
     unlabelled = drawn(seen, most, "unlabelled").withColumn("trusted", F.lit(False))
     chosen = trusted.union(unlabelled)  # at most twice ``most`` ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "text").mapInPandas(_measured, "trusted boolean, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "text").mapInPandas(_measured, "trusted boolean, x binary").toPandas()
     if not rows["trusted"].any():
         return None
-    x, is_p = np.stack(rows["x"].to_numpy()), rows["trusted"].to_numpy(bool)
+    x, is_p = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), -1), rows["trusted"].to_numpy(bool)
     order = np.lexsort([*x.T[::-1], is_p])  # rows come in any order: the fit mustn't depend on it
     x, is_p = x[order], is_p[order]
     mixed = np.random.default_rng(7).permutation(len(x))
