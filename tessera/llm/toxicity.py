@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 from tessera.llm.labels import drawn, held_out, one_label
 from tessera.llm.quality import with_scores
 
@@ -115,9 +115,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [terms(t or "").tolist() for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, y int, terms array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return fitted([np.asarray(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy(float))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, y int, terms array<int>")
+    found = written(found.groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("r")).select("doc_id", "r.y", "r.terms"), "toxic-terms")
+    keep = np.array(significant(found), np.int32)
+
+    def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [np.intersect1d(t, keep).astype(np.int32).tobytes() for t in pdf["terms"]]})
+
+    rows = found.mapInPandas(narrowed, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id")
+    return fitted([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy(float))
+
+
+def significant(found: DataFrame) -> list[int]:
+    """At most ``TERMS`` places that pass the test of telling(), counted by Spark, so that the driver gets only those."""
+    total = found.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    n1, n = total["n1"], total["n"]
+    per = found.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+    seen, gap = F.col("a") + F.col("b"), F.col("a") * (n - n1 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
+    chi = gap * gap * n / F.greatest(seen * (F.lit(float(n)) - seen) * max(1, n1 * (n - n1)), F.lit(1.0))
+    best = per.where(seen >= 3).withColumn("chi", chi).where(F.col("chi") >= SIGNIFICANT).orderBy(F.desc("chi"), "term").limit(TERMS)
+    return [r["term"] for r in best.select("term").collect()]
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
