@@ -76,49 +76,39 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def following(ids: DataFrame, bounds: int = 256) -> DataFrame:
-    """From doc_id, h (distinct): adds next_id, next_h of the row after it, of the first after the last one.
-
-    The order is cut at sampled quantiles, so each window sees a range; the heads of ranges (as many as ``bounds``) link them."""
-    at = ids.agg(F.percentile_approx("doc_id", [k / bounds for k in range(1, bounds)], 100 * bounds).alias("at")).first()["at"]
-    cut = F.lit(0)
-    if at:
-        # a null id belongs before all others
-        edges = F.array(*[F.lit(x) for x in sorted(set(at))])
-        cut = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(0))
-    rows = ids.withColumn("_cut", cut).withColumn("_me", F.struct("doc_id", "h"))
+    """From k, h (distinct, no nulls): adds next_k, next_h of the row after it, of the first after the last one.
+
+    The order is cut at quantiles, so each window sees a range; the heads of ranges (at most ``bounds``) link them."""
+    at = ids.agg(F.percentile_approx("k", [i / bounds for i in range(1, bounds)], 100 * bounds).alias("at")).first()["at"]
+    edges = F.array(*[F.lit(x) for x in sorted(set(at))]) if at else None
+    cut = F.size(F.filter(edges, lambda e: e <= F.col("k"))) if at else F.lit(0)
+    rows = ids.withColumn("_cut", cut).withColumn("_me", F.struct("k", "h"))
     heads = rows.groupBy("_cut").agg(F.min("_me").alias("_head"))
     chain = W.orderBy("_cut")
-    heads = heads.select("_cut", F.coalesce(F.lead("_head").over(chain), F.first("_head").over(chain)).alias("_after"))
+    heads = heads.select("_cut", F.coalesce(F.lead("_head").over(chain), F.first("_head").over(W.orderBy("_cut").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_after"))
     inside = W.partitionBy("_cut").orderBy("_me")
     out = rows.withColumn("_next", F.lead("_me").over(inside)).join(F.broadcast(heads), "_cut")
     out = out.withColumn("_next", F.coalesce("_next", "_after"))
-    return out.select(*ids.columns, F.col("_next.doc_id").alias("next_id"), F.col("_next.h").alias("next_h"))
-
-
-def _same(a: str, b: str, *pairs: tuple[str, str]) -> Column:
-    cond = F.lit(True)
-    for x, y in pairs:
-        cond = cond & F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{y}"))
-    return cond
+    return out.select(*ids.columns, F.col("_next.k").alias("next_k"), F.col("_next.h").alias("next_h"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    prints = with_fingerprint(docs, "text", "print").select("doc_id", "h", F.length("text").cast("long").alias("n_chars"), "print")
-    prints = written(prints.withColumn("print", F.col("print").cast("array<smallint>")), "prints")
-    links = written(following(prints.select("doc_id", "h", "n_chars").distinct()), "links")
-    texts = docs.select("doc_id", "h", "text")
-    heads = texts.alias("t").join(links.alias("l"), _same("t", "l", ("doc_id", "next_id"), ("h", "next_h")))
-    heads = heads.select("l.doc_id", "l.h", "l.n_chars", "l.next_id", "l.next_h", F.substring("t.text", F.lit(1), F.floor(F.col("l.n_chars") / 4).cast("int")).alias("head")).dropDuplicates(["doc_id", "h"])
-    edited = texts.alias("t").join(heads.alias("n"), _same("t", "n", ("doc_id", "doc_id"), ("h", "h")))
-    kept = (F.col("n.n_chars") - F.floor(F.col("n.n_chars") / 4)).cast("int")
-    edited = edited.select("t.doc_id", "t.h", "n.n_chars", "n.next_id", "n.next_h", F.concat(F.substring("t.text", F.lit(1), kept), F.col("n.head")).alias("edited"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    # keys without nulls, so that all joins deal the texts alike and their one exchange is used again
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"), "text")
+    prints = with_fingerprint(docs, "text", "print").select("k", "h", F.col("doc_id").isNull().alias("no_id"), F.length("text").cast("long").alias("n_chars"), F.col("print").cast("array<smallint>").alias("print"))
+    prints = written(prints, "prints")
+    links = written(following(prints.select("k", "h", "n_chars").distinct()), "links")
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    heads = docs.select("k", "h", "text").join(links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "n_chars"), ["k", "h"])
+    heads = heads.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "n_chars", F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.substring("text", F.lit(1), quarter).alias("head")).dropDuplicates(["k", "h"])
+    edited = docs.select("k", "h", "text").join(heads, ["k", "h"])
+    edited = edited.select("k", "h", "n_chars", "next_k", "next_h", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.col("head")).alias("edited"))
     edited = with_fingerprint(edited, "edited", "edited_print").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
-    one = prints.select("doc_id", "h", "print").dropDuplicates(["doc_id", "h"])
-    out = edited.alias("e").join(one.alias("p"), _same("e", "p", ("doc_id", "doc_id"), ("h", "h"))).select("e.*", "p.print")
-    out = out.alias("e").join(one.alias("p"), _same("e", "p", ("next_id", "doc_id"), ("next_h", "h"))).select("e.*", F.col("p.print").alias("next_print"))
+    one = prints.select("k", "h", "no_id", "print").dropDuplicates(["k", "h"])
+    out = edited.join(one, ["k", "h"]).join(one.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("print").alias("next_print")), ["next_k", "next_h"])
     return out.select(
-        "doc_id",
+        F.when(~F.col("no_id"), F.col("k")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         packed(F.col("print")).alias("fingerprint"),
