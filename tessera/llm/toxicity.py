@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's distinct words and the beginnings of longer words, hashed to 2^18 places; the fit keeps the terms whose
-presence tells most about the label. score = sigmoid(bias + sum of weights + sum over pairs of terms of the product of
+Terms are a text's distinct words and the beginnings of longer words, hashed to 2^18 places; the fit keeps every place that
+the sample holds, since a term that tells nothing alone may tell in a pair. score = sigmoid(bias + sum of weights + sum over pairs of terms of the product of
 their factors), so a pair such as insult and group mention counts beyond its parts.
 
 Styles: terms and the score are Python on Arrow batches, each text on its own; the fit is numpy on a bounded sample of
@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import table
 from tessera.llm.labels import drawn, held_out, one_label
 from tessera.llm.quality import with_scores
 
-FIT_ROWS, PLACES, TERMS, FACTORS, START, CUT = 20_000, 1 << 18, 6000, 8, 5, 0.5
-#: A term must reach this chi-square (one in a thousand by chance).
-SIGNIFICANT = 10.8
+FIT_ROWS, PLACES, FACTORS, START, CUT = 20_000, 1 << 18, 8, 5, 0.5
+#: Nothing is cut by a test of single terms; the name stays because a test sets it.
+SIGNIFICANT = 0.0
+#: One chi-square in a thousand is larger by chance.
+CHANCE = 10.8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,60 +53,77 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         found = [self.column[terms(t)] for t in texts]
         found = [c[c >= 0] for c in found]
-        rows = np.repeat(np.arange(len(texts)), [len(c) for c in found])
         cols = np.concatenate(found) if found else np.empty(0, np.int32)
-        z = _forward(rows, cols, len(texts), self.bias, self.weights, self.factors)[0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = _forward(cols, np.array([len(c) for c in found], np.int64), self.bias, self.weights, self.factors)[0]
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def _forward(rows: np.ndarray, cols: np.ndarray, n: int, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score before the sigmoid, and per row the sums of factors."""
-    f = v[cols]
-    sums = np.stack([np.bincount(rows, f[:, k], n) for k in range(v.shape[1])], axis=1)
-    squares = np.bincount(rows, (f * f).sum(axis=1), n)
-    return bias + np.bincount(rows, w[cols], n) + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of rows; an empty run has 0."""
+    out = np.zeros((len(lengths), *values.shape[1:]), values.dtype)
+    some = lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
 
 
-def telling(docs: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
-    """The places whose presence has the largest significant chi-square with the label, and their smoothed log odds."""
+def _forward(cols: np.ndarray, lengths: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score before the sigmoid, and per row the sums of factors; cols holds the columns row after row."""
+    sums = _sums(v[cols], lengths)
+    return bias + _sums(w[cols] - 0.5 * (v * v).sum(axis=1)[cols], lengths) + 0.5 * (sums * sums).sum(axis=1), sums
+
+
+def log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of the presence of every place, smoothed, and drawn towards 0 the smaller its chi-square is: a start, which leaves no place out."""
     a, b = (np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t == k] or [np.empty(0, np.int32)]), minlength=PLACES).astype(float) for k in (1, 0))
     n1, n0 = (y == 1).sum(), (y == 0).sum()
-    seen = a + b
-    gap = a * (n0 - b) - b * (n1 - a)
-    chi = np.where(seen >= 3, gap * gap * (n1 + n0) / np.maximum(seen * (n1 + n0 - seen) * max(1, n1 * n0), 1), 0)
-    best = np.argsort(-chi, kind="stable")[:most]
-    best = np.sort(best[chi[best] >= SIGNIFICANT])
-    return best, np.log((a[best] + 0.5) / (n1 + 1)) - np.log((b[best] + 0.5) / (n0 + 1))
+    seen, gap = a + b, a * (n0 - b) - b * (n1 - a)
+    chi = gap * gap * (n1 + n0) / np.maximum(seen * (n1 + n0 - seen) * max(1, n1 * n0), 1)
+    return (np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) * (chi / (chi + CHANCE)) ** 2
 
 
-def fitted(docs: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.5, decay: float = 1e-4, start: float = 0.5) -> Model:
-    """Adagrad on the logistic loss from a part of the log odds; order and start come from a fixed seed."""
-    keep, odds = telling(docs, y, TERMS)
+def fitted(docs: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 256, rate: tuple[float, float] = (0.5, 0.1), decay: float = 1e-3, start: float = 0.5, spread: float = 0.03, before: tuple[float, float] = (1e-6, 0.1)) -> Model:
+    """Adagrad on the logistic loss from a part of the log odds; batches and start come from a fixed seed. A step touches only the
+    columns of its batch. rate and before (the squares that adagrad starts from) hold for weights and for factors. Samples of
+    more than 25 batches get fewer epochs, a quarter at least."""
+    keep = np.flatnonzero(np.bincount(np.concatenate([*docs, np.empty(0, np.int32)]), minlength=PLACES)).astype(np.int32)
     column = np.full(PLACES, -1, np.int32)
-    column[keep] = np.arange(len(keep))
-    found = [column[d] for d in docs]
-    found = [c[c >= 0] for c in found]
+    column[keep] = np.arange(len(keep), dtype=np.int32)
     rng = np.random.default_rng(11)
     share = (y.sum() + 1) / (len(y) + 2)
-    bias, w, v = float(np.log(share / (1 - share))), start * odds, rng.normal(0, 0.01, (len(keep), FACTORS))
+    bias, w, v = float(np.log(share / (1 - share))), (start * log_odds(docs, y)[keep]).astype(np.float32), rng.normal(0, spread, (len(keep), FACTORS)).astype(np.float32)
     if len(set(y.tolist())) < 2:
         return Model(column, bias, w * 0, v * 0)
-    gw, gv, gb = np.full(len(keep), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
-            some = order[at : at + batch]
-            rows = np.repeat(np.arange(len(some)), [len(found[i]) for i in some])
-            cols = np.concatenate([found[i] for i in some])
-            z, sums = _forward(rows, cols, len(some), bias, w, v)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
-            dw = np.bincount(cols, g[rows], len(keep)) + decay * w
-            pull = g[rows, None] * (sums[rows] - v[cols])
-            dv = np.stack([np.bincount(cols, pull[:, k], len(keep)) for k in range(FACTORS)], axis=1) + decay * v
-            db = g.sum()
-            gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + db * db
-            w, v, bias = w - rate * dw / np.sqrt(gw), v - 0.2 * rate * dv / np.sqrt(gv), bias - rate * db / gb**0.5
-    return Model(column, bias, w, v)
+    order = rng.permutation(len(y))
+    batches = [_batch([column[docs[i]] for i in some], y[some]) for some in (order[at : at + batch] for at in range(0, len(y), batch))]
+    both = np.vstack([w, v.T])  # a row of weights, then a row per factor: sums along rows are fast
+    squares, pace = (np.array([k[0], *[k[1]] * FACTORS], np.float32)[:, None] for k in (before, rate))
+    squares, gb = np.repeat(squares, len(keep), axis=1), before[0]
+    # a column that few batches hold decays by as much per epoch as one that all hold
+    fade = (decay * len(batches) / np.bincount(np.concatenate([b[0] for b in batches]), minlength=len(keep))).astype(np.float32)
+    for _ in range(max(epochs // 4, min(epochs, 1000 // len(batches)))):
+        for k in rng.permutation(len(batches)):
+            own, inside, rows, target = batches[k]
+            n, now = len(target), both[:, own]
+            sums = np.stack([np.bincount(rows, f[inside], n) for f in now[1:]])
+            z = bias + np.bincount(rows, (now[0] - 0.5 * (now[1:] ** 2).sum(axis=0))[inside], n) + 0.5 * (sums * sums).sum(axis=0)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
+            d = np.stack([np.bincount(inside, h[rows], len(own)) for h in (g, *(g * sums))]).astype(np.float32)
+            d[1:] -= d[0] * now[1:]
+            d += fade[own] * now
+            grown = squares[:, own] + d * d
+            squares[:, own] = grown
+            both[:, own] = now - pace * d / np.sqrt(grown)
+            db = float(g.sum())
+            gb += db * db
+            bias -= rate[0] * db / gb**0.5
+    return Model(column, bias, both[0], np.ascontiguousarray(both[1:].T))
+
+
+def _batch(found: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Its distinct columns; of each term of each row, the place among them and the row; labels."""
+    own, inside = np.unique(np.concatenate(found), return_inverse=True)
+    return own, inside.astype(np.int32), np.repeat(np.arange(len(found), dtype=np.int32), [len(c) for c in found]), y
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
@@ -113,29 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [terms(t or "").tolist() for t in pdf["text"]]})
-
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, y int, terms array<int>")
-    found = written(found.groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("r")).select("doc_id", "r.y", "r.terms"), "toxic-terms")
-    keep = np.array(significant(found), np.int32)
-
-    def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [np.intersect1d(t, keep).astype(np.int32).tobytes() for t in pdf["terms"]]})
-
-    rows = found.mapInPandas(narrowed, "doc_id long, y int, terms binary").toPandas().sort_values("doc_id")
-    return fitted([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy(float))
-
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "terms": [terms(t or "").astype("<i4").tobytes() for t in pdf["text"]]})
 
-def significant(found: DataFrame) -> list[int]:
-    """At most ``TERMS`` places that pass the test of telling(), counted by Spark, so that the driver gets only those."""
-    total = found.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("n")).first()
-    n1, n = total["n1"], total["n"]
-    per = found.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    seen, gap = F.col("a") + F.col("b"), F.col("a") * (n - n1 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
-    chi = gap * gap * n / F.greatest(seen * (F.lit(float(n)) - seen) * max(1, n1 * (n - n1)), F.lit(1.0))
-    best = per.where(seen >= 3).withColumn("chi", chi).where(F.col("chi") >= SIGNIFICANT).orderBy(F.desc("chi"), "term").limit(TERMS)
-    return [r["term"] for r in best.select("term").collect()]
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, y int, terms binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("r")).select("doc_id", "r.y", "r.terms")
+    rows = found.toPandas().sort_values("doc_id")
+    return fitted([np.frombuffer(t, "<i4") for t in rows["terms"]], rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

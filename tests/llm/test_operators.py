@@ -163,6 +163,21 @@ def test_pairs_of_terms_count(spark):
     assert ((np.array(m.score(texts)) >= 0.5) == (y == 1)).mean() > 0.99
 
 
+def test_exclusive_or_of_terms_is_learned_at_production_settings(spark):
+    """Either word alone is toxic, both or none are not: each word is as frequent in both classes, and no additive model fits."""
+    rng = np.random.default_rng(5)
+    filler = ["".join(rng.choice(list("bcdfghjklmn"), 6)) for _ in range(400)]
+    docs, labels = [], []
+    for k in range(4000):
+        one, two = k % 2, k // 2 % 2
+        docs.append((k, " ".join([*rng.choice(filler, 12), *["grub"] * one, *["zork"] * two])))
+        labels.append((k, 0, one ^ two))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 5 == 0]
+    score = np.array(model.score([docs[k][1] for k in held]))
+    assert ((score >= 0.5) == np.array([labels[k][2] for k in held])).mean() > 0.95
+
+
 def test_op4(spark, odd):
     from tokenizers import Tokenizer
 
