@@ -24,10 +24,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the least doc_id stays."""
-    found = ngram_join.ngram_join(docs.select("doc_id", "text"))
-    first = found.where("doc_id = class_id").select("class_id").distinct()
-    rows = hidden(docs).withColumn("hash", F.xxhash64("doc__text"))
-    once = rows.join(first, F.col("doc__doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc__doc_id", "hash"])
+    found = ngram_join.joined(docs.select("doc_id", "text"))
+    first = found.where("doc_id = class_id").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("k")).select("k.doc_id", F.col("k.x").alias("x"))
+    rows = hidden(docs).withColumn("hash", F.xxhash64(F.coalesce("doc__text", F.lit(""))))
+    once = rows.join(first, (F.col("doc__doc_id") == F.col("doc_id")) & (F.col("hash") == F.col("x")), "left_semi").dropDuplicates(["doc__doc_id", "hash"])
     return shown(once.unionByName(rows.where("doc__doc_id is null")), docs)
 
 

@@ -197,23 +197,34 @@ def _as_bits(sets: list[np.ndarray]) -> list[int]:
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
     """From doc_id, text: doc_id, class_id (least doc_id that links reach), n_links (other documents of similarity at or above the threshold), one row per row."""
+    return joined(docs, threshold, words, tile).select("doc_id", "class_id", "n_links")
+
+
+def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
+    """ngram_join() and x, y (hashes of the text) and node (a key of the group of linked texts). Classes are keyed by their text's hash,
+    because rows of one doc_id may hold different texts."""
     prints = written(signatures(docs, words), "signatures")
-    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("id", F.col("x"))
     classes = written(classes, "text-classes")
     left = written(surviving(classes.select("id", "sig"), threshold, tile=tile), "candidates")
     wanted = left.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
-    texts = texts.join(wanted, "id", "left_semi").join(classes.select("id", "x", "y", "copies"), ["id", "x", "y"]).select("id", "copies", "text").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").alias("least"), text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
+    texts = texts.join(classes.select("least", "x", "y", "id", "copies").join(wanted, "id", "left_semi"), ["least", "x", "y"]).select("id", "copies", "text").dropDuplicates(["id"])
     found = written(verified(left, texts, threshold, words), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("id").alias("u"), F.col("towards").alias("v"))).withColumnRenamed("node", "id")
-    known = classes.select("x", "y", "id", "copies").join(counts, "id", "left").join(whole, "id", "left")
+    known = classes.select("x", "y", "id", "copies", "least").join(counts, "id", "left").join(whole, "id", "left")
+    firsts = known.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    known = known.join(firsts, "component", "left")
     out = prints.select("doc_id", "x", "y").join(known, ["x", "y"], "left")
     null = F.col("doc_id").isNull()
     return out.select(
         "doc_id",
-        F.when(~null, F.coalesce("component", "id")).alias("class_id"),
+        F.when(~null, F.coalesce("first", "least")).alias("class_id"),
         F.when(null, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        "x",
+        "y",
+        F.when(~null, F.coalesce("component", "id")).alias("node"),
     )
 
 

@@ -74,6 +74,18 @@ def test_op1_large_group_in_several_tiles(spark):
     assert len(got) == 100 and {(r.class_id, r.n_links) for r in got} == {(0, 99)}
 
 
+def test_op1_and_its_stage_one_id_with_two_texts(spark):
+    """Each text of a shared id has its own links; the stage drops the near copy and keeps the other text of the id."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(120)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words, "own"])), (2, " ".join(other)), (3, " ".join([*other, "own"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(df).collect()) == {(1, 1, 1): 1, (2, 1, 1): 1, (2, 2, 1): 1, (3, 2, 1): 1}
+    assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, df, "").collect())) == [docs[0], docs[2]]
+
+
 def test_op1_pruning_is_bayes():
     """Needed matches follow the binomial tail, and a pair at the threshold is pruned less often than the tolerance allows per step."""
     needs = ngram_join.least_matches(0.8)
