@@ -27,14 +27,18 @@ from tessera.llm.common import running_offsets, table, written
 CAPACITY, CLOSING_ID, RANK_PART_ROWS, CACHED_WORDS = 2048, 0, 100_000, 400_000
 
 
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+LATIN_PLAIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{LATIN}]", c) and re.fullmatch(f"[{LATIN}]", c.lower()))
+
+
 class Words:
     """Ids of a text, as little-endian unsigned 32-bit bytes, by way of the ids of its words.
 
-    Texts of Latin letters and ASCII alone are cut into the tokenizer's own words here and looked up; any other text goes
-    to the tokenizer as a whole. The store of words is emptied when it is full."""
+    Texts of ASCII and Latin letters alone are cut into the tokenizer's own words here and looked up; any other text goes
+    to the tokenizer as a whole. A capital is in LATIN_PLAIN only if its small form is a letter of LATIN too, since texts
+    are cut in small letters. The store of words is emptied when it is full."""
 
-    LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-    PLAIN = re.compile(f"[{LATIN}\x20-\x7e\t-\r]*")
+    PLAIN = re.compile(f"[A-Za-z{LATIN_PLAIN}\x20-\x7e\t-\r]*")
     CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 
     def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
@@ -79,11 +83,23 @@ class Words:
                 yield (self._ids(text) if words is None else b"".join(map(get, words))) + self.close
 
 
+_STORES: dict[str, Words] = {}
+
+
+def word_store(path: str) -> Words:
+    """The store of this Python process. Spark uses its workers again, so a store serves many tasks; it holds one tokenizer and
+    at most ``CACHED_WORDS`` words."""
+    if path not in _STORES:
+        _STORES.clear()
+        _STORES[path] = Words(path)
+    return _STORES[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """From doc_id, text: doc_id, piece, start, length, ids_crc32 and, if asked for, ids. Only documents above the capacity are cut."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(tokenizer)
+        words = word_store(tokenizer)
         for pdf in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
             for doc, raw in zip(pdf["doc_id"], words.ids([t or "" for t in pdf["text"]]), strict=True):

@@ -214,6 +214,18 @@ def test_op4(spark, odd):
     assert len(per) == packing.plan(collections.Counter(r.length for r in got))[1]
 
 
+def test_ids_of_every_code_point_and_of_whole_tables(spark):
+    """Each code point up to U+FFFF inside, before and after words and alone, and all given documents, as the tokenizer has them."""
+    words = packing.Words(packing.default_tokenizer())
+    points = [chr(k) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000]
+    texts = [f"Ab{c}cd {c}ef gh{c} {c} {c}{c}." for c in points] + ["".join(points[k : k + 40]) for k in range(0, len(points), 40)]
+    texts += [r.text or "" for r in rows_of(spark, "/root/testdata/sf0.01")]
+    got = list(words.ids(texts))
+    want = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != [*w.ids, 0]]
+    assert not wrong, wrong[:20]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plan_is_best_fit_decreasing(seed):
     import random
