@@ -22,6 +22,8 @@ from tessera.llm.common import table, text_of, written
 
 WORDS, BINS_LOG2, LOW_BITS = 5, 7, 8
 BINS = 1 << BINS_LOG2
+#: Rows of a range of the order of documents.
+RANGE_ROWS = 250_000
 
 
 def _mix64(x: int) -> int:
@@ -31,36 +33,36 @@ def _mix64(x: int) -> int:
     return x ^ x >> 31
 
 
-def _probes() -> str:
-    """SQL: for each bin the order in which it asks the others."""
-    rows = (sorted((j for j in range(BINS) if j != i), key=lambda j: _mix64(i << 16 | j)) for i in range(BINS))
-    return "array(" + ",".join("array(" + ",".join(map(str, r)) + ")" for r in rows) + ")"
+def _probes() -> Column:
+    """For each bin the order in which it asks the others: one literal, once Spark has folded it."""
+    rows = [sorted((j for j in range(BINS) if j != i), key=lambda j: _mix64(i << 16 | j)) for i in range(BINS)]
+    return F.from_json(F.lit(str(rows)), "array<array<int>>")
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, words: int = WORDS) -> DataFrame:
-    """Adds ``out``: array of BINS bytes (int), or null for a text without words. Steps are columns of their own, since an
-    expression inside a lambda would be computed for each element."""
+    """Adds ``out``: array of BINS bytes (int), or null for a text without words.
+
+    The greatest hash of every bin is added to the hashes before they are sorted, so that the first of each bin is its least
+    hash, or says that the bin is empty. Columns that a lambda reads are used twice or more: Spark would copy a column used once into
+    the lambda and compute it for each element."""
     keep = [F.col(f"`{c}`") for c in df.columns]
     df = df.withColumn("_h", F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
     h = F.col("_h")
     n = F.size(h)
     shingle = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)])
     many = F.transform(F.sequence(F.lit(0), F.greatest(n - words, F.lit(0))), shingle)
-    df = df.withColumn("_s", F.sort_array(F.when(n >= words, many).when(n > 0, F.array(F.xxhash64(h)))))
+    rest = 64 - BINS_LOG2
+    ends = F.array(*[F.lit((k - BINS // 2 << rest) + (1 << rest) - 1) for k in range(BINS)])
+    df = df.withColumn("_s", F.sort_array(F.concat(F.when(n >= words, many).when(n > 0, F.array(F.xxhash64(h))), ends)))
     s = F.col("_s")
-    # signed order: flipping the top bit makes places rise along the sorted hashes
-    place = lambda x: F.shiftrightunsigned(x, 64 - BINS_LOG2).cast("int").bitwiseXOR(F.lit(BINS // 2))
-    df = df.withColumn("_m", F.filter(s, lambda x, i: (i == 0) | (place(x) != place(F.get(s, i - 1)))))
-    m = F.col("_m")
+    least = F.filter(s, lambda x, i: (i == 0) | (F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), rest) != 0))
+    empty = lambda x: x.bitwiseAND(F.lit((1 << rest) - 1)) == (1 << rest) - 1
     low = lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")
-    full = F.size(m) == BINS
-    df = df.withColumn("_full", full).withColumn("_v", F.transform(m, low)).withColumn("_p", F.when(~F.col("_full"), F.map_from_arrays(F.transform(m, place), F.transform(m, low))))
-    bins = F.array(*[F.lit(i) for i in range(BINS)])
-    df = df.withColumn("_d", F.when(~F.col("_full"), F.transform(bins, lambda p: F.element_at("_p", p))))
-    d, probes = F.col("_d"), F.expr(_probes())
+    df = df.withColumn("_d", F.transform(least, lambda x: F.when(~empty(x), low(x))))
+    d, probes = F.col("_d"), _probes()
     donor = lambda p: F.get(F.filter(F.get(probes, p), lambda j: F.get(d, j).isNotNull()), F.lit(0))
-    dense = F.transform(d, lambda v, p: F.coalesce(v, F.get(d, donor(p))))
-    return df.select(*keep, F.when(F.size("_h") == 0, F.lit(None)).when(F.col("_full"), F.col("_v")).otherwise(dense).alias(out))
+    dense = F.transform(d, lambda v, p: F.when(v.isNotNull(), v).otherwise(F.get(d, donor(p))))
+    return df.select(*keep, F.when(F.size("_h") == 0, F.lit(None)).when(F.exists(d, F.isnull), dense).otherwise(d).alias(out))
 
 
 def packed(values: Column) -> Column:
@@ -75,19 +77,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(j)
 
 
-def following(ids: DataFrame, bounds: int = 256) -> DataFrame:
-    """From k, h (distinct, no nulls): adds next_k, next_h of the row after it, of the first after the last one.
+def following(ids: DataFrame, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """From k, h (distinct, no nulls; a stored table): adds next_k, next_h of the row after it, of the first after the last one.
 
-    The order is cut at quantiles, so each window sees a range; the heads of ranges (at most ``bounds``) link them."""
-    at = ids.agg(F.percentile_approx("k", [i / bounds for i in range(1, bounds)], 100 * bounds).alias("at")).first()["at"]
-    edges = F.array(*[F.lit(x) for x in sorted(set(at))]) if at else None
-    cut = F.size(F.filter(edges, lambda e: e <= F.col("k"))) if at else F.lit(0)
-    rows = ids.withColumn("_cut", cut).withColumn("_me", F.struct("k", "h"))
+    Spark's range partitioning cuts the order into ranges of about ``rows_each`` rows, so each window sees a range; the heads of ranges, one row each, link them."""
+    ranges = -(-ids.count() // rows_each) or 1
+    rows = written(ids.repartitionByRange(ranges, "k", "h").select("*", F.spark_partition_id().alias("_cut"), F.struct("k", "h").alias("_me")), "ranges")
     heads = rows.groupBy("_cut").agg(F.min("_me").alias("_head"))
     chain = W.orderBy("_cut")
     heads = heads.select("_cut", F.coalesce(F.lead("_head").over(chain), F.first("_head").over(W.orderBy("_cut").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_after"))
     inside = W.partitionBy("_cut").orderBy("_me")
-    out = rows.withColumn("_next", F.lead("_me").over(inside)).join(F.broadcast(heads), "_cut")
+    out = rows.withColumn("_next", F.lead("_me").over(inside)).join(heads, "_cut")
     out = out.withColumn("_next", F.coalesce("_next", "_after"))
     return out.select(*ids.columns, F.col("_next.k").alias("next_k"), F.col("_next.h").alias("next_h"))
 
@@ -98,7 +98,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"), "text")
     prints = with_fingerprint(docs, "text", "print").select("k", "h", F.col("doc_id").isNull().alias("no_id"), F.length("text").cast("long").alias("n_chars"), F.col("print").cast("array<smallint>").alias("print"))
     prints = written(prints, "prints")
-    links = written(following(prints.select("k", "h", "n_chars").distinct()), "links")
+    links = written(following(written(prints.select("k", "h", "n_chars").distinct(), "print-ids")), "links")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     heads = docs.select("k", "h", "text").join(links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "n_chars"), ["k", "h"])
     heads = heads.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), "n_chars", F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.substring("text", F.lit(1), quarter).alias("head")).dropDuplicates(["k", "h"])

@@ -317,6 +317,21 @@ def test_sparse_fingerprints_are_unbiased(spark):
     assert abs(np.mean(np.array(got) - want)) < 0.03
 
 
+def test_fingerprint_steps_stay_columns_of_their_own(spark):
+    """No step is copied into a lambda, where it would be computed for each element: the words are cut and hashed once."""
+    df = fingerprints.with_fingerprint(spark.createDataFrame([("a b",)], "text string"), "text", "print")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("sort_array(") == 1 and "from_json" not in plan.lower() and "fromjson" not in plan.lower()
+
+
+@pytest.mark.parametrize("rows_each", [3, 1000])
+def test_following_over_ranges(spark, rows_each):
+    ids = mixing.written(spark.createDataFrame([(k * 7 % 40 - 20, k % 3) for k in range(40)], "k long, h long"), "ids")
+    got = {(r.k, r.h): (r.next_k, r.next_h) for r in fingerprints.following(ids, rows_each).collect()}
+    order = sorted(got)
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True)) and len(got) == 40
+
+
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
