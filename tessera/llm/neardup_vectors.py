@@ -7,9 +7,9 @@ share a bucket. Buckets whose members are also those of a bucket in an earlier t
 
 Styles: the hash and the tiles are numpy on Arrow batches, the rest DataFrame functions.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with
-nothing and are components of their own; rows with the same vec_id are separate vectors in links and share a row id in
-components; a null vec_id is kept with no links; an empty table gives no rows; other columns are ignored."""
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are components of
+their own; vectors link with vectors of their own length only; rows with the same vec_id are separate vectors, each with its own
+links and component, and a component is named by its least vec_id; a null vec_id is kept with no links; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -114,7 +114,7 @@ def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def shape(n: int, least: float, recall: float = 0.995) -> tuple[int, int]:
+def shape(n: int, least: float, recall: float = 0.999) -> tuple[int, int]:
     """Bits and tables for n vectors: about one vector in sixteen shares a bucket by chance, and a pair just at the limit is found with this probability."""
     bits = max(8, math.ceil(math.log2(max(2, n))) + 4)
     same = (1 - math.acos(least) / math.pi) ** bits
@@ -127,18 +127,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = TILE) -
     rows = vectors.withColumn("good", F.coalesce(finite & F.col("vec_id").isNotNull(), F.lit(False)))
     key = F.when(F.col("good"), F.struct(F.xxhash64("vector").alias("x"), F.xxhash64(F.lit(1), "vector").alias("y")))
     rows = rows.withColumn("key", key)
-    classes = rows.where("good").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    classes = written(classes, "vector-classes")
+    classes = rows.where("good").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    # a number of its own for each class: rows of one vec_id may hold different vectors
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = shape(classes.count(), least)
     found = written(links(classes.select("id", "copies", "vector"), least, tables, bits, tile), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("id").alias("u"), F.col("towards").alias("v")))
-    known = classes.select("key", "id", "copies").join(counts, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left")
+    known = classes.select("key", "id", "copies", "least").join(counts, "id", "left").join(whole.withColumnRenamed("node", "id"), "id", "left")
+    firsts = known.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    known = known.join(firsts, "component", "left")
     out = rows.select("vec_id", "key").join(known, "key", "left")
     return out.select(
         "vec_id",
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component", "id", "vec_id").alias("component_id"),
+        F.coalesce("first", "least", "vec_id").alias("component_id"),
     )
 
 

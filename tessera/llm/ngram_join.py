@@ -3,8 +3,9 @@
 Equal texts become one class first. Classes whose MinHash bands meet in a bucket are compared in tiles of a bounded number
 of classes: MinHash values are compared some at a time, and a pair is dropped as soon as the posterior probability
 (uniform prior) that its similarity reaches the threshold falls below a tolerance. Pairs that stay are verified exactly
-on the whole sets of shingles, in tiles too. A tile returns counts of links and one link towards the
-least member of each of its clusters, so neither step emits the pairs of a group.
+on the whole sets of shingles, in tiles too: the first pass keeps the members that have a partner left, the second finds
+the pairs again beside the texts. Pairs exist only in the memory of a task, for one tile; a tile returns counts of links and
+one link towards the least member of each of its clusters.
 
 The chance that no band of a pair at the threshold meets is (1 - 0.8^5)^25, one in twenty thousand; above, far less.
 
@@ -12,7 +13,7 @@ Styles: signatures, tiles and verification are numpy on Arrow batches; buckets,
 DataFrame functions.
 
 Defined results: a null text is empty; equal texts are linked whatever they hold; other texts without words are linked with nothing; a text of
-fewer than five words is one shingle; rows with the same doc_id are separate documents that share a result row each; a
+fewer than five words is one shingle; rows with the same doc_id are separate documents, each with the links of its own text; a
 null doc_id has class null and no links; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -114,84 +115,88 @@ def tiles(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, tile: int =
     return spread.select("id", "t", "bucket", "chunk", F.least("chunk", "o").alias("a"), F.greatest("chunk", "o").alias("b"))
 
 
-def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """From id, sig (a stored table): t, bucket, a, b, id, place and partners (places within the tile of what it must be verified against).
+def _pairs(key: tuple, c: dict, needs: list[tuple[int, int]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a tile of the pairs that stay, each in the first band in which both meet."""
+    t, a, b = key[0], key[2], key[3]
+    sig = np.frombuffer(b"".join(c["sig"]), "<u4").reshape(len(c["sig"]), -1)
+    left, right = np.flatnonzero(c["chunk"] == a), np.flatnonzero(c["chunk"] == b)
+    kept = [(np.empty(0, np.int32),) * 2]
+    for at in range(0, len(left), 64):
+        i, j = (v.ravel() for v in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+        if a == b:
+            keep = i < j
+            i, j = i[keep], j[keep]
+        same, done = np.zeros(len(i), np.int32), 0
+        for n, m in needs:
+            same += (sig[i, done:n] == sig[j, done:n]).sum(axis=1, dtype=np.int32)
+            keep = same >= m
+            i, j, same, done = i[keep], j[keep], same[keep], n
+        for k in range(t):
+            keep = (sig[i, k * rows : (k + 1) * rows] != sig[j, k * rows : (k + 1) * rows]).any(axis=1)
+            i, j = i[keep], j[keep]
+        kept.append((i.astype(np.int32), j.astype(np.int32)))
+    i, j = (np.concatenate([p[k] for p in kept]) for k in (0, 1))
+    return i, j
+
 
-    A pair is kept in the first band in which both meet."""
+def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """From id, sig (a stored table): t, bucket, a, b, chunk, id of the members of tiles that have a partner after pruning."""
     needs = least_matches(threshold)
 
     def prune(key: tuple, c: dict) -> dict | None:
-        t, a, b = key[0], key[2], key[3]
-        sig = np.frombuffer(b"".join(c["sig"]), "<u4").reshape(len(c["sig"]), -1)
-        left, right = np.flatnonzero(c["chunk"] == a), np.flatnonzero(c["chunk"] == b)
-        kept = []
-        for at in range(0, len(left), 64):
-            i, j = (v.ravel() for v in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-            if a == b:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            same, done = np.zeros(len(i), np.int32), 0
-            for n, m in needs:
-                same += (sig[i, done:n] == sig[j, done:n]).sum(axis=1, dtype=np.int32)
-                keep = same >= m
-                i, j, same, done = i[keep], j[keep], same[keep], n
-            for k in range(t):
-                keep = (sig[i, k * rows : (k + 1) * rows] != sig[j, k * rows : (k + 1) * rows]).any(axis=1)
-                i, j = i[keep], j[keep]
-            if len(i):
-                kept.append((i, j))
-        if not kept:
+        i, j = _pairs(key, c, needs, rows)
+        if not len(i):
             return None
-        i, j = (np.concatenate([p[k] for p in kept]).astype(np.int32) for k in (0, 1))
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
         place = np.unique(np.concatenate([i, j]))
-        partners = np.empty(len(place), object)
-        partners[:] = [j[lo:hi] for lo, hi in zip(np.searchsorted(i, place), np.searchsorted(i, place, side="right"), strict=True)]
         n = len(place)
-        return {"t": np.full(n, t), "bucket": np.full(n, key[1]), "a": np.full(n, a), "b": np.full(n, b), "id": c["id"][place], "place": place, "partners": partners}
+        return {"t": np.full(n, key[0]), "bucket": np.full(n, key[1]), "a": np.full(n, key[2]), "b": np.full(n, key[3]), "chunk": c["chunk"][place], "id": c["id"][place]}
 
     members = tiles(classes, bands, rows, tile).join(classes.select("id", "sig"), "id")
-    return in_tiles(members, ["chunk", "id"], prune, "t int, bucket long, a int, b int, id long, place int, partners array<int>")
+    return in_tiles(members, ["chunk", "id"], prune, "t int, bucket long, a int, b int, chunk int, id long")
 
 
-def verified(candidates: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
-    """From surviving() and texts (id, copies, text): per tile id, links (counting copies), towards (least id of its cluster there)."""
+def verified(candidates: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS, rows: int = ROWS) -> DataFrame:
+    """From surviving() and texts (id, copies, sig, text): per tile id, links (counting copies), towards (least id of its cluster there)."""
+    needs = least_matches(threshold)
 
     def exact(key: tuple, c: dict) -> dict | None:
-        at = {p: k for k, p in enumerate(c["place"].tolist())}
-        ids, copies = c["id"], c["copies"]
+        i, j = _pairs(key, c, needs, rows)
         sets = [shingles(t, words) for t in c["text"]]
-        bits = _as_bits(sets) if len(sets) > 2 else None
-        i, j = [], []
-        for p, others in enumerate(c["partners"]):
-            for q in others.tolist():
-                o = at[q]
-                both = (bits[p] & bits[o]).bit_count() if bits else len(np.intersect1d(sets[p], sets[o], assume_unique=True))
-                if both >= threshold * (len(sets[p]) + len(sets[o]) - both) - 1e-9:
-                    i.append(p)
-                    j.append(o)
-        if not i:
+        n = np.array([len(s) for s in sets])
+        both = common(sets, i, j)
+        near = both >= threshold * (n[i] + n[j] - both) - 1e-9
+        i, j = i[near], j[near]
+        if not len(i):
             return None
-        i, j = np.array(i), np.array(j)
+        ids, copies = c["id"], c["copies"]
         count = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
         hit = count > 0
         return {"id": ids[hit], "links": count[hit], "towards": local_roots(ids, i, j)[hit]}
 
-    return in_tiles(candidates.join(texts, "id"), ["place"], exact, "id long, links long, towards long")
-
-
-def _as_bits(sets: list[np.ndarray]) -> list[int]:
-    """Each set as the bits of one integer, over the elements that at least two sets hold."""
-    every, seen = np.unique(np.concatenate(sets), return_counts=True)
-    every = every[seen > 1]
-    out = []
-    for s in sets:
-        mask = np.zeros(-(-len(every) // 8) * 8, np.uint8)
-        if len(every) and len(s):
-            where = np.minimum(np.searchsorted(every, s), len(every) - 1)
-            mask[where[every[where] == s]] = 1
-        out.append(int.from_bytes(np.packbits(mask).tobytes(), "big"))
+    return in_tiles(candidates.join(texts, "id"), ["chunk", "id"], exact, "id long, links long, towards long")
+
+
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 8192, cells: int = 1 << 21) -> np.ndarray:
+    """The number of elements that sets i and j have in common, pair by pair. Sets become rows of bits, ``columns`` elements at a time, and pairs
+    are counted ``cells`` words of bits at a time, so that memory doesn't depend on how many elements or pairs there are."""
+    out = np.zeros(len(i), np.int64)
+    every, inside, seen = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(seen > 1) - 1
+    keep = (seen > 1)[inside]
+    owner, column = owner[keep], column[inside[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = int(column[-1]) + 1 if len(column) else 0
+    columns = min(columns, -(-shared // 64) * 64)
+    for at in range(0, shared, columns or 1):
+        lo, hi = np.searchsorted(column, [at, at + columns])
+        bits = np.zeros((len(sets), columns), bool)
+        bits[owner[lo:hi], column[lo:hi] - at] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        some = cells // bits.shape[1]
+        for k in range(0, len(i), some):
+            out[k : k + some] += np.bitwise_count(bits[i[k : k + some]] & bits[j[k : k + some]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -201,15 +206,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
-    """ngram_join() and x, y (hashes of the text) and node (a key of the group of linked texts). Classes are keyed by their text's hash,
+    """ngram_join() and x, y (hashes of the text) and node (a key of the group of linked texts). Classes have numbers of their own,
     because rows of one doc_id may hold different texts."""
     prints = written(signatures(docs, words), "signatures")
-    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("id", F.col("x"))
-    classes = written(classes, "text-classes")
+    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "text-classes")
     left = written(surviving(classes.select("id", "sig"), threshold, tile=tile), "candidates")
     wanted = left.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("least"), text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
-    texts = texts.join(classes.select("least", "x", "y", "id", "copies").join(wanted, "id", "left_semi"), ["least", "x", "y"]).select("id", "copies", "text").dropDuplicates(["id"])
+    texts = texts.join(classes.join(wanted, "id", "left_semi"), ["least", "x", "y"]).select("id", "copies", "sig", "text").dropDuplicates(["id"])
     found = written(verified(left, texts, threshold, words), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("id").alias("u"), F.col("towards").alias("v"))).withColumnRenamed("node", "id")

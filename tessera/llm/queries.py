@@ -45,5 +45,38 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Every pair of different texts that share a run of five words, by exact counts; classes by the least id that links reach.
+OP1_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT t, min(doc_id) AS least, count(*) AS copies, row_number() OVER (ORDER BY t) AS id
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL) GROUP BY t),
+w AS (SELECT id, list_filter(regexp_split_to_array(t, '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS ws FROM c),
+s AS (SELECT id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+meet AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+near AS (SELECT i, j FROM meet JOIN n a ON a.id = i JOIN n b ON b.id = j WHERE k >= 0.8 * (a.n + b.n - k) - 1e-9),
+links AS (SELECT i, j FROM near UNION ALL SELECT j, i FROM near),
+reach(id, root) AS (SELECT id, least FROM c UNION SELECT j, root FROM reach JOIN links ON i = id),
+class AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id),
+more AS (SELECT i AS id, sum(copies) AS links FROM links JOIN c ON c.id = j GROUP BY i)
+SELECT doc_id, class_id, (copies - 1 + coalesce(links, 0))::BIGINT AS n_links
+FROM documents JOIN c ON coalesce(text, '') = t JOIN class USING (id) LEFT JOIN more USING (id) WHERE doc_id IS NOT NULL
+UNION ALL SELECT NULL, NULL, 0 FROM documents WHERE doc_id IS NULL
+"""
+
+#: The cosine of every pair.
+OP10_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM good a JOIN good b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, root) AS (SELECT id, vec_id FROM good UNION SELECT j, root FROM reach JOIN links ON i = id),
+class AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+n AS (SELECT i AS id, count(*) AS links FROM links GROUP BY i)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
+FROM v LEFT JOIN class USING (id) LEFT JOIN n USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op10_vector_near_duplicates": OP10_SQL}

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,49 @@ def test_op1_and_its_stage_one_id_with_two_texts(spark):
     assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, df, "").collect())) == [docs[0], docs[2]]
 
 
+def test_op1_repeated_ids_against_brute_force(spark):
+    """Few ids on many rows: copies, near copies and different texts under one id."""
+    rng = np.random.default_rng(8)
+    bases = [[f"b{k}w{v}" for v in range(40)] for k in range(6)]
+    docs = []
+    for _ in range(120):
+        words = list(bases[rng.integers(6)])
+        for at in rng.integers(0, 40, rng.integers(0, 3)):
+            words[at] = f"x{rng.integers(3)}"
+        docs.append((int(rng.integers(15)), " ".join(words)))
+    got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), tile=8).collect())
+    assert got == by_rows([d for d, _ in docs], similar([t for _, t in docs]))
+
+
+def similar(texts, threshold=0.8):
+    sets = [shingle_set(t) for t in texts]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if texts[i] == texts[j] or (both := len(sets[i] & sets[j])) and both >= threshold * (len(sets[i]) + len(sets[j]) - both)]
+
+
+def by_rows(ids, pairs):
+    """id, least id that links of the row reach, links of the row; rows count, not ids."""
+    root, links = list(range(len(ids))), [0] * len(ids)
+    find = lambda a: a if root[a] == a else find(root[a])
+    for i, j in pairs:
+        links[i] += 1
+        links[j] += 1
+        root[find(i)] = find(j)
+    least = {}
+    for k, d in enumerate(ids):
+        least[find(k)] = min(d, least.get(find(k), d))
+    return collections.Counter((d, least[find(k)], links[k]) for k, d in enumerate(ids))
+
+
+def test_common_counts_in_blocks():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(0, 300)).astype(np.uint64)) for _ in range(30)]
+    i, j = (v.ravel() for v in np.meshgrid(range(30), range(30)))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    off = i != j
+    assert ngram_join.common(sets, i[off], j[off], 64, 8).tolist() == np.array(want)[off].tolist() == ngram_join.common(sets, i[off], j[off]).tolist()
+    assert ngram_join.common([np.empty(0, np.uint64)] * 2, np.array([0]), np.array([1])).tolist() == [0]
+
+
 def test_op1_pruning_is_bayes():
     """Needed matches follow the binomial tail, and a pair at the threshold is pruned less often than the tolerance allows per step."""
     needs = ngram_join.least_matches(0.8)
@@ -410,6 +455,62 @@ def test_op10(spark, odd):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+def test_op10_repeated_ids_against_brute_force(spark):
+    from tessera.llm import neardup_vectors as nv
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 16))
+    rows = [(int(rng.integers(12)), (centres[rng.integers(6)] + rng.normal(size=16) * rng.choice([0, 0.1, 0.3])).round(6).tolist()) for _ in range(150)] + [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01])]
+    near = lambda u, v: len(u) == len(v) and np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v) >= 0.95
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if near(rows[i][1], rows[j][1])]
+    got = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, vector array<double>"), tile=16).collect()
+    assert collections.Counter((r.vec_id, r.component_id, r.n_links) for r in got) == by_rows([d for d, _ in rows], pairs)
+
+
+def test_op10_recall_just_above_the_limit(spark):
+    """1,500 pairs at a cosine of 0.9505 among vectors that are near nothing else."""
+    from tessera.llm import neardup_vectors as nv
+
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    pairs = np.stack([a, 0.9505 * a + (1 - 0.9505**2) ** 0.5 * b], axis=1).reshape(3000, 64)
+    got = nv.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(pairs)], "vec_id long, vector array<double>")).collect()
+    assert sum(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got) >= 0.99 * 3000 and all(r.n_links <= 1 for r in got)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The odd tables, and vectors and documents in groups under ids that repeat."""
+    rng = np.random.default_rng(14)
+    root = str(tmp_path_factory.mktemp("planted"))
+    centres = rng.normal(size=(20, 16))
+    vectors = [(int(k // 1.3), (centres[rng.integers(20)] + rng.normal(size=16) * rng.choice([0, 0.1])).tolist()) for k in range(300)] + [(v[0], v[1]) for v in VECTORS]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{root}/embeddings.parquet")
+    docs = list(ODD) + [(int(k // 1.2) + 50, " ".join(f"p{k % 9}q{v + int(v == k % 50)}" for v in range(40 + k % 3))) for k in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), F.col("doc_id") % 5))).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    return root
+
+
+@pytest.mark.parametrize("where", ["planted", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, request, name, where):
+    root = "/root/testdata/sf0.01" if where == "sf0.01" else request.getfixturevalue(where)
+    duck = duckdb.connect()
+    for k in ("documents", "embeddings", "conversations"):
+        at = f"{root}/{k}.parquet"
+        duck.execute(f"CREATE VIEW {k} AS SELECT * FROM read_parquet('{at if os.path.isfile(at) else at + '/*.parquet'}')")
+    got, found = Q.get(name)(spark, root), duck.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    want = collections.Counter(tuple(plain(r[names.index(c)]) for c in got.columns) for r in found.fetchall())
+    assert collections.Counter(tuple(map(plain, r)) for r in got.collect()) == want
+
+
 def test_op10_large_group_in_several_tiles(spark):
     from tessera.llm import neardup_vectors as nv
 
