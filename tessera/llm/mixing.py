@@ -1,13 +1,16 @@
 """Mixing sources to target weights.
 
-Words are packed into blocks of fixed length, source by source. Output shards of slots draw multinomial counts of the
-sources; the n-th slot of a source maps through the source's own pseudorandom permutation to a block index, and blocks
-are joined by that index. The draws of all shards together are conditioned on the targets (slots of the whole mix are
-dealt by one pseudorandom permutation, so a shard's counts are a multinomial draw given those totals): the mix
-meets its targets to the word, and no block is taken more often than once for each started pass over its source.
+Words are packed into blocks of fixed length, source by source. Each output shard of slots draws its multinomial counts of the
+sources: every slot draws a source by the targets' shares, from a seed of shard and slot, and the counts are summed per shard.
+The draws are then conditioned on the targets: of a source that was drawn too often, as many slots as there are
+too many, chosen by a pseudorandom permutation of its slots, pass to sources that were drawn too rarely. (Draws and choice treat all slots
+alike, so, given the totals, every arrangement is equally likely, as in multinomial draws under that condition.)
+A source's slots are numbered by prefix sums over the shards, its numbers map through the source's own
+permutation to block indices, and blocks are joined by index. So the mix meets its targets to the word, and no block is taken
+more often than once for each started pass over its source.
 
 Permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): arithmetic on the index alone, for any size, with
-nothing to sort or to keep. Native: DataFrame functions only.
+nothing to sort or to keep. Native: DataFrame functions only; the driver sees one row per source.
 
 Defined results: a null text has size 0 and is never taken; sources are ordered by code point with null last; rows with
 the same doc_id count as separate documents in an order fixed by their text; an empty table gives no rows; other columns are ignored."""
@@ -19,9 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import hidden, running_offsets, shown, table, text_of, written
+from tessera.llm.sharding import range_of
 
-#: Words in a block, slots in an output shard, rounds of a permutation, documents in a part of a source.
-BLOCK, SHARD_SLOTS, ROUNDS, PART_ROWS = 64, 4096, 24, 20_000
+#: Words in a block, slots in an output shard, rounds of a permutation, documents in a part of a source, slots that a task draws.
+BLOCK, SHARD_SLOTS, ROUNDS, PART_ROWS, TASK_SLOTS = 64, 4096, 24, 20_000, 250_000
+#: Words in a block where the mix is written as text, so that most documents stay whole.
+TEXT_BLOCK = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -72,30 +78,63 @@ def fragments(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("row", "source", "block", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.greatest(start - F.col("at"), F.lit(0)).alias("word"))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """From source, source_size, target (few rows): one row per slot of the mix: shard, place, source, block, take (words from the block's start)."""
+def draws(spark: SparkSession, wanted: list[int], shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Multinomial counts of the sources per shard: shard, k (number of the source), n. wanted: slots by source, whose shares are the chances."""
+    ends, total = [], 0
+    for n in wanted:
+        total += n
+        ends.append(total)
+    slot = spark.range(0, total, 1, max(1, -(-total // TASK_SLOTS)))
+    shard, place = F.floor(F.col("id") / shard_slots), F.col("id") % shard_slots
+    drawn = F.pmod(F.xxhash64(F.lit("draw"), shard, place), F.lit(max(1, total)))
+    return slot.select(shard.alias("shard"), range_of(drawn, ends[:-1]).alias("k")).groupBy("shard", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots(spark: SparkSession, wanted: list[int], shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per slot of the mix: shard, place (orders a shard's slots), k and i. The numbers i of a source's slots are 0 to its wanted slots, each once."""
+    counts = written(draws(spark, wanted, shard_slots), "mix-draws")
+    had = [0] * len(wanted)
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row per source
+        had[r["k"]] = r["n"]
+    before = running_offsets(counts, ["k"], ["shard"], "n", "before", F.floor(F.col("shard") / PART_ROWS))
+    at = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("k") + 1)
+    each = before.withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
+    each = each.select("shard", "k", F.xxhash64(F.lit("place"), "shard", "k", "j").alias("place"), "j", at(had).alias("had"), at(wanted).alias("wanted"))
+    each = each.withColumn("i", F.when(F.col("had") > F.col("wanted"), permuted(F.col("j"), F.col("had"), F.xxhash64(F.lit("keep"), "k"))).otherwise(F.col("j")))
+    over, starts = 0, []
+    for h, n in zip(had, wanted, strict=True):
+        starts.append(over)
+        over += max(0, h - n)
+    if not over:
+        return each.select("shard", "place", "k", "i")
+    # the over-drawn slots, numbered over all sources, are dealt to the sources that lack some
+    lacking = [k for k, (h, n) in enumerate(zip(had, wanted, strict=True)) if h < n]
+    ends = [sum(wanted[k] - had[k] for k in lacking[: x + 1]) for x in range(len(lacking))]
+    each = each.withColumn("passes", F.col("i") >= F.col("wanted")).withColumn("x", F.when(F.col("passes"), permuted(F.col("i") - F.col("wanted") + at(starts), F.lit(over).cast("long"), F.lit(29).cast("long"))))
+    to = range_of(F.col("x"), ends[:-1])
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), to + 1)
+    k = F.when(F.col("passes"), pick(lacking).cast("int")).otherwise(F.col("k"))
+    i = F.when(F.col("passes"), F.col("x") - pick([0, *ends[:-1]]) + pick([had[k] for k in lacking])).otherwise(F.col("i"))
+    return each.select("shard", "place", k.alias("k"), i.alias("i"))
+
+
+def dealt(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """From source, source_size, target (a stored table of few rows): one row per slot of the mix: shard, place, source, block, take (words from the block's start)."""
     s = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("want", F.floor(F.col("target") + 0.5))
     salt = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     s = s.withColumn("salt", F.xxhash64(salt)).withColumn("short", F.col("blocks") * block - F.col("source_size"))
     # where in a pass the short last block comes
     s = s.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("salt"), back=True))
-    s = s.withColumn("n", F.floor(F.col("want") / F.col("source_size")) * F.col("blocks") + F.ceil((F.col("want") % F.col("source_size") + F.col("short")) / block))
-    first = F.coalesce(F.sum("n").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("first", first).withColumn("all", F.sum("n").over(W.partitionBy()))
-    # long runs of slots are cut before they are spread, so that no row becomes more than a few thousand
-    s = s.where("n > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / shard_slots))))
-    each = s.repartition(_tasks(s), "salt", "run").withColumn("i", F.explode(F.sequence(F.col("run") * shard_slots, F.least(F.col("n"), (F.col("run") + 1) * shard_slots) - 1)))
+    s = s.withColumn("n", F.floor(F.col("want") / F.col("source_size")) * F.col("blocks") + F.ceil((F.col("want") % F.col("source_size") + F.col("short")) / block)).where("n > 0")
+    s = s.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    wanted = [r["n"] for r in s.select("k", "n").orderBy("k").collect()]  # one row per source
+    each = slots(sources.sparkSession, wanted, shard_slots).join(s, "k")
     turn, k = F.floor(F.col("i") / F.col("blocks")), F.col("i") % F.col("blocks")
     start = turn * F.col("source_size") + k * block - F.when(k > F.col("short_at"), F.col("short")).otherwise(F.lit(0))
     each = each.withColumn("block", permuted(k, F.col("blocks"), F.col("salt"))).withColumn("start", start)
     length = F.when(F.col("block") == F.col("blocks") - 1, F.lit(block) - F.col("short")).otherwise(F.lit(block))
-    place = permuted(F.col("first") + F.col("i"), F.col("all"), F.lit(17))
     out = each.withColumn("take", F.least(length, F.col("want") - F.col("start")).cast("int")).where("take > 0")
-    return out.select(F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("place"), "source", "block", "take")
-
-
-def _tasks(runs: DataFrame) -> int:
-    return max(1, -(-runs.count() // 24))
+    return out.select("shard", "place", "source", "block", "take")
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -113,7 +152,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
     row, shard, place, lo, hi, word, words (taken from the fragment: its first so many)."""
     sizes = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     sources = written(targets(sizes, weights, share, most), "mix-sources")
-    f, s = fragments(placed(docs), block).alias("f"), slots(sources, block, shard_slots).alias("s")
+    f, s = fragments(placed(docs), block).alias("f"), dealt(sources, block, shard_slots).alias("s")
     same = F.col("f.block").eqNullSafe(F.col("s.block")) & F.col("f.source").eqNullSafe(F.col("s.source")) & (F.col("f.lo") < F.col("s.take"))
     # both sides grow with the words, and the number of generated slots isn't in Spark's estimate: merge, never broadcast
     taken = f.join(s.hint("merge"), same).select("f.row", "f.word", "f.lo", "f.hi", "s.shard", "s.place", (F.least("f.hi", "s.take") - F.col("f.lo")).alias("words"))
@@ -125,25 +164,27 @@ def numbered(docs: DataFrame, key: list[str]) -> DataFrame:
     return docs.withColumn("row", F.struct(*key, F.row_number().over(W.partitionBy(*key).orderBy(key[0])).alias("n")))
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents as the mix takes them: each text becomes its taken words with the spaces after them, first those
-    that any pass takes, then those that a second pass takes again; documents of which nothing is taken go. n_chars
-    follows the text where there is such a column. For documents, at most two uses of a block, so ``most`` stays 2."""
+def mixed_documents(docs: DataFrame, block: int = TEXT_BLOCK, **params) -> DataFrame:
+    """The mix itself: one row per fragment of a document in a slot of a shard, with the document's columns; its text is the fragment's words with the spaces
+    after them, n_chars its length where there is such a column. Whole shards lie together, in the order of shard, place and place
+    in the block, so that the texts of a shard, one after the other, are the shard."""
     key = F.struct(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
     slim = docs.select(key.alias("key"), F.col("source"), n_words(text_of()).alias("size"))
     rows = written(numbered(slim, ["key"]), "mix-docs")
-    _, taken = mix(rows.select("row", "source", "size"), **params)
-    per = taken.groupBy("row", "word").agg(F.max("words").alias("once"), (F.sum("words") - F.max("words")).alias("again"))
-    per = per.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "once", "again"))).alias("_frags")).withColumn("_key", F.col("row.key"))
+    _, taken = mix(rows.select("row", "source", "size"), block, **params)
+    # a document's fragments: as many as its own length makes
+    per = taken.groupBy("row").agg(F.collect_list(F.struct("shard", "place", "lo", "word", "words")).alias("_frags")).withColumn("_key", F.col("row.key"))
     full = hidden(docs.withColumn("_key", key)).withColumnRenamed("doc___key", "_key")
     if (rows.agg(F.max("row.n").alias("n")).first()["n"] or 1) > 1:  # rows that repeat: each takes its own words from one of them
         full = full.dropDuplicates(["_key"])
     words = F.regexp_extract_all(text_of("doc__text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    full = full.join(per, "_key").withColumn("_words", words)
-    use = lambda n: F.flatten(F.transform("_frags", lambda f: F.slice(F.col("_words"), (f["word"] + 1).cast("int"), f[n].cast("int"))))
-    once, again = F.array_join(use("once"), ""), F.array_join(use("again"), "")
-    full = full.withColumn("_new", F.when(F.length(again) > 0, F.concat_ws("\n", once, again)).otherwise(once))
-    return shown(full, docs, text=F.col("_new"), n_chars=F.length("_new"))
+    full = full.join(per, "_key")
+    text = lambda w, f: F.array_join(F.slice(w, (f["word"] + 1).cast("int"), f["words"].cast("int")), "")
+    cut = lambda w: F.transform("_frags", lambda f: F.struct(f["shard"].alias("shard"), f["place"].alias("place"), f["lo"].alias("lo"), text(w, f).alias("text")))
+    # the words are bound as the element of an array of one, so that they are found once per document
+    full = full.withColumn("_f", F.explode(F.flatten(F.transform(F.array(words), cut)))).drop("_frags", "doc__text")
+    full = full.repartition("_f.shard").sortWithinPartitions("_f.shard", "_f.place", "_f.lo")
+    return shown(full, docs, text=F.col("_f.text"), n_chars=F.length("_f.text"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, fingerprints, mixing, ngram_join, packing, pii, queries, toxicity
@@ -175,6 +176,100 @@ def test_op2(spark, request, where):
     assert sorted(map(str, got)) == sorted(map(str, Q["op2_mixing"](spark, root).collect()))
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, ints (a tuple holds one as 4 bytes) and longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_permuted(x, n, salt, back=False):
+    for r in reversed(range(mixing.ROUNDS)) if back else range(mixing.ROUNDS):
+        partner = (spark_hash("key", salt, (r,), n) % n - x) % n
+        if spark_hash("coin", salt, (r,), max(x, partner)) & 1:
+            x = partner
+    return x
+
+
+def plain_mix(docs, target, block, shard_slots):
+    """Every draw and every join of mix() one by one. docs: (row, source, size) in order; target by source. Words taken by (shard, row)."""
+    names = sorted({s for _, s, _ in docs})
+    words = {s: [(row, k) for row, source, size in docs if source == s for k in range(size)] for s in names}
+    blocks = {s: -(-len(words[s]) // block) for s in names}
+    want = {s: int(target[s] + 0.5) for s in names}
+    short = {s: blocks[s] * block - len(words[s]) for s in names}
+    wanted = [want[s] // len(words[s]) * blocks[s] + -(-(want[s] % len(words[s]) + short[s]) // block) for s in names]
+    total, numbers = sum(wanted), [[] for _ in names]
+    for at in range(total):
+        u = spark_hash("draw", at // shard_slots, at % shard_slots) % total
+        numbers[next(k for k in range(len(names)) if u < sum(wanted[: k + 1]))].append(at // shard_slots)
+    had = [len(v) for v in numbers]
+    starts = [sum(max(0, had[j] - wanted[j]) for j in range(k)) for k in range(len(names))]
+    lacking = [k for k in range(len(names)) if had[k] < wanted[k]]
+    over = sum(wanted[k] - had[k] for k in lacking)
+    out, seen = collections.Counter(), set()
+    for k in range(len(names)):
+        for j, shard in enumerate(numbers[k]):
+            to, i = k, j
+            if had[k] > wanted[k]:
+                i = plain_permuted(j, had[k], spark_hash("keep", (k,)))
+                if i >= wanted[k]:
+                    x = plain_permuted(i - wanted[k] + starts[k], over, 29)
+                    for to in lacking:
+                        if x < wanted[to] - had[to]:
+                            break
+                        x -= wanted[to] - had[to]
+                    i = had[to] + x
+            assert (to, i) not in seen
+            seen.add((to, i))
+            s = names[to]
+            salt = spark_hash("s" + s)
+            turn, place = divmod(i, blocks[s])
+            short_at = plain_permuted(blocks[s] - 1, blocks[s], salt, back=True)
+            begun = turn * len(words[s]) + place * block - (short[s] if place > short_at else 0)
+            at = plain_permuted(place, blocks[s], salt)
+            out.update((shard, row) for row, _ in words[s][at * block : (at + 1) * block][: max(0, want[s] - begun)])
+    return out, names, had, wanted
+
+
+def test_op2_draw_by_draw(spark):
+    rng = np.random.default_rng(21)
+    docs = [(k, "abc"[min(2, k // 20)], int(rng.integers(0, 300))) for k in range(60)]
+    sources, taken = mixing.mix(spark.createDataFrame(docs, "row long, source string, size long"), block=16, shard_slots=32)
+    got = {(r.shard, r.row): r.n for r in taken.groupBy("shard", "row").agg(F.sum("words").alias("n")).collect()}
+    want, _, had, wanted = plain_mix(docs, {r.source: r.target for r in sources.collect()}, 16, 32)
+    assert got == dict(want) and had != wanted and len({s for s, _ in got}) > 5
+
+
+def test_shard_counts_are_multinomial_draws(spark):
+    """Mean and variance of a source's slots over many shards, before and after the condition."""
+    wanted = [30_000, 8_000, 2_000]
+    rows = mixing.slots(spark, wanted, 40).groupBy("k", "shard").count().collect()
+    for k, n in enumerate(wanted):
+        p, per = n / 40_000, [r["count"] for r in rows if r.k == k]
+        per += [0] * (1000 - len(per))
+        assert sum(per) == n and abs(np.var(per) / (40 * p * (1 - p)) - 1) < 0.2
+    assert mixing.slots(spark, wanted, 40).select("k", "i").distinct().count() == 40_000
+
+
+def test_written_mix_is_made_of_whole_shards(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = mixing.mixed_documents(docs, block=64, shard_slots=16).collect()
+    before = collections.defaultdict(list)
+    for r in docs.collect():
+        before[r.doc_id].append(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    assert all(any(" ".join(words(r.text)) in t for t in before[r.doc_id]) and r.n_chars == len(r.text) and len(words(r.text)) <= 64 for r in out)
+    taken, op2 = collections.Counter(), collections.Counter()
+    for r in out:
+        taken[r.source] += len(words(r.text))
+    _, mix = mixing.mix(mixing.numbered(docs.select(F.col("doc_id").alias("key"), "source", mixing.n_words(mixing.text_of()).alias("size")), ["key"]).drop("key"), 64, 16)
+    for r in mix.collect():
+        op2[r.row.key] += r.words
+    assert sum(taken.values()) == sum(op2.values())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 256])
 def test_permutation_and_its_inverse(spark, n):
     df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p"))
