@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none, as in tests, a local one."""
+    """The folder that all executors share. A local one only where none is named and Spark runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -2,17 +2,18 @@
 
 Trusted positives (label 1) and unlabelled text give the non-negative unbiased risk (Kiryo et al. 2017):
 prior x R+(positives) + max(0, R-(unlabelled) - prior x R-(positives)), with the logistic loss, so a score is the probability
-of label 1. No negative label is used. The class prior is estimated from the same two samples: the least ratio of unlabelled
-to positive mass above a threshold of a first classifier of positives against unlabelled text (Scott 2015), held out by halves.
+of label 1. No negative label is used. The class prior is the least ratio of unlabelled to positive mass above a threshold of a first
+classifier of positives against unlabelled text (Scott 2015), by halves: a half's masses are those of the other half's classifier.
 
 The score is a sum of step functions of measures of the whole text (word and line repetition, characters,
-compressibility), their steps at quantiles of the fit sample.
+compressibility). Their steps (quantiles) and the unlabelled masses of the prior come from all documents that aren't held out; only the
+gradient steps use samples, of at most ``FIT_ROWS`` trusted and as many unlabelled documents.
 
-Styles: measures and the score are Python on Arrow batches, each text on its own; the fit is numpy on two samples
-of at most ``FIT_ROWS`` rows each, whatever the size of the tables.
+Styles: measures and the score are Python on Arrow batches, each text on its own; quantiles and masses are DataFrame aggregates;
+the gradient steps are numpy on the driver.
 
-Defined results: a null text is empty and has a score like any; repeated rows are scored each; a null doc_id isn't held
-out and never fitted on; an empty table gives no rows; without positives every score is 0.5; other columns are ignored."""
+Defined results: a null text is empty and has a score like any; repeated rows are scored each, and an id is in a sample once, with the least of its
+rows' measures; a null doc_id isn't held out and never fitted on; an empty table gives no rows; without positives every score is 0.5; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 from tessera.llm.labels import drawn, held_out, one_label
 
 FIT_ROWS, STEPS, CUT = 15_000, 24, 0.3
@@ -118,24 +119,18 @@ def _apart(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return _descend(grad, p.shape[1] + 1, 200)
 
 
-def estimated_prior(p: np.ndarray, u: np.ndarray, least: float = 0.2) -> float:
-    """The least of U(s > t) / P(s > t) over thresholds that keep at least this share of the positives."""
-    found = []
-    for k in (0, 1):
-        w = _apart(np.ascontiguousarray(p[k::2]), np.ascontiguousarray(u[k::2]))
-        a, b = np.sort(_times(p[1 - k :: 2], w)), np.sort(_times(u[1 - k :: 2], w))
-        cuts = np.quantile(a, np.linspace(0, 1 - least, 60))
-        above = lambda x: 1 - np.searchsorted(x, cuts, side="left") / len(x)
-        found.append(float(np.min(above(b) / np.maximum(above(a), 1e-9))))
-    return float(np.clip(np.mean(found), 0.05, 0.95))
+def thresholds(s: np.ndarray, least: float = 0.2, n: int = 60) -> np.ndarray:
+    """Of scores of positives: quantiles that keep at least this share of them."""
+    return np.quantile(s, np.linspace(0, 1 - least, n))
 
 
-def fitted(p: np.ndarray, u: np.ndarray, decay: float = 1e-4) -> Model:
-    """From measures of positives and unlabelled rows."""
-    both = np.concatenate([p, u])
-    edges = np.quantile(both, np.linspace(0, 1, STEPS + 1)[:-1], axis=0).T
-    p, u = stepped(p, edges), stepped(u, edges)
-    prior = estimated_prior(p, u)
+def estimated_prior(masses: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """From the shares (unlabelled, positive) at or above the thresholds, one pair per half: the mean of the least ratios."""
+    return float(np.clip(np.mean([np.min(u / np.maximum(p, 1e-9)) for u, p in masses]), 0.05, 0.95))
+
+
+def fitted(p: np.ndarray, u: np.ndarray, edges: np.ndarray, prior: float, decay: float = 1e-4) -> Model:
+    """From steps of positives and unlabelled rows."""
 
     def grad(w: np.ndarray) -> np.ndarray:
         zp, zu = _times(p, w), _times(u, w)
@@ -153,53 +148,82 @@ def fitted(p: np.ndarray, u: np.ndarray, decay: float = 1e-4) -> Model:
     return Model(edges, w[:-1], float(w[-1]), prior)
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"trusted": pdf["trusted"], "x": [np.array(measures(t or "")).tobytes() for t in pdf["text"]]})
+def measured(docs: DataFrame) -> DataFrame:
+    """All columns of the documents and x, the measures of the text."""
+
+    @F.pandas_udf("array<double>")
+    def measure(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([measures(t or "") for t in some])
+
+    return docs.withColumn("x", measure(F.col("text")))
+
+
+def _half(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)).cast("int")
+
+
+def _edges(seen: DataFrame) -> np.ndarray:
+    """Quantiles of every measure over all rows."""
+    probs = [float(q) for q in np.linspace(0, 1, STEPS + 1)[:-1]]
+    at = seen.agg(*[F.percentile_approx(F.get("x", F.lit(k)), probs, 10_000).alias(f"q{k}") for k in range(N_MEASURES)]).first()
+    return np.array([list(q) for q in at])
+
+
+def _masses(seen: DataFrame, edges: np.ndarray, first: list[np.ndarray], cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """Per half, the share of all its rows whose score by the other half's classifier is at or above each threshold."""
+
+    @F.pandas_udf("double")
+    def score(halves: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for half, x in halves:
+            z = np.empty(len(x))
+            for k in (0, 1):
+                at = (half == k).to_numpy()
+                if at.any():
+                    z[at] = _times(stepped(np.stack(x.to_numpy()[at]), edges), first[1 - k])
+            yield pd.Series(z)
+
+    rows = seen.select(_half(F.col("doc_id")).alias("half"), "x").select("half", score("half", "x").alias("z"))
+    above = [F.count(F.when(F.col("z") >= F.when(F.col("half") == 0, float(a)).otherwise(float(b)), 1)).alias(f"c{k}") for k, (a, b) in enumerate(zip(*cuts, strict=True))]
+    got = {r["half"]: np.array(r[2:], float) / r["n"] for r in rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), *above).collect()}
+    return [got.get(k, np.ones(len(cuts[k]))) for k in (0, 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model | None:
-    """From documents (doc_id, text) and labels (doc_id, quality); None without positives."""
+    """From documents (doc_id, x; a stored table, it is read several times) and labels (doc_id, quality); None without positives."""
     trusted = drawn(one_label(labels, "quality").where("y = 1").select("doc_id"), most, "trusted").withColumn("trusted", F.lit(True))
-    seen = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id")
-    unlabelled = drawn(seen, most, "unlabelled").withColumn("trusted", F.lit(False))
+    seen = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "x")
+    unlabelled = drawn(seen.select("doc_id").distinct(), most, "unlabelled").withColumn("trusted", F.lit(False))
     chosen = trusted.union(unlabelled)  # at most twice ``most`` ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "text").mapInPandas(_measured, "trusted boolean, x binary").toPandas()
+    rows = seen.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "trusted").agg(F.min("x").alias("x")).select("doc_id", "trusted", _half(F.col("doc_id")).alias("half"), "x").toPandas()
+    rows = rows.sort_values(["doc_id", "trusted"])  # rows come in any order: the fit mustn't depend on it
     if not rows["trusted"].any():
         return None
-    x, is_p = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), -1), rows["trusted"].to_numpy(bool)
-    order = np.lexsort([*x.T[::-1], is_p])  # rows come in any order: the fit mustn't depend on it
-    x, is_p = x[order], is_p[order]
-    mixed = np.random.default_rng(7).permutation(len(x))
-    x, is_p = x[mixed], is_p[mixed]
-    return fitted(x[is_p], x[~is_p])
+    edges = _edges(seen)
+    x, is_p, half = stepped(np.stack(rows["x"].to_numpy()), edges), rows["trusted"].to_numpy(bool), rows["half"].to_numpy()
+    parts = [(x[is_p & (half == k)], x[~is_p & (half == k)]) for k in (0, 1)]
+    if min(len(v) for pair in parts for v in pair) == 0:  # too few rows for an estimate
+        return fitted(x[is_p], x[~is_p], edges, 0.5)
+    first = [_apart(p, u) for p, u in parts]
+    held = [_times(parts[k][0], first[1 - k]) for k in (0, 1)]
+    cuts = [thresholds(s) for s in held]
+    kept = [1 - np.searchsorted(np.sort(s), c, side="left") / len(s) for s, c in zip(held, cuts, strict=True)]
+    prior = estimated_prior(list(zip(_masses(seen, edges, first, cuts), kept, strict=True)))
+    return fitted(x[is_p], x[~is_p], edges, prior)
 
 
 def scored(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
-    """All columns of the documents and ``out``, the score of their text."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if model is None or not len(pdf):
-                yield pd.DataFrame({"score": np.full(len(pdf), 0.5)})
-            else:
-                yield pd.DataFrame({"score": model.score(np.array([measures(t or "") for t in pdf["text"]]))})
-
-    return with_scores(docs, add, out)
-
-
-def with_scores(docs: DataFrame, add, out: str = "score") -> DataFrame:
-    """Adds ``out`` by a vectorised function of the text."""
+    """From documents with x: all columns and ``out``, the score."""
 
     @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for done in add(pd.DataFrame({"text": t}) for t in texts):
-            yield done["score"]
+    def score(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in xs:
+            yield pd.Series(np.full(len(x), 0.5) if model is None or not len(x) else model.score(np.stack(x.to_numpy())))
 
-    return docs.withColumn(out, score(F.col("text")))
+    return docs.withColumn(out, score(F.col("x")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = written(measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "measures")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -25,11 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.labels import drawn, held_out, one_label
-from tessera.llm.quality import with_scores
 
 FIT_ROWS, PLACES, FACTORS, START, CUT = 20_000, 1 << 18, 8, 5, 0.5
-#: Nothing is cut by a test of single terms; the name stays because a test sets it.
-SIGNIFICANT = 0.0
 #: One chi-square in a thousand is larger by chance.
 CHANCE = 10.8
 WORD = re.compile(r"[^\W\d_]+")
@@ -141,11 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"score": model.score([t or "" for t in pdf["text"]])})
+    """All columns of the documents and ``out``, the score of their text."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series(model.score([t or "" for t in some]))
 
-    return with_scores(docs, add, out)
+    return docs.withColumn(out, score(F.col("text")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each query on odd tables and empty tables, and against a plain version."""
 
+import bisect
 import collections
 import hashlib
 import os
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprints, mixing, ngram_join, packing, pii, queries, toxicity
+from tessera.llm import chat, fingerprints, mixing, ngram_join, packing, pii, queries, sharding, toxicity
 
 from .conftest import ODD, TURNS, VECTORS
 
@@ -306,12 +307,8 @@ def test_pairs_of_terms_count(spark):
     for k in range(1200):
         filler = " ".join(f"n{v}" for v in "bcdfghjk"[: rng.integers(1, 8)])
         texts.append(f"{'grub' if k % 2 else 'fern'} {'zork' if k // 2 % 2 else 'plum'} {filler}")
-    old, toxicity.SIGNIFICANT = toxicity.SIGNIFICANT, 0.0
-    try:
-        y = np.array([float("grub" in t and "zork" in t) for t in texts])
-        m = toxicity.fitted([toxicity.terms(t) for t in texts], y)
-    finally:
-        toxicity.SIGNIFICANT = old
+    y = np.array([float("grub" in t and "zork" in t) for t in texts])
+    m = toxicity.fitted([toxicity.terms(t) for t in texts], y)
     assert ((np.array(m.score(texts)) >= 0.5) == (y == 1)).mean() > 0.99
 
 
@@ -532,6 +529,46 @@ def test_op8(spark, request, where):
         assert all(abs(per[k] - mean) < 2 * max(r["size"] for r in got) for k in range(8))
 
 
+@pytest.mark.parametrize("n", [3, 400, 3000])
+def test_range_of_many_boundaries(spark, n):
+    rng = np.random.default_rng(n)
+    bounds = sorted({int(v) for v in rng.integers(-1 << 62, 1 << 62, n)})
+    keys = [int(v) for v in rng.integers(-1 << 63, 1 << 62, 500)] + bounds[:50] + [bounds[-1], bounds[0] - 1]
+    got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", sharding.range_of(F.col("key"), bounds).alias("at")).collect()
+    assert all(r["at"] == bisect.bisect_right(bounds, r.key) for r in got)
+
+
+def test_op8_divides_repeated_rows(spark):
+    """Half of all rows are one text under two ids, one of them null; the law holds all the same, and other groups stay whole."""
+    docs = [(None if k % 2 else 7, "the same text again") for k in range(4000)] + [(10 + k, f"text {k // 3} " + "z" * (k % 40)) for k in range(4000)]
+    records = spark.createDataFrame(docs, "tie long, text string").select(F.xxhash64("text").alias("key"), "tie", (F.octet_length("text") + 1).cast("long").alias("size"), "text")
+    got = sharding.shard(records, 8).collect()
+    per, slots, at = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in got:
+        per[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        at[r.text].add(r.shard)
+    mean = sum(per.values()) / 8
+    assert len(got) == 8000 and all(abs(per[k] - mean) < 0.02 * mean + 60 for k in range(8))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for t, v in at.items() if t[0] != "t" or t[:3] != "the")
+
+
+def test_op3_fit_takes_an_id_once(spark):
+    """An id on very many rows is one row of the sample, and the prior of planted classes is found."""
+    from tessera.llm import quality
+
+    rng = np.random.default_rng(31)
+    good = lambda: ". ".join(" ".join(rng.choice(["The", "cat", "sat", "on", "a", "mat", "today", "again"], 12)) for _ in range(4)) + "."
+    bad = lambda: "$$ !!! " + " ".join(rng.choice(["BUY", "NOW", "$$$", "99"], 40))
+    docs = [(k, good() if k % 10 < 3 else bad()) for k in range(3000)] + [(4, "again and again")] * 400
+    labels = [(k, 1) for k in range(3000) if k % 10 == 0]
+    rows = quality.written(quality.measured(spark.createDataFrame(docs, "doc_id long, text string")), "m")
+    model = quality.fit(rows, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert abs(model.prior - 0.3 * 3000 / 3400) < 0.08
+    got = quality.scored(rows, model).select("doc_id", "score").where("doc_id <> 4").collect()
+    assert np.mean([(r.score >= quality.CUT) == (r.doc_id % 10 < 3) for r in got]) > 0.95
+
+
 def test_op10(spark, odd):
     good = [(i, np.array(v, float)) for i, v, _ in VECTORS if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links, root = collections.Counter(), {i: i for i, _ in good}
