@@ -16,10 +16,10 @@ from tessera.llm.common import hidden, shown, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    rows = quality.scored(hidden(docs).withColumn("text", F.col("doc__text")), model)
-    return shown(rows.where(F.col("score") >= quality.CUT), docs)
+    """Documents that the classifier rejects go. The measures of a text are stored beside it, so that they are taken once."""
+    rows = written(quality.measured(hidden(docs).withColumn("text", F.col("doc__text"))).drop("text"), "measured")
+    model = quality.fit(rows.select(F.col("doc__doc_id").alias("doc_id"), "x"), table(spark, sf_dir, "labels"))
+    return shown(quality.scored(rows, model).where(F.col("score") >= quality.CUT), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by its kind in brackets."""
-    weights = pii.trained(pii.candidates(docs.select("text")))
-    found = pii.candidates(hidden(docs).withColumn("text", F.col("doc__text")))
-    spans = F.concat("base", pii.accepted(F.col("more"), weights))
-    out = found.withColumn("spans", spans).withColumn("new", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans"))))
+    """Every span found is replaced by its kind in brackets. Candidates are stored beside the texts, so that a text is searched once."""
+    found = written(pii.candidates(hidden(docs).withColumn("text", F.col("doc__text"))).drop("text"), "found")
+    spans = F.concat("base", pii.accepted(F.col("more"), pii.trained(found)))
+    out = found.withColumn("spans", spans).withColumn("new", F.when(F.col("doc__text").isNotNull(), pii.redacted(F.col("doc__text"), F.col("spans"))))
     return shown(out, docs, text=F.col("new"), n_chars=F.length("new"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as the mix takes them; documents of which it takes nothing go."""
+    """The shards of the mix, block by block: a row is what a document has in a block, so a doc_id comes once for each of its fragments and
+    once more for each repeat; documents of which the mix takes nothing go. A null text has no words and goes."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as pieces in sequences of at most 2048 ids, each closed by the closing id; an empty text is that id alone."""
     return packing.packed(docs.select("doc_id", "text"), packing.default_tokenizer())
 
 
@@ -57,7 +58,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests hold each against a plain version.
+#: SQL can't express the stages (fits, pseudorandom permutations, a greedy plan); tests hold them against plain versions.
 ORACLE_SQL = None
 
 
