@@ -14,6 +14,7 @@ length follow doc_id, piece and checksum; a null doc_id is kept; an empty table
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,19 +25,23 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import running_offsets, table, written
 
-CAPACITY, CLOSING_ID, RANK_PART_ROWS, CACHED_WORDS = 2048, 0, 100_000, 400_000
+CAPACITY, CLOSING_ID, RANK_PART_ROWS, CACHED_WORDS = 2048, 0, 100_000, 600_000
 
 
 LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 LATIN_PLAIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{LATIN}]", c) and re.fullmatch(f"[{LATIN}]", c.lower()))
+#: Byte-level models write a byte as a letter: printable ones as themselves, the others as letters from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES_AS_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 class Words:
     """Ids of a text, as little-endian unsigned 32-bit bytes, by way of the ids of its words.
 
-    Texts of ASCII and Latin letters alone are cut into the tokenizer's own words here and looked up; any other text goes
+    Texts of ASCII and Latin letters alone are cut into the tokenizer's own words here, and words are looked up or go to its model; any other text goes
     to the tokenizer as a whole. A capital is in LATIN_PLAIN only if its small form is a letter of LATIN too, since texts
-    are cut in small letters. The store of words is emptied when it is full."""
+    are cut in small letters. The store has two halves: when the newer one is full it becomes the older one, whose words move
+    back when they are met again, so frequent words stay and the store stays bounded."""
 
     PLAIN = re.compile(f"[A-Za-z{LATIN_PLAIN}\x20-\x7e\t-\r]*")
     CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
@@ -44,40 +49,34 @@ class Words:
     def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.stop = self.tokenizer.encode(".", add_special_tokens=False).ids
+        self.tokenizer, self.half, self.known, self.older = Tokenizer.from_file(path), most // 2, {}, {}
+        self.model = self.tokenizer.model
         self.close = np.uint32(CLOSING_ID).astype("<u4").tobytes()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        letters = [w for w in words if w.isalpha()]
-        for at in range(0, len(letters), 20_000):
-            some = letters[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" . ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.stop[0]) if len(self.stop) == 1 else ()
-            if len(ends) == len(some) - 1:
-                raw, first = ids.tobytes(), 0
-                for w, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                    self.known[w] = raw[4 * first : 4 * end]
-                    first = end + 1
-            else:
-                self.known.update((w, self._ids(w)) for w in some)
-        self.known.update((w, self._ids(w)) for w in words if not w.isalpha())
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES_AS_LETTERS)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[str], beside: set[str]) -> None:
+        """``beside``: all words of the same texts, which must be at hand together."""
+        if len(self.known) + len(words) > self.half:
+            self.known, self.older = {}, self.known
+            words = words | beside
+        old = self.older.get
+        self.known.update((w, old(w) or self._word(w)) for w in words)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
             some = texts[at : at + 64]
             cut = [self.CUT.findall(t.lower()) if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in some]
-            missing = {w for words in cut if words for w in words if w not in self.known}
+            every = set().union(*filter(None, cut))
+            missing = every.difference(self.known)
             if missing:
-                before = len(self.known)
-                self._learn(missing)
-                if len(self.known) < before:  # emptied: what these texts need beside it
-                    self._learn({w for words in cut if words for w in words if w not in self.known})
+                self._learn(missing, every)
             get = self.known.__getitem__
             for text, words in zip(some, cut, strict=True):
                 yield (self._ids(text) if words is None else b"".join(map(get, words))) + self.close
