@@ -25,7 +25,7 @@ from tessera.llm.common import hidden, running_offsets, shown, table, text_of, w
 from tessera.llm.sharding import range_of
 
 #: Words in a block, slots in an output shard, rounds of a permutation, documents in a part of a source, slots that a task draws.
-BLOCK, SHARD_SLOTS, ROUNDS, PART_ROWS, TASK_SLOTS = 64, 4096, 24, 20_000, 250_000
+BLOCK, SHARD_SLOTS, ROUNDS, PART_ROWS, TASK_SLOTS = 64, 4096, 24, 20_000, 50_000
 #: Words in a block where the mix is written as text, so that most documents stay whole.
 TEXT_BLOCK = 1024
 
@@ -55,14 +55,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 def _round(x: Column, n: Column, r: Column, salt: Column) -> Column:
     """One round of swap-or-not on [0, n): x and its partner change places or not."""
-    partner = F.pmod(F.xxhash64(F.lit("key"), salt, r, n), n) - x
-    partner = F.when(partner < 0, partner + n).otherwise(partner)
+    partner = F.pmod(F.pmod(F.xxhash64(F.lit("key"), salt, r, n), n) - x, n)
     coin = F.xxhash64(F.lit("coin"), salt, r, F.greatest(x, partner)).bitwiseAND(F.lit(1))
     return F.when(coin == 1, partner).otherwise(x)
 
 
 def permuted(x: Column, n: Column, salt: Column, back: bool = False, rounds: int = ROUNDS) -> Column:
-    """The place of x under a pseudorandom permutation of [0, n); ``back``: the inverse."""
+    """The place of x under a pseudorandom permutation of [0, n); ``back``: the inverse. n and salt should be plain columns, since each round reads them."""
     steps = F.array(*[F.lit(r) for r in (range(rounds) if not back else reversed(range(rounds)))])
     return F.aggregate(steps, x.cast("long"), lambda acc, r: _round(acc, n, r, salt))
 
@@ -78,6 +77,11 @@ def fragments(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("row", "source", "block", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.greatest(start - F.col("at"), F.lit(0)).alias("word"))
 
 
+def by_number(values: list[int], k: Column) -> Column:
+    """The k-th of few values, one per source."""
+    return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), k + 1)
+
+
 def draws(spark: SparkSession, wanted: list[int], shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Multinomial counts of the sources per shard: shard, k (number of the source), n. wanted: slots by source, whose shares are the chances."""
     ends, total = [], 0
@@ -97,10 +101,11 @@ def slots(spark: SparkSession, wanted: list[int], shard_slots: int = SHARD_SLOTS
     for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row per source
         had[r["k"]] = r["n"]
     before = running_offsets(counts, ["k"], ["shard"], "n", "before", F.floor(F.col("shard") / PART_ROWS))
-    at = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("k") + 1)
-    each = before.withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
-    each = each.select("shard", "k", F.xxhash64(F.lit("place"), "shard", "k", "j").alias("place"), "j", at(had).alias("had"), at(wanted).alias("wanted"))
-    each = each.withColumn("i", F.when(F.col("had") > F.col("wanted"), permuted(F.col("j"), F.col("had"), F.xxhash64(F.lit("keep"), "k"))).otherwise(F.col("j")))
+    at = lambda values: by_number(values, F.col("k"))
+    # few rows that become many: they are spread first
+    each = before.repartition(-(-sum(wanted) // TASK_SLOTS) or 1, "shard", "k").withColumn("j", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
+    each = each.select("shard", "k", F.xxhash64(F.lit("place"), "shard", "k", "j").alias("place"), "j", at(had).alias("had"), at(wanted).alias("wanted"), F.xxhash64(F.lit("keep"), "k").alias("salt"))
+    each = each.withColumn("i", F.when(F.col("had") > F.col("wanted"), permuted(F.col("j"), F.col("had"), F.col("salt"))).otherwise(F.col("j")))
     over, starts = 0, []
     for h, n in zip(had, wanted, strict=True):
         starts.append(over)
@@ -112,7 +117,7 @@ def slots(spark: SparkSession, wanted: list[int], shard_slots: int = SHARD_SLOTS
     ends = [sum(wanted[k] - had[k] for k in lacking[: x + 1]) for x in range(len(lacking))]
     each = each.withColumn("passes", F.col("i") >= F.col("wanted")).withColumn("x", F.when(F.col("passes"), permuted(F.col("i") - F.col("wanted") + at(starts), F.lit(over).cast("long"), F.lit(29).cast("long"))))
     to = range_of(F.col("x"), ends[:-1])
-    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), to + 1)
+    pick = lambda values: by_number(values, to)
     k = F.when(F.col("passes"), pick(lacking).cast("int")).otherwise(F.col("k"))
     i = F.when(F.col("passes"), F.col("x") - pick([0, *ends[:-1]]) + pick([had[k] for k in lacking])).otherwise(F.col("i"))
     return each.select("shard", "place", k.alias("k"), i.alias("i"))
@@ -127,14 +132,18 @@ def dealt(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     s = s.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("salt"), back=True))
     s = s.withColumn("n", F.floor(F.col("want") / F.col("source_size")) * F.col("blocks") + F.ceil((F.col("want") % F.col("source_size") + F.col("short")) / block)).where("n > 0")
     s = s.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    wanted = [r["n"] for r in s.select("k", "n").orderBy("k").collect()]  # one row per source
-    each = slots(sources.sparkSession, wanted, shard_slots).join(s, "k")
-    turn, k = F.floor(F.col("i") / F.col("blocks")), F.col("i") % F.col("blocks")
-    start = turn * F.col("source_size") + k * block - F.when(k > F.col("short_at"), F.col("short")).otherwise(F.lit(0))
-    each = each.withColumn("block", permuted(k, F.col("blocks"), F.col("salt"))).withColumn("start", start)
-    length = F.when(F.col("block") == F.col("blocks") - 1, F.lit(block) - F.col("short")).otherwise(F.lit(block))
-    out = each.withColumn("take", F.least(length, F.col("want") - F.col("start")).cast("int")).where("take > 0")
-    return out.select("shard", "place", "source", "block", "take")
+    s = written(s, "mix-numbers")
+    rows = s.orderBy("k").collect()  # one row per source
+    of = lambda name: by_number([r[name] for r in rows], F.col("k"))
+    each = slots(sources.sparkSession, [r["n"] for r in rows], shard_slots)
+    each = each.withColumn("blocks", of("blocks")).withColumn("salt", of("salt"))
+    each = each.withColumn("turn", F.floor(F.col("i") / F.col("blocks"))).withColumn("at", F.col("i") % F.col("blocks"))
+    start = F.col("turn") * of("source_size") + F.col("at") * block - F.when(F.col("at") > of("short_at"), of("short")).otherwise(F.lit(0))
+    each = each.select("shard", "place", "k", permuted(F.col("at"), F.col("blocks"), F.col("salt")).alias("block"), start.alias("start"))
+    length = F.when(F.col("block") == of("blocks") - 1, F.lit(block) - of("short")).otherwise(F.lit(block))
+    # stored, because Spark would compute the permutations again for each filter and join on them
+    each = written(each.withColumn("take", F.least(length, of("want") - F.col("start")).cast("int")).drop("start"), "mix-slots")
+    return each.where("take > 0").join(s.select("k", "source"), "k").select("shard", "place", "source", "block", "take")
 
 
 def placed(docs: DataFrame) -> DataFrame:
