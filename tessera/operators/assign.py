@@ -23,7 +23,7 @@ def hexagon_labels(p: DataFrame, size: float, width: int) -> DataFrame:
     across = int(width / w) + 2
     down = p.groupBy("t").agg(((F.max("y") + 1) / step).cast("int").alias("_rows")).withColumn("_rows", F.col("_rows") + 2)
     r0 = F.floor(F.col("y") / step + 0.5)
-    each = p.select("t", "y", "x").join(F.broadcast(down), "t").withColumn("_r", F.explode(F.array(*[(r0 + k) for k in (-1, 0, 1)])))
+    each = p.select("t", "y", "x").join(down, "t").withColumn("_r", F.explode(F.array(*[(r0 + k) for k in (-1, 0, 1)])))
     shift = F.when(F.col("_r") % 2 == 0, w / 2).otherwise(0.0)
     c0 = F.floor((F.col("x") - shift) / w + 0.5)
     each = each.withColumn("_shift", shift).withColumn("_c", F.explode(F.array(*[(c0 + k) for k in (-1, 0, 1)])))
@@ -38,7 +38,7 @@ def nine_candidates(p: DataFrame, size: int, width: int) -> DataFrame:
     across = math.ceil(width / size)
     tall = p.groupBy("t").agg(F.floor(F.max("y") / size).alias("_down"))
     by, bx = F.floor(F.col("y") / size), F.floor(F.col("x") / size)
-    each = p.select("t", "y", "x", "c0", "c1", "c2").join(F.broadcast(tall), "t").withColumn("_k", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(NINE)])))
+    each = p.select("t", "y", "x", "c0", "c1", "c2").join(tall, "t").withColumn("_k", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(NINE)])))
     r, c = by + F.col("_k.dy"), bx + F.col("_k.dx")
     ok = (r >= 0) & (r <= F.col("_down")) & (c >= 0) & (c < across)
     return each.select("t", "y", "x", "c0", "c1", "c2", F.col("_k.k").alias("k"), F.when(ok, r * across + c).otherwise(-1).cast("int").alias("cand"))

@@ -34,7 +34,8 @@ def components(p: DataFrame, label: str = "spix", rounds: int = 40) -> DataFrame
 
     Runs along a row are found by a window; only runs that touch in neighbouring rows become edges."""
     size = F.lit(1 << 20)
-    code = (F.col("t").cast("long") * size + F.col("y")) * size + F.col("x")
+    fits = F.col("t").between(0, (1 << 23) - 1) & F.col("y").between(0, (1 << 20) - 1) & F.col("x").between(0, (1 << 20) - 1)
+    code = F.when(fits, (F.col("t").cast("long") * size + F.col("y")) * size + F.col("x")).otherwise(F.raise_error(F.lit("frames must be below 2^23, rows and columns below 2^20")))
     starts = F.coalesce(F.lag(label).over(along_row()) != F.col(label), F.lit(True))
     runs = cut(p.withColumn("_run", F.max(F.when(starts, code)).over(along_row().rowsBetween(W.unboundedPreceding, 0))))
     me = F.struct(F.col(label).alias("l"), F.col("_run").alias("r"))
@@ -65,7 +66,7 @@ def fill_step(p: DataFrame, centres: DataFrame, parity: tuple[int, int], width:
     chosen = n.where((F.col("spix") < 0) & (F.col("x") % 2 == parity[0]) & (F.col("y") % 2 == parity[1]))
     cand = chosen.select("t", "y", "x", F.posexplode(F.array("n", "s", "w", "e")).alias("k", "c")).where("c >= 0")
     tall = p.groupBy("t").agg((F.max("y") + 1).alias("hh"))
-    j = cand.join(centres.select("t", F.col("spix").alias("c"), "mu_x", "mu_y"), ["t", "c"]).join(F.broadcast(tall), "t")
+    j = cand.join(centres.select("t", F.col("spix").alias("c"), "mu_x", "mu_y"), ["t", "c"]).join(tall, "t")
     score = nearness(F.col("x"), F.col("y"), F.col("mu_x"), F.col("mu_y"), F.lit(width), F.col("hh"))
     best = j.groupBy("t", "y", "x").agg(F.max_by("c", F.struct(score, -F.col("k"))).alias("_new"))
     return p.join(best, ["t", "y", "x"], "left").withColumn("spix", F.coalesce("_new", "spix")).drop("_new")
@@ -85,3 +86,20 @@ def filled(p: DataFrame, centres: DataFrame, width: int, rounds: int = 1000) ->
             raise ValueError("no labelled pixel next to the missing ones")
         left = now
     raise RuntimeError("not filled within the rounds")
+
+
+def propagated(p: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Labels of the next frame from those of this one and its flow (dx, dy): they move, missing pixels are filled, all but the largest component of a label
+    becomes missing, and is filled again. Returns t, y, x, spix, and per region t, spix, n_shifted, n_filled, invalid_ratio (the
+    share of its pixels that filling gave it)."""
+    from tessera.operators.warp import shifted_labels
+
+    def full(q: DataFrame) -> DataFrame:
+        centres = q.where("spix >= 0").groupBy("t", "spix").agg(F.avg("x").alias("mu_x"), F.avg("y").alias("mu_y"))
+        return filled(q, centres, width)
+
+    moved = cut(shifted_labels(p))
+    out = full(largest_only(full(moved)))
+    count = lambda q, name: q.where("spix >= 0").groupBy("t", "spix").agg(F.count(F.lit(1)).alias(name))
+    per = count(out, "n_filled").join(count(moved, "n_shifted"), ["t", "spix"], "left").withColumn("n_shifted", F.coalesce("n_shifted", F.lit(0)))
+    return out, per.withColumn("invalid_ratio", (F.col("n_filled") - F.col("n_shifted")) / (F.col("n_filled") + 1e-8))

@@ -24,7 +24,7 @@ def explained_variation(p: DataFrame, over_time: bool = False) -> DataFrame:
     """ev per frame: variation of region means around the frame's mean, over the variation of pixels. Pooled per frame or over all frames."""
     pooled = pool_up(p, ("spix",) if over_time else ("t", "spix"))
     mean = p.groupBy("t").agg(*[F.avg(c).alias(f"g_{c}") for c in CHANNELS])
-    j = pooled.join(F.broadcast(mean), "t")
+    j = pooled.join(mean, "t")
     sq = lambda a: sum((F.pow(F.col(f"{a}{c}") - F.col(f"g_{c}"), 2) for c in CHANNELS), F.lit(0.0))
     return j.groupBy("t").agg((F.sum(sq("m_")) / (F.sum(sq("")) + 1e-10)).alias("ev"))
 
@@ -44,8 +44,8 @@ def gaussian(size: int = 11, sigma: float = 1.5) -> list[float]:
 def ssim(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11) -> DataFrame:
     """Mean structural similarity per frame of two columns, over full windows."""
     w = gaussian(size)
-    for name, col in {"ma": F.col(a), "mb": F.col(b), "aa": F.col(a) * F.col(a), "bb": F.col(b) * F.col(b), "ab": F.col(a) * F.col(b)}.items():
-        p = filtered(p, col, w, f"_{name}")
+    parts = {"_ma": F.col(a), "_mb": F.col(b), "_aa": F.col(a) * F.col(a), "_bb": F.col(b) * F.col(b), "_ab": F.col(a) * F.col(b)}
+    p = filtered(p.select("t", "y", "x", a, b), parts, w)
     m = {k: F.col(f"_{k}") for k in ("ma", "mb", "aa", "bb", "ab")}
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     cross, va, vb = m["ab"] - m["ma"] * m["mb"], m["aa"] - m["ma"] * m["ma"], m["bb"] - m["mb"] * m["mb"]
@@ -110,7 +110,7 @@ def underseg_legacy(p: DataFrame) -> DataFrame:
 def underseg_frame(p: DataFrame, segment: int = 1) -> DataFrame:
     """ue per frame: for labels that meet the segment, pixels of label or segment that are not in both, over the pixels."""
     size = p.groupBy("t").agg(F.count(F.lit(1)).alias("npix"), F.count_if(F.col("gt") == segment).alias("whole"))
-    return overlaps(p).where(F.col("gt") == segment).join(F.broadcast(size), "t").groupBy("t").agg((F.sum(F.col("whole") + F.col("size") - F.col("n") * 2) / F.max("npix")).alias("ue"))
+    return overlaps(p).where(F.col("gt") == segment).join(size, "t").groupBy("t").agg((F.sum(F.col("whole") + F.col("size") - F.col("n") * 2) / F.max("npix")).alias("ue"))
 
 
 def achievable_accuracy(p: DataFrame) -> DataFrame:
@@ -135,4 +135,4 @@ def residual(p: DataFrame) -> DataFrame:
     """Squared distance of a pixel to its region's mean, over the largest in the frame."""
     r = pool_up(p).withColumn("r", sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in CHANNELS), F.lit(0.0)))
     most = r.groupBy("t").agg(F.max("r").alias("most"))
-    return r.join(F.broadcast(most), "t").select("t", "y", "x", (F.col("r") / F.col("most")).alias("residual"))
+    return r.join(most, "t").select("t", "y", "x", (F.col("r") / F.col("most")).alias("residual"))

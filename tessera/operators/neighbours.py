@@ -99,12 +99,11 @@ def simple(df: DataFrame, label: str = "spix") -> DataFrame:
     return df.withColumn("bits", bits).withColumn("simple", F.element_at(table, F.col("bits") + 1))
 
 
-def filtered(df: DataFrame, value: Column | str, weights: list[float], out: str) -> DataFrame:
-    """Separable filter without padding: at the first pixel of its square; null where the square leaves the raster."""
+def filtered(df: DataFrame, values: dict[str, Column], weights: list[float]) -> DataFrame:
+    """Adds separable filters of the values, without padding: at the first pixel of its square; null where the square leaves the raster.
+    All values go through one window along rows and one along columns."""
     r, c = along_row(), along_column()
-    col = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("_v", col)
-    across = sum((F.lead("_v", k).over(r) * w for k, w in enumerate(weights)), F.lit(0.0))
-    df = df.withColumn("_a", across)
-    down = sum((F.lead("_a", k).over(c) * w for k, w in enumerate(weights)), F.lit(0.0))
-    return df.withColumn(out, down).drop("_v", "_a")
+    line = lambda v, w: sum((F.lead(v, k).over(w) * x for k, x in enumerate(weights)), F.lit(0.0))
+    df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
+    df = df.withColumns({f"_a_{k}": line(f"_v_{k}", r) for k in values}).drop(*[f"_v_{k}" for k in values])
+    return df.withColumns({k: line(f"_a_{k}", c) for k in values}).drop(*[f"_a_{k}" for k in values])

@@ -26,10 +26,12 @@ def part_of(key: Column, points: list) -> Column:
     return pick(0, len(points))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, part_rows: int = 100_000, most: int = 4096) -> DataFrame:
     """Adds ``out``: 0, 1, ... in each group along ``order``, whose first column is numeric and not null.
 
-    Groups are cut at quantiles of that column; counts of parts give each part its first rank, a window the rest."""
+    Groups are cut at quantiles of that column, into parts of about ``part_rows`` rows of all groups together (at most ``most`` parts); counts of
+    parts give each part its first rank, a window the rest."""
+    parts = min(most, -(-df.count() // part_rows))
     cut = df.withColumn("_part", part_of(F.col(order[0]), cut_points(df, order[0], parts)))
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     first = cut.groupBy(*group, "_part").count().select(*group, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.order import ranked
+
 CHANNELS = ("c0", "c1", "c2")
 
 
@@ -95,7 +97,8 @@ def factorize(p: DataFrame, label: str = "spix") -> DataFrame:
 
 
 def rank_in_region(p: DataFrame) -> DataFrame:
-    return p.withColumn("rank", F.row_number().over(W.partitionBy("t", "spix").orderBy("y", "x")) - 1)
+    """Adds rank, 0, 1, ... in the order of lines and columns; a region is cut in parts, so that none is ranked in one task."""
+    return ranked(p, ["t", "spix"], ["y", "x"], "rank")
 
 
 def child_offsets(sizes: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbours import EIGHT, along_row, border, simple
+from tessera.operators.neighbours import EIGHT, along_column, along_row, border, simple
 
 SIDES = ("n", "s", "w", "e")
 
@@ -58,9 +59,9 @@ def evidence(prefix: str, sigma2: float) -> Column:
     return sum((marginal(n, F.col(f"{prefix}s_c{k}").cast("double"), F.col(f"{prefix}q_c{k}").cast("double"), sigma2) for k in range(3)), F.lit(0.0))
 
 
-def neighbour_pairs(p: DataFrame) -> DataFrame:
-    """t, f, k: each region and the largest label to its right that differs."""
-    q = p.select("t", "y", "x", "spix", F.lead("spix").over(along_row()).alias("e"))
+def neighbour_pairs(p: DataFrame, axis: str = "x") -> DataFrame:
+    """t, f, k: each region and the largest label to its right (axis y: below it) that differs."""
+    q = p.select("t", "y", "x", "spix", F.lead("spix").over(along_row() if axis == "x" else along_column()).alias("e"))
     return q.where("spix >= 0 and e >= 0 and e != spix").groupBy("t", F.col("spix").alias("f")).agg(F.max("e").alias("k"))
 
 
@@ -83,10 +84,61 @@ def claims(scored: DataFrame) -> DataFrame:
     return won.join(back, ["t", "f", "k"], "left").where("_back is null or f > k").select("t", "f", "k")
 
 
-def halves(p: DataFrame) -> DataFrame:
-    """Splits each region at its mean x: adds half (0 left, 1 right)."""
-    mean = p.where("spix >= 0").groupBy("t", "spix").agg(F.avg("x").alias("_mx"))
-    return p.join(mean, ["t", "spix"]).withColumn("half", (F.col("x") > F.col("_mx")).cast("int")).drop("_mx")
+def adjacent(p: DataFrame) -> DataFrame:
+    """t, f, k with f < k: all pairs of regions that touch along a row or a column."""
+    q = p.select("t", "spix", F.lead("spix").over(along_row()).alias("e"), F.lead("spix").over(along_column()).alias("s"))
+    each = q.select("t", "spix", F.explode(F.array("e", "s")).alias("o")).where("spix >= 0 and o >= 0 and o != spix")
+    return each.select("t", F.least("spix", "o").alias("f"), F.greatest("spix", "o").alias("k")).distinct()
+
+
+def halves(p: DataFrame, axis: str = "x") -> DataFrame:
+    """Splits each region at its mean x or y: adds half (0 before, 1 after)."""
+    mean = p.where("spix >= 0").groupBy("t", "spix").agg(F.avg(axis).alias("_mean"))
+    return p.join(mean, ["t", "spix"]).withColumn("half", (F.col(axis) > F.col("_mean")).cast("int")).drop("_mean")
+
+
+def merged(p: DataFrame, won: DataFrame) -> DataFrame:
+    """Applies claims (t, f, k): pixels of f become k. A target that itself merges away takes none in this step."""
+    free = won.join(won.select("t", F.col("f").alias("k")), ["t", "k"], "left_anti")
+    return p.join(free.select("t", F.col("f").alias("spix"), F.col("k").alias("_to")), ["t", "spix"], "left").withColumn("spix", F.coalesce("_to", "spix")).drop("_to")
+
+
+def divided(h: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Applies splits (t, spix) to pixels with half: the second half gets a number after the frame's largest label, by region."""
+    top = h.groupBy("t").agg(F.max("spix").alias("_top"))
+    new = accepted.withColumn("_n", F.row_number().over(W.partitionBy("t").orderBy("spix"))).join(top, "t").select("t", "spix", (F.col("_top") + F.col("_n")).alias("_new"))
+    return h.join(new, ["t", "spix"], "left").withColumn("spix", F.when((F.col("half") == 1) & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("spix")).cast("int")).drop("half", "_new")
+
+
+def parameters(p: DataFrame) -> DataFrame:
+    """What move_labels needs of each region."""
+    from tessera.functions import geometry
+    from tessera.operators.regions import moments, summary
+
+    c = [F.col(k) for k in ("xx", "xy", "yy")]
+    return summary(moments(p)).select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[v.alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], geometry.log_det(*c).alias("logdet"))
+
+
+def refined(p: DataFrame, target: float, rounds: int, sigma2: float = 400.0, beta: float = 0.5, log_alpha: float = 2.0, slack: float = 0.05, step: float = 2.0) -> DataFrame:
+    """The main loop on t, y, x, c0, c1, c2, spix (no label missing). A round updates the regions' parameters, moves labels over the four parities, and steers every frame
+    towards ``target`` regions: a frame with more than that by ``slack`` merges along one axis, one with fewer splits along it,
+    the axes in turn. A frame outside the band makes the wanted step easier by ``step`` with each round."""
+    from tessera.operators.lineage import cut
+    from tessera.operators.regions import moments
+
+    p = cut(p.select("t", "y", "x", "c0", "c1", "c2", "spix"))
+    for k in range(rounds):
+        axis, bonus = "xy"[k % 2], step * k
+        p = move_all(p, parameters(p), sigma2, beta)
+        m = moments(p, squares=True)
+        many = m.groupBy("t").agg(F.count(F.lit(1)).alias("have"))
+        over, under = (many.where(c).select("t") for c in (F.col("have") > target * (1 + slack), F.col("have") < target * (1 - slack)))
+        won = claims(merge_scores(m, neighbour_pairs(p, axis), sigma2, log_alpha, bonus)).join(over, "t", "left_semi")
+        p = cut(merged(p, won))
+        h = halves(p, axis)
+        good = split_scores(h, sigma2, bonus).where("accepted").join(under, "t", "left_semi").select("t", "spix")
+        p = cut(divided(h, good).select("t", "y", "x", "c0", "c1", "c2", "spix"))
+    return p
 
 
 def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0) -> DataFrame:
@@ -100,6 +152,24 @@ def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0) -> DataF
     return g.select("t", "spix", score.alias("score")).withColumn("accepted", F.col("score") > -2)
 
 
+def transport(p: DataFrame, value: str, best: int, width: float, sharp: float) -> DataFrame:
+    """t, spix, r, q, w: for each pixel (rank r in its region) the ``best`` pixels q of the same region in the next frame by the difference of a whole-numbered
+    value (ties: smaller rank), with weights softmax(sharp * exp(-difference / width)).
+
+    The whole region is searched, by values in place of pixels: of a value's pixels in the next frame only the first ``best`` can be chosen, so
+    a region meets at most its number of different values squared, times ``best``, however many pixels it has."""
+    from tessera.operators.regions import rank_in_region
+
+    a = rank_in_region(p).select("t", "spix", F.col(value).alias("v"), F.col("rank").alias("r"))
+    first = a.withColumn("k", F.row_number().over(W.partitionBy("t", "spix", "v").orderBy("r"))).where(F.col("k") <= best)
+    target = first.select((F.col("t") - 1).alias("t"), "spix", F.col("v").alias("to"), F.col("r").alias("q"))
+    met = a.select("t", "spix", "v").distinct().join(target, ["t", "spix"]).select("t", "spix", "v", F.abs(F.col("v") - F.col("to")).alias("gap"), "q")
+    order = W.partitionBy("t", "spix", "v").orderBy("gap", "q")
+    met = met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= best).withColumn("e", F.exp(F.exp(-F.col("gap") / width) * sharp))
+    met = met.withColumn("w", F.col("e") / F.sum("e").over(W.partitionBy("t", "spix", "v"))).select("t", "spix", "v", "q", "w")
+    return a.join(met, ["t", "spix", "v"]).select("t", "spix", "r", "q", "w")
+
+
 def replacements(now: DataFrame, before: DataFrame, same: float, fresh: float) -> DataFrame:
     """For regions of a frame (spix, m_c0..) and those of the frame before: the nearest dead label, or itself, by mean colour.
 

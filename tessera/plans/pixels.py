@@ -1,7 +1,7 @@
 """Pixel tables derived from the given tables (there is no video among them), and the same as SQL.
 
-Frames come from the line numbers of lineitem, a dense raster of width 64 from its total order; channels are whole numbers,
-so sums are exact. Heights depend on the smallest frame."""
+Frames come from the line numbers of lineitem, a raster of width 64 from its total order; channels are whole numbers,
+so sums are exact. Every row of lineitem is a pixel: frames differ in height, and the last line of a frame may be short."""
 
 from __future__ import annotations
 
@@ -20,11 +20,10 @@ r0 AS (
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS gt,
          CAST(l_suppkey % 3 AS INT) - 1 AS dx, CAST(l_partkey % 3 AS INT) - 1 AS dy
   FROM lineitem),
-h0 AS (SELECT CAST(floor(min(n) / {WIDTH}.0) AS INT) AS hh FROM (SELECT count(*) AS n FROM r0 GROUP BY t) q),
 pix AS (
   SELECT t, CAST(floor(p / {WIDTH}.0) AS INT) AS y, CAST(p % {WIDTH} AS INT) AS x, c0, c1, c2, gt, dx, dy,
          CAST(floor(floor(p / {WIDTH}.0) / {BLOCK}.0) * 8 + floor((p % {WIDTH}) / {BLOCK}.0) AS INT) + CASE WHEN c0 > 45 THEN 1 ELSE 0 END AS spix
-  FROM r0, h0 WHERE p < hh * {WIDTH})
+  FROM r0)
 """
 
 
@@ -32,8 +31,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t, y, x, c0, c1, c2, gt, dx, dy, spix."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", *ORDER)
     p = ranked(rows, ["l_linenumber"], ORDER, "p")
-    least = rows.groupBy("l_linenumber").count().agg(F.floor(F.min("count") / WIDTH).alias("hh"))
-    p = p.crossJoin(F.broadcast(least)).where(F.col("p") < F.col("hh") * WIDTH)  # one row
     y, x = F.floor(F.col("p") / WIDTH), F.col("p") % WIDTH
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
     quantity = F.col("l_quantity").cast("int")
@@ -53,7 +50,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def height(p: DataFrame) -> DataFrame:
-    """One row: hh, the number of rows of a frame; npix, of its pixels; frames."""
+    """One row: hh, the number of rows of the tallest frame; npix, of its pixels; frames."""
     return p.agg((F.max("y") + 1).alias("hh"), ((F.max("y") + 1) * WIDTH).cast("double").alias("npix"), F.count_distinct("t").alias("frames"))
 
 

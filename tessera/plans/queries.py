@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(pixels(spark, sf_dir))
         if sql:
-            SQL[key] = f"WITH {PIX_SQL}{sql}"
+            SQL[key] = f"WITH {'RECURSIVE ' if ' reach(' in sql else ''}{PIX_SQL}{sql}"
         return f
 
     return add
@@ -207,15 +207,18 @@ def boundary_precision(p):
     return rounded(metrics.boundary_scores(p).select("t", "bp"), "t")
 
 
-def _bits_sql() -> str:
-    offsets = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
-    joins = "".join(f" LEFT JOIN pix b{i} ON b{i}.t = a.t AND b{i}.y = a.y + ({dy}) AND b{i}.x = a.x + ({dx})" for i, (dy, dx) in enumerate(offsets))
-    return " SELECT a.t, a.y, a.x, " + " + ".join(f"CASE WHEN coalesce(b{i}.spix = a.spix, TRUE) THEN {1 << i} ELSE 0 END" for i in range(8)) + f" AS bits FROM pix a{joins}"
+# simple: the number of 4-connected runs of equal neighbours around the pixel, as the sum over sides of (side - side * corner * next side)
+BITS_SQL = (
+    ", h3 AS (SELECT t, y, x, spix, lag(spix) OVER r AS w, lead(spix) OVER r AS e FROM pix WINDOW r AS (PARTITION BY t, y ORDER BY x)),"
+    " h8 AS (SELECT *, " + ", ".join(f"{f}({v}) OVER c AS {k}" for f, row in (("lag", "n"), ("lead", "s")) for v, k in (("w", row + "w"), ("spix", row), ("e", row + "e"))) + " FROM h3 WINDOW c AS (PARTITION BY t, x ORDER BY y)),"
+    " eq AS (SELECT t, y, x, " + ", ".join(f"CAST(coalesce({k} = spix, TRUE) AS INT) AS {k}" for k in ("nw", "n", "ne", "w", "e", "sw", "s", "se")) + " FROM h8)"
+    " SELECT t, y, x, nw + 2*n + 4*ne + 8*w + 16*e + 32*sw + 64*s + 128*se AS bits, (n - n*ne*e) + (e - e*se*s) + (s - s*sw*w) + (w - w*nw*n) = 1 AS simple FROM eq"
+)
 
 
-@query(_bits_sql())
+@query(BITS_SQL)
 def neighbour_bits(p):
-    return neighbours.simple(p).select("t", "y", "x", "bits")
+    return neighbours.simple(p).select("t", "y", "x", "bits", "simple")
 
 
 @query(NBR + ", b AS (SELECT *, (w IS NULL OR e IS NULL OR n IS NULL OR s IS NULL OR w <> spix OR e <> spix OR n <> spix OR s <> spix) AS border FROM nb) SELECT t, y, x, CASE WHEN border THEN 0.0 ELSE least(1.0, greatest(0.0, round(c0 / 50.0, 6))) END AS shown FROM b")
@@ -393,10 +396,10 @@ def _cov(p):
     return regions.summary(regions.moments(p)), [F.col(k) for k in ("xx", "xy", "yy")]
 
 
-@query(MEAN_COV + FIXED + " SELECT t, spix, round(c / d, 4) AS i_xx, round(-xy / d, 4) AS i_xy, round(a / d, 4) AS i_yy, round(ln(d), 4) AS logdet FROM fd WHERE n > 8")
+@query(MEAN_COV + FIXED + " SELECT t, spix, round(c / d, 4) AS i_xx, round(-xy / d, 4) AS i_xy, round(a / d, 4) AS i_yy, round(ln(d), 4) AS logdet FROM fd")
 def inv2x2(p):
     s, c = _cov(p)
-    return s.where("n > 8").select("t", "spix", *[F.round(v, 4).alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], F.round(geometry.log_det(*c), 4).alias("logdet"))
+    return s.select("t", "spix", *[F.round(v, 4).alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], F.round(geometry.log_det(*c), 4).alias("logdet"))
 
 
 @query(MEAN_COV + " SELECT t, spix, round((xx + yy)/2 + sqrt(greatest((xx + yy)/2*((xx + yy)/2) - (xx*yy - xy*xy), 0)), 4) AS larger, round((xx + yy)/2 - sqrt(greatest((xx + yy)/2*((xx + yy)/2) - (xx*yy - xy*xy), 0)), 4) AS smaller FROM mc")
@@ -415,7 +418,7 @@ def wasserstein2(p):
 @query(" SELECT t, y, x, round((c0 - avg(c0) OVER w) / stddev_samp(c0) OVER w, 6) AS z FROM pix WINDOW w AS (PARTITION BY t)")
 def standardize(p):
     m = p.groupBy("t").agg(F.avg("c0").alias("m"), F.stddev_samp("c0").alias("s"))
-    return p.join(F.broadcast(m), "t").select("t", "y", "x", F.round((F.col("c0") - F.col("m")) / F.col("s"), 6).alias("z"))
+    return p.join(m, "t").select("t", "y", "x", F.round((F.col("c0") - F.col("m")) / F.col("s"), 6).alias("z"))
 
 
 @query(" SELECT t, y, x, CASE WHEN x + 3*dx < 0 THEN -(x + 3*dx) WHEN x + 3*dx > 63 THEN 126 - (x + 3*dx) ELSE x + 3*dx END AS rx, (x + 3*dx BETWEEN 0 AND 63) AS inside FROM pix")
@@ -453,12 +456,11 @@ def shift_labels(p):
     return warp.shifted_labels(p)
 
 
-@query(SHIFT + ", a AS (SELECT t, spix, count(*) AS n0 FROM pix GROUP BY t, spix), b AS (SELECT t, spix, count(*) AS n1 FROM sh WHERE spix >= 0 GROUP BY t, spix) SELECT a.t, a.spix, round((n0 - coalesce(n1, 0)) / (n0 + 1e-8), 6) AS invalid_ratio, least(10000, greatest(100, n0)) AS prior_count FROM a LEFT JOIN b ON a.t = b.t AND a.spix = b.spix")
+@query()
 def invalid_ratio(p):
-    now = regions.counts(p).withColumnRenamed("count", "n0")
-    moved = regions.counts(warp.shifted_labels(p)).withColumnRenamed("count", "n1")
-    j = now.join(moved, ["t", "spix"], "left")
-    return j.select("t", "spix", F.round((F.col("n0") - F.coalesce("n1", F.lit(0))) / (F.col("n0") + 1e-8), 6).alias("invalid_ratio"), F.least(F.lit(10000), F.greatest(F.lit(100), "n0")).alias("prior_count"))
+    _, per = components.propagated(p, WIDTH)
+    prior = regions.counts(p).select("t", "spix", F.least(F.lit(10000), F.greatest(F.lit(100), "count")).alias("prior_count"))
+    return per.join(prior, ["t", "spix"]).select("t", "spix", "n_shifted", "n_filled", F.round("invalid_ratio", 6).alias("invalid_ratio"), "prior_count")
 
 
 CORNER = ", g AS (SELECT t, y, x, c0, x + 0.5*dx AS gx, y + 0.5*dy AS gy FROM pix), cn AS (" + " UNION ALL ".join(f"SELECT t, y, x, c0, CAST(floor(gx) AS INT) + {i} AS cx, CAST(floor(gy) AS INT) + {j} AS cy, CAST(({'gx - floor(gx)' if i else '1 - (gx - floor(gx))'}) * ({'gy - floor(gy)' if j else '1 - (gy - floor(gy))'}) AS DOUBLE) AS w FROM g" for j in (0, 1) for i in (0, 1)) + ")"
@@ -599,11 +601,20 @@ def split_score(p):
 
 @query()
 def potts_step(p):
-    m = regions.moments(p)
-    s = regions.summary(m)
-    c = [F.col(k) for k in ("xx", "xy", "yy")]
-    s = s.select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[v.alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], geometry.log_det(*c).alias("logdet"))
-    return segment.move_all(p, s, 400.0, 0.5).select("t", "y", "x", "spix")
+    return segment.move_all(p, segment.parameters(p), 400.0, 0.5).select("t", "y", "x", "spix")
+
+
+@query()
+def refine(p):
+    return segment.refined(p, 64.0, 2).select("t", "y", "x", "spix")
+
+
+ADJACENT = ", nb AS (SELECT t, spix, lead(spix) OVER (PARTITION BY t, y ORDER BY x) AS e, lead(spix) OVER (PARTITION BY t, x ORDER BY y) AS s FROM pix)"
+
+
+@query(ADJACENT + " SELECT DISTINCT t, least(spix, o) AS f, greatest(spix, o) AS k FROM (SELECT t, spix, e AS o FROM nb UNION ALL SELECT t, spix, s FROM nb) q WHERE o <> spix")
+def adjacent_regions(p):
+    return segment.adjacent(p)
 
 
 @query(COUNTS.replace("count(*) AS n", "avg(c0) AS a, avg(c1) AS b, avg(c2) AS d") + ", ds AS (SELECT o.t + 1 AS t, o.spix AS cand, o.a, o.b, o.d FROM c o LEFT JOIN c n ON n.t = o.t + 1 AND n.spix = o.spix WHERE n.t IS NULL), nr AS (SELECT c.t, c.spix, ds.cand, row_number() OVER (PARTITION BY c.t, c.spix ORDER BY sqrt((c.a-ds.a)*(c.a-ds.a) + (c.b-ds.b)*(c.b-ds.b) + (c.d-ds.d)*(c.d-ds.d)), cand) AS r FROM c JOIN ds ON ds.t = c.t WHERE sqrt((c.a-ds.a)*(c.a-ds.a) + (c.b-ds.b)*(c.b-ds.b) + (c.d-ds.d)*(c.d-ds.d)) < 2.0) SELECT c.t, c.spix, nr.cand AS revived, (coalesce(sqrt((c.a-o.a)*(c.a-o.a) + (c.b-o.b)*(c.b-o.b) + (c.d-o.d)*(c.d-o.d)) > 4.0, FALSE) AND nr.cand IS NULL) AS is_new FROM c LEFT JOIN nr ON nr.t = c.t AND nr.spix = c.spix AND r = 1 LEFT JOIN c o ON o.t = c.t - 1 AND o.spix = c.spix")
@@ -612,17 +623,29 @@ def relabel_nearest_dead(p):
     return segment.replacements(m, m, 2.0, 4.0)
 
 
-@query()
+REGION_SQL = (
+    ", st AS (SELECT *, CASE WHEN lag(spix) OVER (PARTITION BY t, y ORDER BY x) = spix THEN NULL ELSE x END AS b FROM pix),"
+    " rn AS (SELECT *, (CAST(t AS BIGINT) * 1048576 + y) * 1048576 + max(b) OVER (PARTITION BY t, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM st),"
+    " ru AS (SELECT t, y, spix, run, min(x) AS x0, max(x) AS x1 FROM rn GROUP BY t, y, spix, run),"
+    " ed AS (SELECT a.run AS i, b.run AS j FROM ru a JOIN ru b ON b.t = a.t AND b.spix = a.spix AND b.y = a.y - 1 AND b.x0 <= a.x1 + 1 AND b.x1 >= a.x0 - 1),"
+    " ad AS (SELECT i, j FROM ed UNION ALL SELECT j, i FROM ed),"
+    " reach(run, root) AS (SELECT run, run FROM ru UNION SELECT j, root FROM reach JOIN ad ON i = run WHERE j > root),"
+    " co AS (SELECT t, y, x, spix, region FROM rn JOIN (SELECT run, min(root) AS region FROM reach GROUP BY run) q USING (run)),"
+    " cs AS (SELECT t, spix, region, count(*) AS size FROM co WHERE spix >= 0 GROUP BY t, spix, region)"
+)
+
+
+@query(REGION_SQL + " SELECT t, y, x, spix, region FROM co")
 def component_regions(p):
     return components.components(p).select("t", "y", "x", "spix", "region")
 
 
-@query()
+@query(REGION_SQL + ", be AS (SELECT t, spix, region FROM (SELECT *, row_number() OVER (PARTITION BY t, spix ORDER BY size DESC, region) AS k FROM cs) q WHERE k = 1) SELECT co.t, co.y, co.x, CASE WHEN be.region IS NULL THEN -1 ELSE co.spix END AS spix FROM co LEFT JOIN be ON be.t = co.t AND be.spix = co.spix AND be.region = co.region")
 def invalidate_disconnected(p):
     return components.largest_only(p).select("t", "y", "x", "spix")
 
 
-@query()
+@query(REGION_SQL + ' SELECT t, spix, region, size, row_number() OVER (PARTITION BY t, spix ORDER BY size DESC, region) - 1 AS "offset" FROM cs')
 def child_offsets(p):
     return regions.child_offsets(components.component_sizes(components.components(p)))
 
@@ -633,7 +656,7 @@ def fill_missing(p):
     return components.filled(q, regions.summary(regions.moments(q)), WIDTH).select("t", "y", "x", "spix")
 
 
-@query(", m AS (SELECT *, CASE WHEN c1 = 10 THEN -1 ELSE spix END AS l FROM pix), ce AS (SELECT t, l, avg(x) AS mx, avg(y) AS my FROM m WHERE l >= 0 GROUP BY t, l), hh AS (SELECT max(y) + 1 AS hh FROM pix), nb AS (SELECT a.t, a.y, a.x, b.l AS c, o.k FROM m a JOIN (SELECT 0 AS k, -1 AS oy, 0 AS ox UNION ALL SELECT 1, 1, 0 UNION ALL SELECT 2, 0, -1 UNION ALL SELECT 3, 0, 1) o ON TRUE JOIN m b ON b.t = a.t AND b.y = a.y + o.oy AND b.x = a.x + o.ox WHERE a.l < 0 AND a.x % 2 = 0 AND a.y % 2 = 0 AND b.l >= 0), bs AS (SELECT nb.t, nb.y, nb.x, c FROM (SELECT nb.*, row_number() OVER (PARTITION BY nb.t, nb.y, nb.x ORDER BY round(power((nb.x - mx)/64.0, 2) + power((nb.y - my)/CAST(hh AS DOUBLE), 2), 12), k) AS r FROM nb JOIN ce ON ce.t = nb.t AND ce.l = nb.c, hh) nb WHERE r = 1) SELECT m.t, m.y, m.x, coalesce(bs.c, m.l) AS spix FROM m LEFT JOIN bs ON bs.t = m.t AND bs.y = m.y AND bs.x = m.x")
+@query(", m AS (SELECT *, CASE WHEN c1 = 10 THEN -1 ELSE spix END AS l FROM pix), ce AS (SELECT t, l, avg(x) AS mx, avg(y) AS my FROM m WHERE l >= 0 GROUP BY t, l), hh AS (SELECT t, max(y) + 1 AS hh FROM pix GROUP BY t), nb AS (SELECT a.t, a.y, a.x, b.l AS c, o.k FROM m a JOIN (SELECT 0 AS k, -1 AS oy, 0 AS ox UNION ALL SELECT 1, 1, 0 UNION ALL SELECT 2, 0, -1 UNION ALL SELECT 3, 0, 1) o ON TRUE JOIN m b ON b.t = a.t AND b.y = a.y + o.oy AND b.x = a.x + o.ox WHERE a.l < 0 AND a.x % 2 = 0 AND a.y % 2 = 0 AND b.l >= 0), bs AS (SELECT nb.t, nb.y, nb.x, c FROM (SELECT nb.*, row_number() OVER (PARTITION BY nb.t, nb.y, nb.x ORDER BY round(power((nb.x - mx)/64.0, 2) + power((nb.y - my)/CAST(hh AS DOUBLE), 2), 12), k) AS r FROM nb JOIN ce ON ce.t = nb.t AND ce.l = nb.c JOIN hh ON hh.t = nb.t) nb WHERE r = 1) SELECT m.t, m.y, m.x, coalesce(bs.c, m.l) AS spix FROM m LEFT JOIN bs ON bs.t = m.t AND bs.y = m.y AND bs.x = m.x")
 def fill_step(p):
     q = missing(p)
     return components.fill_step(q, regions.summary(regions.moments(q)), (0, 0), WIDTH).select("t", "y", "x", "spix")
@@ -674,10 +697,10 @@ def nanmean(spark, sf_dir):
     return rows.groupBy("vid").agg(F.round(regions.mean_or("v"), 6).alias("mean"))
 
 
-@on_tables("SELECT m.p_brand, s.p_size, c.c_mktsegment FROM (SELECT DISTINCT p_brand FROM part) m, (SELECT DISTINCT p_size FROM part WHERE p_size <= 10) s, (SELECT DISTINCT c_mktsegment FROM customer) c")
+@on_tables("SELECT m.p_brand, s.p_size, c.c_mktsegment FROM (SELECT DISTINCT p_brand FROM part) m, (SELECT DISTINCT p_size FROM part) s, (SELECT DISTINCT c_mktsegment FROM customer) c")
 def param_grid(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
-    return reshape.grid(part.select("p_brand").distinct(), part.where("p_size <= 10").select("p_size").distinct(), _table(spark, sf_dir, "customer").select("c_mktsegment").distinct())
+    return reshape.grid(part.select("p_brand").distinct(), part.select("p_size").distinct(), _table(spark, sf_dir, "customer").select("c_mktsegment").distinct())
 
 
 @on_tables("SELECT l_returnflag AS method, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY l_quantity), 6) AS q10, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity), 6) AS q50, round(percentile_cont(0.999) WITHIN GROUP (ORDER BY l_quantity), 6) AS q999 FROM lineitem GROUP BY 1")
@@ -697,13 +720,9 @@ def top2_labels(p):
     return regions.counts(p).withColumn("r", F.row_number().over(w)).where("r <= 2").select("t", "spix", F.col("count").alias("n"))
 
 
-@query(", rk AS (SELECT t, spix, c0, row_number() OVER (PARTITION BY t, spix ORDER BY y, x) - 1 AS r FROM pix), jo AS (SELECT a.t, a.spix, a.r, b.r AS q, exp(-abs(a.c0 - b.c0) / 10.0) AS s FROM rk a JOIN rk b ON b.t = a.t + 1 AND b.spix = a.spix AND b.r BETWEEN a.r - 4 AND a.r + 4), tp AS (SELECT *, row_number() OVER (PARTITION BY t, spix, r ORDER BY round(s, 9) DESC, q) AS k FROM jo) SELECT t, spix, r, q, round(exp(2*s) / sum(exp(2*s)) OVER (PARTITION BY t, spix, r), 6) AS w FROM tp WHERE k <= 5")
+@query(", rk AS (SELECT t, spix, c0, row_number() OVER (PARTITION BY t, spix ORDER BY y, x) - 1 AS r FROM pix), jo AS (SELECT a.t, a.spix, a.r, b.r AS q, abs(a.c0 - b.c0) AS gap FROM rk a JOIN rk b ON b.t = a.t + 1 AND b.spix = a.spix), tp AS (SELECT *, exp(-gap / 10.0) AS s, row_number() OVER (PARTITION BY t, spix, r ORDER BY gap, q) AS k FROM jo) SELECT t, spix, r, q, round(exp(2*s) / sum(exp(2*s)) OVER (PARTITION BY t, spix, r), 6) AS w FROM tp WHERE k <= 5")
 def ot_top5(p):
-    a = regions.rank_in_region(p).select("t", "spix", "c0", F.col("rank").alias("r"))
-    b = a.select((F.col("t") - 1).alias("t"), "spix", F.col("c0").alias("d0"), F.col("r").alias("q"))
-    near = a.withColumn("q", F.explode(F.sequence(F.col("r") - 4, F.col("r") + 4))).join(b, ["t", "spix", "q"]).withColumn("s", F.exp(-F.abs(F.col("c0") - F.col("d0")) / 10.0))
-    best = near.withColumn("k", F.row_number().over(W.partitionBy("t", "spix", "r").orderBy(F.desc(F.round("s", 9)), "q"))).where("k <= 5")
-    return best.withColumn("w", F.exp(F.col("s") * 2)).withColumn("w", F.round(F.col("w") / F.sum("w").over(W.partitionBy("t", "spix", "r")), 6)).select("t", "spix", "r", "q", "w")
+    return rounded(segment.transport(p, "c0", 5, 10.0, 2.0), "t", "spix", "r", "q")
 
 
 @on_tables("WITH c AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) q GROUP BY label, i), d AS (SELECT e.vec_id AS id, c.label, sum((e.v - c.v)*(e.v - c.v)) AS d FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) e JOIN c ON c.i = e.i GROUP BY 1, 2) SELECT id, label, round(exp(-d) / sum(exp(-d)) OVER (PARTITION BY id), 5) AS p FROM d")
@@ -748,6 +767,6 @@ def remap_ids(p):
     return regions.remapped(p, ids).select("t", "y", "x", "spix")
 
 
-@query()
+@query(REGION_SQL + ", cf AS (SELECT *, row_number() OVER (PARTITION BY t, spix ORDER BY size DESC, region) - 1 AS k FROM cs), pe AS (SELECT t, spix, count(*) - 1 AS extra FROM cf GROUP BY t, spix), sa AS (SELECT t, spix, coalesce(sum(extra) OVER (PARTITION BY t ORDER BY spix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, max(spix) OVER (PARTITION BY t) AS top FROM pe) SELECT cf.t, cf.spix, region, CAST(CASE WHEN k = 0 THEN cf.spix ELSE top + first + k END AS BIGINT) AS spix_new FROM cf JOIN sa ON sa.t = cf.t AND sa.spix = cf.spix")
 def split_child_ids(p):
     return regions.child_ids(components.component_sizes(components.components(p))).select("t", "spix", "region", "spix_new")

@@ -84,7 +84,7 @@ def binary_masks(gray: DataFrame, value: str = "v", least: int = 128) -> DataFra
 def stacked_masks(masks: DataFrame) -> DataFrame:
     """From object (name), t, y, x, on: gt; objects are numbered from 1 in the order of their names, later ones lie on top."""
     names = masks.select("object").distinct().withColumn("n", F.expr("row_number() over (order by object)"))
-    return masks.join(F.broadcast(names), "object").groupBy("t", "y", "x").agg(F.max(F.when(F.col("on") > 0, F.col("n")).otherwise(0)).alias("gt"))
+    return masks.join(names, "object").groupBy("t", "y", "x").agg(F.max(F.when(F.col("on") > 0, F.col("n")).otherwise(0)).alias("gt"))
 
 
 def write_params(regions: DataFrame, path: str) -> None:

@@ -165,3 +165,89 @@ def test_child_ids_are_new_and_distinct(spark):
         kept = [r for r in mine if r.spix_new == label]
         assert len(kept) == 1 and kept[0].size == max(r.size for r in mine)
         assert all(r.spix_new > 2 for r in mine if r is not kept[0])
+
+
+def plain_fill(grid, centres, w, h):
+    while any(v < 0 for row in grid for v in row):
+        for py, px in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            new = {}
+            for y in range(py, h, 2):
+                for x in range(px, w, 2):
+                    around = [(i, grid[b][a]) for i, (b, a) in enumerate(((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1))) if 0 <= b < h and 0 <= a < w and grid[b][a] >= 0]
+                    if grid[y][x] < 0 and around:
+                        near = lambda c: ((x - centres[c][0]) / w) ** 2 + ((y - centres[c][1]) / h) ** 2  # noqa: B023, E731
+                        new[y, x] = min(around, key=lambda o: (near(o[1]), o[0]))[1]
+            for (y, x), v in new.items():
+                grid[y][x] = v
+    return grid
+
+
+def plain_centres(grid):
+    at = {}
+    for y, row in enumerate(grid):
+        for x, v in enumerate(row):
+            if v >= 0:
+                at.setdefault(v, []).append((x, y))
+    return {k: (sum(a for a, _ in v) / len(v), sum(b for _, b in v) / len(v)) for k, v in at.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_propagation_moves_fills_invalidates_and_fills(spark, seed):
+    r, h, w = random.Random(seed), 9, 12
+    grid = [[(y // 3) * 4 + x // 3 + r.choice([0, 0, 0, 1]) for x in range(w)] for y in range(h)]
+    flow = {v: (r.choice([-1, 0, 1]), r.choice([-1, 0, 1])) for v in range(20)}
+    rows = [(0, y, x, 1, 2, 3, grid[y][x], *flow[grid[y][x]]) for y in range(h) for x in range(w)]
+    p = spark.createDataFrame(rows, "t int, y int, x int, c0 int, c1 int, c2 int, spix int, dx int, dy int")
+    size, moved = {}, [[-1] * w for _ in range(h)]
+    for row in grid:
+        for v in row:
+            size[v] = size.get(v, 0) + 1
+    for y in range(h):
+        for x in range(w):
+            v = grid[y][x]
+            b, a = y + flow[v][1], x + flow[v][0]
+            if 0 <= b < h and 0 <= a < w and (moved[b][a] < 0 or (size[v], v) < (size[moved[b][a]], moved[b][a])):
+                moved[b][a] = v
+    shifted = {v: sum(row.count(v) for row in moved) for v in size}
+    now = plain_fill([list(row) for row in moved], plain_centres(moved), w, h)
+    roots, part = flood(now), {}
+    for y in range(h):
+        for x in range(w):
+            part[now[y][x], roots[y][x]] = part.get((now[y][x], roots[y][x]), 0) + 1
+    best = {v: min((-n, root) for (u, root), n in part.items() if u == v)[1] for v, _ in part}
+    cut = [[now[y][x] if best[now[y][x]] == roots[y][x] else -1 for x in range(w)] for y in range(h)]
+    want = plain_fill([list(row) for row in cut], plain_centres(cut), w, h)
+    got, per = components.propagated(p, w)
+    assert {(q.y, q.x): q.spix for q in got.collect()} == {(y, x): want[y][x] for y in range(h) for x in range(w)}
+    filled = plain_centres(want)
+    for q in per.collect():
+        n = sum(row.count(q.spix) for row in want)
+        assert (q.n_filled, q.n_shifted) == (n, shifted[q.spix]) and abs(q.invalid_ratio - (n - shifted[q.spix]) / (n + 1e-8)) < 1e-12
+    assert per.count() == len(filled)
+
+
+def test_refinement_steers_the_number_of_regions(spark):
+    """Frames with too many regions merge, with too few split; no pixel is lost and none is without a label."""
+    many = [[(y // 2) * 8 + x // 2 for x in range(16)] for y in range(16)]
+    few = [[x // 8 for x in range(16)] for y in range(16)]
+    colour = lambda y, x: 10 if (x // 4 + y // 8 * 2) % 3 else 40
+    rows = [(t, y, x, colour(y, x), 2, 3, g[y][x]) for t, g in enumerate((many, few)) for y in range(16) for x in range(16)]
+    p = spark.createDataFrame(rows, "t int, y int, x int, c0 int, c1 int, c2 int, spix int")
+    out = segment.refined(p, 12.0, 4, sigma2=1.0).collect()
+    assert sorted((r.t, r.y, r.x) for r in out) == sorted(r[:3] for r in rows) and all(r.spix >= 0 for r in out)
+    have = [len({r.spix for r in out if r.t == t}) for t in (0, 1)]
+    assert have[0] < 64 and have[1] > 2
+
+
+def test_merges_apply_to_free_targets_only(spark):
+    p = raster(spark, [[1, 2, 3, 4]])
+    won = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "t int, f int, k int")
+    assert [r.spix for r in segment.merged(p, won).orderBy("x").collect()] == [1, 3, 3, 4]
+
+
+def test_masks(spark):
+    gray = spark.createDataFrame([(0, 0, 0, 127), (0, 0, 1, 128)], "t int, y int, x int, v int")
+    assert [r.gt for r in rasters.binary_masks(gray).orderBy("x").collect()] == [0, 1]
+    rows = [("b", 0, 0, 0, 1), ("a", 0, 0, 0, 1), ("a", 0, 0, 1, 9), ("b", 0, 0, 1, 0), ("a", 0, 0, 2, 0)]
+    masks = spark.createDataFrame(rows, "object string, t int, y int, x int, on int")
+    assert [r.gt for r in rasters.stacked_masks(masks).orderBy("x").collect()] == [2, 1, 0]
