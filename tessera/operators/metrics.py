@@ -60,9 +60,8 @@ def overlaps(p: DataFrame) -> DataFrame:
 
 
 def _frame(p: DataFrame) -> DataFrame:
-    """One row: pixels of a frame, frames, segments."""
-    per = p.groupBy("t").count()
-    return per.agg(F.max("count").alias("npix"), F.count(F.lit(1)).alias("frames")).crossJoin(p.agg(F.count_distinct("gt").alias("segments")))
+    """One row: pixels of all frames, segments."""
+    return p.groupBy("gt").count().agg(F.sum("count").alias("pixels"), F.count(F.lit(1)).alias("segments"))
 
 
 def _over(value: DataFrame, p: DataFrame, total: Column, name: str) -> DataFrame:
@@ -72,13 +71,13 @@ def _over(value: DataFrame, p: DataFrame, total: Column, name: str) -> DataFrame
 def underseg_2d(p: DataFrame) -> DataFrame:
     """ue2d: the smaller part of each label inside or outside a segment it meets, over the pixels; mean over frames and segments."""
     v = overlaps(p).agg(F.sum(F.least(F.col("n"), F.col("size") - F.col("n"))).alias("_v"))
-    return _over(v, p, F.col("npix") * F.col("frames") * F.col("segments"), "ue2d")
+    return _over(v, p, F.col("pixels") * F.col("segments"), "ue2d")
 
 
 def underseg_3d(p: DataFrame) -> DataFrame:
     """ue3d: the same with parts summed over the frames in which both meet."""
     both = overlaps(p).groupBy("spix", "gt").agg(F.sum("n").alias("i"), F.sum(F.col("size") - F.col("n")).alias("o"))
-    return _over(both.agg(F.sum(F.least("i", "o")).alias("_v")), p, F.col("npix") * F.col("frames") * F.col("segments"), "ue3d")
+    return _over(both.agg(F.sum(F.least("i", "o")).alias("_v")), p, F.col("pixels") * F.col("segments"), "ue3d")
 
 
 def accuracy_2d(p: DataFrame) -> DataFrame:

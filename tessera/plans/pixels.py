@@ -1,7 +1,7 @@
 """Pixel tables derived from the given tables (there is no video among them), and the same as SQL.
 
 Frames come from the line numbers of lineitem, a raster of width 64 from its total order; channels are whole numbers,
-so sums are exact. Every row of lineitem is a pixel: frames differ in height, and the last line of a frame may be short."""
+so sums are exact. Each frame has its own height: it holds all its whole lines (a last line of fewer than 64 rows is no line of a raster)."""
 
 from __future__ import annotations
 
@@ -20,10 +20,11 @@ r0 AS (
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS gt,
          CAST(l_suppkey % 3 AS INT) - 1 AS dx, CAST(l_partkey % 3 AS INT) - 1 AS dy
   FROM lineitem),
+h0 AS (SELECT t AS ht, floor(count(*) / {WIDTH}.0) * {WIDTH} AS pixels FROM r0 GROUP BY t),
 pix AS (
   SELECT t, CAST(floor(p / {WIDTH}.0) AS INT) AS y, CAST(p % {WIDTH} AS INT) AS x, c0, c1, c2, gt, dx, dy,
          CAST(floor(floor(p / {WIDTH}.0) / {BLOCK}.0) * 8 + floor((p % {WIDTH}) / {BLOCK}.0) AS INT) + CASE WHEN c0 > 45 THEN 1 ELSE 0 END AS spix
-  FROM r0)
+  FROM r0 JOIN h0 ON ht = t WHERE p < pixels)
 """
 
 
@@ -31,6 +32,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t, y, x, c0, c1, c2, gt, dx, dy, spix."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", *ORDER)
     p = ranked(rows, ["l_linenumber"], ORDER, "p")
+    whole = rows.groupBy("l_linenumber").agg((F.floor(F.count(F.lit(1)) / WIDTH) * WIDTH).alias("pixels"))
+    p = p.join(whole, "l_linenumber").where(F.col("p") < F.col("pixels"))
     y, x = F.floor(F.col("p") / WIDTH), F.col("p") % WIDTH
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
     quantity = F.col("l_quantity").cast("int")

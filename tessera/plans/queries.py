@@ -709,9 +709,9 @@ def quantiles(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.999).alias("q999"))
 
 
-@query(", b AS (SELECT t, y, x, c0, unnest(range(greatest(0, CAST(floor((y - 8) / 4.0) AS INT) + 1), CAST(floor(y / 4.0) AS INT) + 1)) AS ty FROM pix), c AS (SELECT *, unnest(range(greatest(0, CAST(floor((x - 8) / 4.0) AS INT) + 1), CAST(floor(x / 4.0) AS INT) + 1)) AS tx FROM b), m AS (SELECT t, ty, tx, avg(c0) AS m FROM c GROUP BY t, ty, tx) SELECT c.t, c.y, c.x, round(avg(c0 - m), 6) AS tiled FROM c JOIN m ON m.t = c.t AND m.ty = c.ty AND m.tx = c.tx GROUP BY c.t, c.y, c.x")
+@query(", b AS (SELECT t, y, x, c0, unnest(range(greatest(0, CAST(floor((y - 8) / 4.0) AS INT) + 1), CAST(floor(y / 4.0) AS INT) + 1)) AS ty FROM pix), c AS (SELECT *, unnest(range(greatest(0, CAST(floor((x - 8) / 4.0) AS INT) + 1), CAST(floor(x / 4.0) AS INT) + 1)) AS tx FROM b), m AS (SELECT t, ty, tx, avg(c0) AS m FROM c GROUP BY t, ty, tx) SELECT c.t, c.y, c.x, round(avg(c0 - m), 9) AS tiled FROM c JOIN m ON m.t = c.t AND m.ty = c.ty AND m.tx = c.tx GROUP BY c.t, c.y, c.x")
 def tile_average(p):
-    return rounded(reshape.tiled_mean(p, "c0", 8, 4), "t", "y", "x")
+    return rounded(reshape.tiled_mean(p, "c0", 8, 4), "t", "y", "x", places=9)
 
 
 @query(", c AS (SELECT t, spix, count(*) AS n FROM pix GROUP BY t, spix) SELECT t, spix, n FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, spix) AS r FROM c) q WHERE r <= 2")
