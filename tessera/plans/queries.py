@@ -498,7 +498,7 @@ def hex_init(p):
     return assign.hexagon_labels(p, 10.0, WIDTH)
 
 
-CANDS = ", hh AS (SELECT CAST(floor(max(y) / 12.0) AS INT) AS down FROM pix), o AS (SELECT a.i * 3 + b.j AS k, a.i - 1 AS dy, b.j - 1 AS dx FROM (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b), ca AS (SELECT t, y, x, c0, c1, c2, k, CAST(CASE WHEN floor(y/12.0) + o.dy BETWEEN 0 AND down AND floor(x/12.0) + o.dx BETWEEN 0 AND 5 THEN (floor(y/12.0) + o.dy) * 6 + floor(x/12.0) + o.dx ELSE -1 END AS INT) AS cand FROM pix, hh, o)"
+CANDS = ", hh AS (SELECT t AS ht, CAST(floor(max(y) / 12.0) AS INT) AS down FROM pix GROUP BY t), o AS (SELECT a.i * 3 + b.j AS k, a.i - 1 AS dy, b.j - 1 AS dx FROM (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b), ca AS (SELECT t, y, x, c0, c1, c2, k, CAST(CASE WHEN floor(y/12.0) + o.dy BETWEEN 0 AND down AND floor(x/12.0) + o.dx BETWEEN 0 AND 5 THEN (floor(y/12.0) + o.dy) * 6 + floor(x/12.0) + o.dx ELSE -1 END AS INT) AS cand FROM pix JOIN hh ON ht = t, o)"
 
 
 @query(CANDS + " SELECT t, y, x, k, cand FROM ca")
