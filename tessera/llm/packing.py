@@ -35,51 +35,51 @@ PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES_AS_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
+class Store(dict):
+    """Ids of words. A missing word is taken from the older half of the store or from the model; when this half is full it becomes the
+    older one, so frequent words stay and the store stays bounded."""
+
+    def __init__(self, model, half: int) -> None:
+        super().__init__()
+        self.tokenize, self.half, self.older = model.tokenize, half, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES_AS_LETTERS)
+            ids = [t.id for t in self.tokenize(shown)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Words:
     """Ids of a text, as little-endian unsigned 32-bit bytes, by way of the ids of its words.
 
     Texts of ASCII and Latin letters alone are cut into the tokenizer's own words here, and words are looked up or go to its model; any other text goes
     to the tokenizer as a whole. A capital is in LATIN_PLAIN only if its small form is a letter of LATIN too, since texts
-    are cut in small letters. The store has two halves: when the newer one is full it becomes the older one, whose words move
-    back when they are met again, so frequent words stay and the store stays bounded."""
+    are cut in small letters."""
 
     PLAIN = re.compile(f"[A-Za-z{LATIN_PLAIN}\x20-\x7e\t-\r]*")
-    CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
+    CUT = re.compile(f"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{LATIN}0-9]+")
 
     def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half, self.known, self.older = Tokenizer.from_file(path), most // 2, {}, {}
-        self.model = self.tokenizer.model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Store(self.tokenizer.model, most // 2)
         self.close = np.uint32(CLOSING_ID).astype("<u4").tobytes()
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES_AS_LETTERS)
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, words: set[str], beside: set[str]) -> None:
-        """``beside``: all words of the same texts, which must be at hand together."""
-        if len(self.known) + len(words) > self.half:
-            self.known, self.older = {}, self.known
-            words = words | beside
-        old = self.older.get
-        self.known.update((w, old(w) or self._word(w)) for w in words)
-
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            cut = [self.CUT.findall(t.lower()) if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in some]
-            every = set().union(*filter(None, cut))
-            missing = every.difference(self.known)
-            if missing:
-                self._learn(missing, every)
-            get = self.known.__getitem__
-            for text, words in zip(some, cut, strict=True):
-                yield (self._ids(text) if words is None else b"".join(map(get, words))) + self.close
+        get, cut, plain = self.known.__getitem__, self.CUT.findall, self.PLAIN.fullmatch
+        for text in texts:
+            if "<|" not in text and plain(text):
+                yield b"".join(map(get, cut(text.lower()))) + self.close
+            else:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.close
 
 
 _STORES: dict[str, Words] = {}
