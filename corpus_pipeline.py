@@ -16,10 +16,10 @@ from tessera.llm.common import hidden, shown, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. The measures of a text are stored beside it, so that they are taken once."""
-    rows = written(quality.measured(hidden(docs).withColumn("text", F.col("doc__text"))).drop("text"), "measured")
-    model = quality.fit(rows.select(F.col("doc__doc_id").alias("doc_id"), "x"), table(spark, sf_dir, "labels"))
-    return shown(quality.scored(rows, model).where(F.col("score") >= quality.CUT), docs)
+    """Documents that the classifier rejects go. Only the measures are stored for the fit; to store them beside the texts would cost a copy of the corpus on disk."""
+    model = quality.fit(written(quality.measured(docs.select("doc_id", "text")).drop("text"), "measures"), table(spark, sf_dir, "labels"))
+    rows = quality.scored(quality.measured(hidden(docs).withColumn("text", F.col("doc__text"))), model)
+    return shown(rows.where(F.col("score") >= quality.CUT), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by its kind in brackets. Candidates are stored beside the texts, so that a text is searched once."""
-    found = written(pii.candidates(hidden(docs).withColumn("text", F.col("doc__text"))).drop("text"), "found")
-    spans = F.concat("base", pii.accepted(F.col("more"), pii.trained(found)))
-    out = found.withColumn("spans", spans).withColumn("new", F.when(F.col("doc__text").isNotNull(), pii.redacted(F.col("doc__text"), F.col("spans"))))
+    """Every span found is replaced by its kind in brackets. Texts are searched twice, to train and to redact, since candidates beside the texts would cost a copy of the corpus on disk."""
+    weights = pii.trained(pii.candidates(docs.select("text")))
+    found = pii.candidates(hidden(docs).withColumn("text", F.col("doc__text")))
+    out = found.withColumn("spans", F.concat("base", pii.accepted(F.col("more"), weights)))
+    out = out.withColumn("new", F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans"))))
     return shown(out, docs, text=F.col("new"), n_chars=F.length("new"))
 
 
