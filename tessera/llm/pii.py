@@ -32,7 +32,7 @@ BASE = {
 }
 #: Further candidates, which the classifier must accept.
 MORE = {
-    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,63}+)++",
+    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]++)++",
     "local_phone": r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9A-Za-z])[0-9]{9,}+(?![A-Za-z])",
     "secret": r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]*+[0-9])[0-9A-Za-z_+/-]{20,}+",
