@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # sRGB to XYZ (D65), its white point, and the way back.
 TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
 WHITE = (0.950456, 1.0, 1.088754)
+WHITE_VIDEO = (0.95047, 1.0, 1.08883)
 FROM_XYZ = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875992, 0.041556), (0.055648, -0.204043, 1.057311))
 # BT.601 luma and chroma, Rec.709 luminance.
 YCBCR = ((65.481, 128.553, 24.966, 16.0), (-37.797, -74.203, 112.0, 128.0), (112.0, -93.786, -18.214, 128.0))
@@ -37,6 +38,13 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> list[Column]:
     return [light / -100.0, (f[0] - f[1]) * 5.0, (f[1] - f[2]) * 2.0]
 
 
+def rgb_to_lab_video(r: Column, g: Column, b: Column) -> list[Column]:
+    """As rgb_to_lab by the coarser white point, with one straight piece near black for all three."""
+    xyz = [_dot(row, [linear(r), linear(g), linear(b)]) / w for row, w in zip(TO_XYZ, WHITE_VIDEO, strict=True)]
+    f = [F.when(v > 0.008856, F.pow(v, F.lit(1 / 3))).otherwise(v * 7.787068965517241 + 4.0 / 29.0) for v in xyz]
+    return [(f[1] * 116.0 - 16.0) / -100.0, (f[0] - f[1]) * 5.0, (f[1] - f[2]) * 2.0]
+
+
 def lab_to_rgb(light: Column, a: Column, b: Column) -> list[Column]:
     """The way back from rgb_to_lab, clamped to 0..1."""
     level = light * -100.0

@@ -28,3 +28,22 @@ def tiled_mean(p: DataFrame, value: str, size: int, step: int) -> DataFrame:
     each = each.withColumn("tx", F.explode(F.sequence(first("x"), F.floor(F.col("x") / step))))
     mean = each.groupBy("t", "ty", "tx").agg(F.avg("v").alias("m"))
     return each.join(mean, ["t", "ty", "tx"]).groupBy("t", "y", "x").agg(F.avg(F.col("v") - F.col("m")).alias("tiled"))
+
+
+def to_unit_range(df: DataFrame, channels: list[str]) -> DataFrame:
+    """All channels less their common minimum, divided by the maximum that is left (one row of extremes for the whole video)."""
+    ends = df.agg(F.min(F.least(*channels)).alias("_lo"), F.max(F.greatest(*channels)).alias("_hi"))
+    return df.crossJoin(F.broadcast(ends)).withColumns({c: (F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) for c in channels}).drop("_lo", "_hi")
+
+
+def to_byte_range(df: DataFrame, channels: list[str], image: str = "t") -> DataFrame:
+    """Images whose largest value is below 200 hold 0..1 and are scaled to 0..255; others stay."""
+    top = df.groupBy(image).agg(F.max(F.greatest(*channels)).alias("_top"))
+    scaled = lambda c: F.when(F.col("_top") < 200, F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(c) * 255.0))).otherwise(F.col(c))
+    return df.join(top, image).withColumns({c: scaled(c) for c in channels}).drop("_top")
+
+
+def complete_settings(results: DataFrame, setting: list[str], item: str) -> DataFrame:
+    """The settings whose results cover as many different items as the fullest setting, and how many."""
+    n = results.groupBy(*setting).agg(F.count_distinct(item).alias("items"))
+    return n.crossJoin(F.broadcast(n.agg(F.max("items").alias("_most")))).where("items = _most").drop("_most")

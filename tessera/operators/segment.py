@@ -97,6 +97,37 @@ def halves(p: DataFrame, axis: str = "x") -> DataFrame:
     return p.join(mean, ["t", "spix"]).withColumn("half", (F.col(axis) > F.col("_mean")).cast("int")).drop("_mean")
 
 
+def _swept(q: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Distances inside regions after a sweep along the rows and one along the columns: in a run of one label a pixel is as far as any other of the run and the way between."""
+    for line, run, at in (("y", "_run_x", "x"), ("x", "_run_y", "y")):
+        w = W.partitionBy("t", line, run).orderBy(at)
+        before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        q = q.withColumns({n: F.least(F.min(F.col(n) - F.col(at)).over(before) + F.col(at), F.min(F.col(n) + F.col(at)).over(after) - F.col(at)) for n in names})
+    return q
+
+
+def grown(p: DataFrame, axis: str = "x") -> DataFrame:
+    """Splits each region by growth from two seeds beside its mean (a pixel left and right of it; axis y: two above and below): adds half, 1 where
+    the second seed is nearer by steps inside the region, else 0; null where no seed is reached or the label is missing. A seed outside its region is dropped.
+
+    Sweeps repeat until nothing changes; their number follows the turns of the longest way, not its length."""
+    from tessera.operators.lineage import cut
+
+    starts = lambda w, at: F.last(F.when((F.lag("spix").over(w) == F.col("spix")) & (F.lag(at).over(w) == F.col(at) - 1), F.lit(None)).otherwise(F.col(at)), ignorenulls=True).over(w)
+    mean = p.where("spix >= 0").groupBy("t", "spix").agg(F.avg("y").cast("int").alias("_my"), F.avg("x").cast("int").alias("_mx"))
+    q = p.withColumn("_run_x", starts(along_row(), "x")).withColumn("_run_y", starts(along_column(), "y")).join(mean, ["t", "spix"], "left")
+    dy, dx = (0, 1) if axis == "x" else (2, 0)
+    seed = lambda sign: F.when((F.col("y") == F.col("_my") + sign * dy) & (F.col("x") == F.col("_mx") + sign * dx), F.lit(0))
+    q = cut(q.withColumns({"_d1": seed(-1), "_d2": seed(1)}).drop("_my", "_mx"))
+    while True:
+        old = q.withColumns({"_o1": F.col("_d1"), "_o2": F.col("_d2")})
+        q = cut(_swept(old, ("_d1", "_d2")))
+        if q.where(~F.col("_d1").eqNullSafe(F.col("_o1")) | ~F.col("_d2").eqNullSafe(F.col("_o2"))).isEmpty():
+            break
+    nearer = F.when(F.col("_d1").isNull() & F.col("_d2").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_d1") > F.col("_d2"), F.col("_d1").isNull()).cast("int"))
+    return q.select(*p.columns, nearer.alias("half"))
+
+
 def merged(p: DataFrame, won: DataFrame) -> DataFrame:
     """Applies claims (t, f, k): pixels of f become k. A target that itself merges away takes none in this step."""
     free = won.join(won.select("t", F.col("f").alias("k")), ["t", "k"], "left_anti")
@@ -135,19 +166,19 @@ def refined(p: DataFrame, target: float, rounds: int, sigma2: float = 400.0, bet
         over, under = (many.where(c).select("t") for c in (F.col("have") > target * (1 + slack), F.col("have") < target * (1 - slack)))
         won = claims(merge_scores(m, neighbour_pairs(p, axis), sigma2, log_alpha, bonus)).join(over, "t", "left_semi")
         p = cut(merged(p, won))
-        h = halves(p, axis)
-        good = split_scores(h, sigma2, bonus).where("accepted").join(under, "t", "left_semi").select("t", "spix")
-        p = cut(divided(h, good).select("t", "y", "x", "c0", "c1", "c2", "spix"))
+        h = grown(p.join(under, "t", "left_semi"), axis)
+        good = split_scores(h, sigma2, bonus).where("accepted").select("t", "spix")
+        p = cut(divided(h, good).select(*p.columns).unionByName(p.join(under, "t", "left_anti")))
     return p
 
 
 def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0) -> DataFrame:
-    """From pixels with half: t, spix, score, accepted."""
+    """From pixels with half: t, spix, score, accepted; regions with an empty half, or with pixels in neither, aren't split."""
     sums = {"n": F.lit(1)} | {f"s_c{k}": F.col(f"c{k}") for k in range(3)} | {f"q_c{k}": F.col(f"c{k}") * F.col(f"c{k}") for k in range(3)}
     agg = []
     for name, cond in (("f", F.lit(True)), ("k", F.col("half") == 0), ("s", F.col("half") == 1)):
         agg += [F.sum(F.when(cond, v).otherwise(0)).cast("long").alias(f"{name}_{c}") for c, v in sums.items()]
-    g = h.groupBy("t", "spix").agg(*agg).where("k_n >= 1 and s_n >= 1")
+    g = h.groupBy("t", "spix").agg(*agg).where("k_n >= 1 and s_n >= 1 and k_n + s_n = f_n")
     score = evidence("k_", sigma2) + evidence("s_", sigma2) - evidence("f_", sigma2) + split_alpha
     return g.select("t", "spix", score.alias("score")).withColumn("accepted", F.col("score") > -2)
 

@@ -337,17 +337,55 @@ def _scalar(name: str) -> str:
     return "(" + SQL[name].removeprefix(f"WITH {PIX_SQL}") + ")"
 
 
+PER_FRAME = {"ev2d": "ev", "ev3d": "ev", "psnr": "psnr", "ssim": "ssim"}
+WHOLE = ("tex", "szv", "ue2d", "sa2d", "ue3d", "sa3d", "ave_nsp")
+
+
 @query(
-    f", tx AS (SELECT * FROM (SELECT 1) q) SELECT a.tex, b.szv, c.ue2d, d.sa2d, e.ue3d, f.sa3d, g.ave_nsp, g.spnum FROM (WITH {SQL['tex'][5:]}) a, (WITH {SQL['szv'][5:]}) b, (WITH {SQL['ue2d'][5:]}) c, (WITH {SQL['sa2d'][5:]}) d, (WITH {SQL['ue3d'][5:]}) e, (WITH {SQL['sa3d'][5:]}) f, (WITH {SQL['ave_nsp'][5:]}) g"
+    ", tx AS (SELECT * FROM (SELECT 1) q) SELECT * FROM "
+    + ", ".join([f"(WITH {SQL[n][5:]}) {n}_" for n in WHOLE] + [f"(SELECT round(avg({c}), 5) AS {n} FROM (WITH {SQL[n][5:]}) q) {n}_" for n, c in PER_FRAME.items()])
 )
 def summary(p):
+    """One row: the metrics of the video, and the means of those that are measured per frame."""
     one = tex(p)
     for f in (szv, ue2d, sa2d, ue3d, sa3d, ave_nsp):
         one = one.crossJoin(f(p))  # one row each
+    for f in (ev2d, ev3d, psnr, ssim):
+        one = one.crossJoin(f(p).agg(F.round(F.avg(PER_FRAME[f.__name__]), 5).alias(f.__name__)))
     return one
 
 
 # --- colour and geometry ------------------------------------------------------------------------------------------------
+def _lab_video_sql() -> str:
+    lin = lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE power(({c} + 0.055) / 1.055, 2.4) END"
+    s = UNIT + ", li AS (SELECT t, y, x, " + ", ".join(f"{lin(c)} AS {n}" for c, n in zip(C, "rgb", strict=True)) + " FROM un)"
+    xyz = [" + ".join(f"{k!r}*{c}" for k, c in zip(row, "rgb", strict=True)) for row in color.TO_XYZ]
+    s += ", xyz AS (SELECT t, y, x, " + ", ".join(f"({e}) / {w!r} AS {n}" for e, w, n in zip(xyz, color.WHITE_VIDEO, ("vx", "vy", "vz"), strict=True)) + " FROM li)"
+    f = lambda v: f"CASE WHEN {v} > 0.008856 THEN power({v}, 1.0/3) ELSE 7.787068965517241*{v} + 4.0/29 END"
+    s += ", ff AS (SELECT t, y, x, " + ", ".join(f"{f(v)} AS f{v}" for v in ("vx", "vy", "vz")) + " FROM xyz), la AS (SELECT t, y, x, (116*fvy - 16) / -100 AS l, (fvx - fvy) * 5 AS a, (fvy - fvz) * 2 AS b FROM ff)"
+    s += ", en AS (SELECT min(least(l, a, b)) AS lo, max(greatest(l, a, b)) AS hi FROM la)"
+    return s + " SELECT t, y, x, " + ", ".join(f"round(({c} - lo) / (hi - lo), 5) AS {c}" for c in "lab") + " FROM la, en"
+
+
+@query(_lab_video_sql())
+def lab_video(p):
+    """The second conversion to L, a, b, scaled to 0..1 over the video."""
+    q = unit_channels(p)
+    lab = color.rgb_to_lab_video(*[F.col(c) for c in C])
+    q = reshape.to_unit_range(q.select("t", "y", "x", *[v.alias(n) for v, n in zip(lab, "lab", strict=True)]), ["l", "a", "b"])
+    return rounded(q, "t", "y", "x", places=5)
+
+
+BYTES = ", v AS (SELECT t, y, x, CASE WHEN t % 2 = 1 THEN c0 * 6.0::DOUBLE ELSE c0 / 50.0::DOUBLE END AS c0, CASE WHEN t % 2 = 1 THEN c1 * 6.0::DOUBLE ELSE c1 / 10.0::DOUBLE END AS c1 FROM pix), tp AS (SELECT t, max(greatest(c0, c1)) AS top FROM v GROUP BY t)"
+
+
+@query(BYTES + " SELECT v.t, y, x, " + ", ".join(f"round(CASE WHEN top < 200 THEN least(255.0, greatest(0.0, {c} * 255)) ELSE {c} END, 6) AS {c}" for c in ("c0", "c1")) + " FROM v JOIN tp ON tp.t = v.t")
+def byte_range(p):
+    """Frames in 0..1 to 0..255; every second frame already holds larger values."""
+    v = p.select("t", "y", "x", *[F.when(F.col("t") % 2 == 1, F.col(c) * 6.0).otherwise(F.col(c) / d).alias(c) for c, d in (("c0", 50.0), ("c1", 10.0))])
+    return rounded(reshape.to_byte_range(v, ["c0", "c1"]), "t", "y", "x")
+
+
 def _lab_sql(cols: str = "r, g, b") -> str:
     lin = lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE power(({c} + 0.055) / 1.055, 2.4) END"
     s = UNIT + ", li AS (SELECT t, y, x, " + ", ".join(f"{lin(c)} AS {n}" for c, n in zip(C, "rgb", strict=True)) + " FROM un)"
@@ -599,6 +637,12 @@ def split_score(p):
     return segment.split_scores(segment.halves(p), 0.5).select("t", "spix", F.round("score", 3).alias("score"), "accepted")
 
 
+@query()
+def split_seeds(p):
+    """The two halves of each region by growth from seeds beside its mean."""
+    return segment.grown(p).select("t", "y", "x", "spix", "half")
+
+
 @query()
 def potts_step(p):
     return segment.move_all(p, segment.parameters(p), 400.0, 0.5).select("t", "y", "x", "spix")
@@ -686,6 +730,19 @@ def report(spark, sf_dir):
     return rounded(wide.where(F.col("q").between(20, 30)).groupBy("method", "vid").agg(*[F.avg(c).alias(c) for c in ("q", "d", "t")]), "method", "vid")
 
 
+@on_tables(METRICS + " SELECT k, method, count(DISTINCT vid) AS items FROM m GROUP BY k, method HAVING count(DISTINCT vid) = (SELECT max(n) FROM (SELECT count(DISTINCT vid) AS n FROM m GROUP BY k, method) q)")
+def complete_settings(spark, sf_dir):
+    return reshape.complete_settings(_metric_rows(spark, sf_dir), ["k", "method"], "vid")
+
+
+@on_tables(METRICS + " SELECT 'mean' AS kind, k, method, round(avg(q), 6) AS value FROM m GROUP BY k, method UNION ALL SELECT 'worst', k, method, round(min(q), 6) FROM m GROUP BY k, method")
+def union_results(spark, sf_dir):
+    """Two result tables in one, by column names."""
+    g = _metric_rows(spark, sf_dir).where("metric = 'q'").groupBy("k", "method")
+    mean = g.agg(F.round(F.avg("mean"), 6).alias("value")).select(F.lit("mean").alias("kind"), "k", "method", "value")
+    return mean.unionByName(g.agg(F.round(F.min("mean"), 6).alias("value")).select("value", F.lit("worst").alias("kind"), "method", "k"))
+
+
 @on_tables("SELECT l_returnflag AS method, l_linestatus AS param, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1, 2")
 def group_mean_std(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("param")).agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"))

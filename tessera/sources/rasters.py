@@ -107,3 +107,38 @@ def from_bayer(planes: DataFrame) -> DataFrame:
     """The way back from bayer_planes."""
     each = F.explode(F.array(*[F.struct((F.col("y") * 2 + i).alias("y"), (F.col("x") * 2 + j).alias("x"), F.col(f"p{i}{j}").alias("v")) for i in (0, 1) for j in (0, 1)])).alias("e")
     return planes.select("t", each).select("t", "e.*")
+
+
+def read_frames(spark: SparkSession, root: str, offset: int = 0, pattern: str = "*.png") -> DataFrame:
+    """t, y, x, c0, c1, c2 (red, green, blue in 0..1) from image files named by their number less offset; grey images repeat their value, transparency is left out.
+
+    A file is one task's row, as images are decoded whole; its pixels are made from its bytes in batches."""
+    files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(root)
+    t = F.regexp_extract("image.origin", r"(\d+)\.[^./]*$", 1).cast("int") - offset
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, height, width, n, data in zip(pdf["t"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True):
+                bgr = np.frombuffer(data, np.uint8).reshape(height, width, n) / 255.0
+                rgb = np.repeat(bgr, 3, axis=2) if n == 1 else bgr[..., 2::-1]
+                y, x = np.mgrid[:height, :width]
+                yield pd.DataFrame({"t": np.int32(t), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), **{f"c{k}": rgb[..., k].ravel() for k in range(3)}})
+
+    return files.select(t.alias("t"), "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(decoded, "t int, y int, x int, c0 double, c1 double, c2 double")
+
+
+def read_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """method, param, video, metric, mean from files <method>/<param>/<video>/summary.csv below root; missing ones are left out."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.csv").csv(root)
+    place = lambda k: F.element_at(F.split(F.col("_metadata.file_path"), "/"), -k)
+    return rows.select(place(4).alias("method"), place(3).alias("param"), place(2).alias("video"), "metric", F.col("`mean[0]`").cast("double").alias("mean"))
+
+
+def write_summary_cache(summaries: DataFrame, path: str) -> None:
+    """Parquet, one folder per method and setting, so that a reader of some reads no others; those present are replaced."""
+    summaries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "param").parquet(path)
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """name: the lines of a list of videos, without blanks and empty lines."""
+    return spark.read.text(path).select(F.trim("value").alias("name")).where("name != ''")

@@ -251,3 +251,65 @@ def test_masks(spark):
     rows = [("b", 0, 0, 0, 1), ("a", 0, 0, 0, 1), ("a", 0, 0, 1, 9), ("b", 0, 0, 1, 0), ("a", 0, 0, 2, 0)]
     masks = spark.createDataFrame(rows, "object string, t int, y int, x int, on int")
     assert [r.gt for r in rasters.stacked_masks(masks).orderBy("x").collect()] == [2, 1, 0]
+
+
+def geodesic(grid, seed):
+    """Steps to every pixel of the seed's region."""
+    h, w = len(grid), len(grid[0])
+    dist, todo = {seed: 0}, [seed]
+    for a, b in todo:
+        for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
+            if 0 <= c < h and 0 <= d < w and grid[c][d] == grid[a][b] and (c, d) not in dist:
+                dist[c, d] = dist[a, b] + 1
+                todo.append((c, d))
+    return dist
+
+
+@pytest.mark.parametrize("axis", ["x", "y"])
+def test_growth_from_seeds_is_the_nearer_seed_inside_the_region(spark, axis):
+    """Blocks, a winding corridor, broken regions and missing labels."""
+    maze = [[1 if (y % 2 == 0) or x == (11 if y % 4 == 1 else 0) else 0 for x in range(12)] for y in range(9)]
+    for grid in (noise(9, 12, 2, 3), maze, [[(y // 5) * 2 + x // 6 for x in range(12)] for y in range(9)], [[-1 if x == 3 else 7 for x in range(12)] for y in range(9)]):
+        want = {}
+        for v in {v for row in grid for v in row} - {-1}:
+            at = [(y, x) for y in range(9) for x in range(12) if grid[y][x] == v]
+            my, mx = sum(y for y, _ in at) // len(at), sum(x for _, x in at) // len(at)
+            dy, dx = (0, 1) if axis == "x" else (2, 0)
+            far = [geodesic(grid, s) if s in at else {} for s in ((my - dy, mx - dx), (my + dy, mx + dx))]
+            for q in at:
+                a, b = (f.get(q, 1000) for f in far)
+                want[q] = None if a == b == 1000 else int(a > b)
+        got = {(r.y, r.x): r.half for r in segment.grown(raster(spark, grid), axis).collect()}
+        assert got == {(y, x): want.get((y, x)) for y in range(9) for x in range(12)}
+
+
+def png(grid):
+    """A PNG of red, green, blue bytes."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes(v for pixel in row for v in pixel) for row in grid)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(grid[0]), len(grid), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_frames_from_images(spark, tmp_path):
+    for t in (1, 2):
+        (tmp_path / f"{t:05d}.png").write_bytes(png([[(t, x, y) for x in range(3)] for y in range(2)]))
+    got = {(r.t, r.y, r.x): (round(r.c0 * 255), round(r.c1 * 255), round(r.c2 * 255)) for r in rasters.read_frames(spark, str(tmp_path), offset=1).collect()}
+    assert got == {(t - 1, y, x): (t, x, y) for t in (1, 2) for y in range(2) for x in range(3)}
+
+
+def test_summaries_cache_and_names(spark, tmp_path):
+    for method, video, value in (("a", "v1", 0.5), ("a", "v2", 0.25), ("b", "v1", 1.0)):
+        (tmp_path / "runs" / method / "sp4" / video).mkdir(parents=True)
+        (tmp_path / "runs" / method / "sp4" / video / "summary.csv").write_text(f"metric,mean[0],std\nTEX,{value},0\n")
+    rows = rasters.read_summaries(spark, str(tmp_path / "runs"))
+    want = [("a", "sp4", "v1", "TEX", 0.5), ("a", "sp4", "v2", "TEX", 0.25), ("b", "sp4", "v1", "TEX", 1.0)]
+    assert sorted(tuple(r) for r in rows.collect()) == want
+    for _ in range(2):
+        rasters.write_summary_cache(rows, str(tmp_path / "cache"))
+    again = spark.read.parquet(str(tmp_path / "cache")).select("method", "param", "video", "metric", "mean")
+    assert sorted(tuple(r) for r in again.collect()) == want
+    (tmp_path / "names.txt").write_text("v1\n\n v2 \n")
+    assert sorted(r.name for r in rasters.read_names(spark, str(tmp_path / "names.txt")).collect()) == ["v1", "v2"]
