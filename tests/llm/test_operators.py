@@ -653,3 +653,12 @@ def test_op10_large_group_in_several_tiles(spark):
     got = nv.near_duplicates(spark.createDataFrame(group + other, "vec_id long, vector array<double>"), tile=16).collect()
     for r in got:
         assert (r.component_id, r.n_links) == ((0, 79) if r.vec_id < 100 else (r.vec_id, 0))
+
+
+def test_written_out_addresses_have_no_length_bound(spark):
+    from tessera.llm import pii
+
+    address = "x" * 200 + " (at) " + "h" * 90 + " (dot) org"
+    df = spark.createDataFrame([(f"mail {address} now",)], "text string")
+    more = pii.candidates(df).select("more").first()["more"]
+    assert [(r["kind"], r["start"], r["end"]) for r in more if r["kind"] == "contact"] == [("contact", 5, 5 + len(address))]
