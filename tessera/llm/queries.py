@@ -16,6 +16,9 @@ WHERE = {
     "op8_sampled_sharding": "sharding",
     "op9_toxicity": "toxicity",
     "op10_vector_near_duplicates": "neardup_vectors",
+    "op11_secrets": "secret_scan",
+    "op12_conversation_repair": "conversation_repair",
+    "op13_ranked_search": "lexical_search",
 }
 
 
@@ -77,6 +80,79 @@ SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component_id, vec
 FROM v LEFT JOIN class USING (id) LEFT JOIN n USING (id)
 """
 
+#: Damage, faults, and the cheapest edits row by row: for each conversation and state, the least (cost, audit) and what it repairs to.
+OP12_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hit AS (
+  SELECT *, xor(list_reduce(
+    flatten(list_transform(range(1, length(name) + 1), lambda i: [ascii(name[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295), 4294967295) % 20 AS h
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, (SELECT unnest([0, 1]) AS copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM given)),
+k AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS k
+  FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+         left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) AS before
+  FROM k),
+forced AS (SELECT * FROM (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) v(q, q2, role)),
+fronts AS (
+  SELECT q, q AS q2, '' AS audit, 0 AS cost, '' AS made FROM forced
+  UNION ALL SELECT q, q2, 'I', 2, role || ':' || chr(10) FROM forced
+  UNION ALL SELECT a.q, b.q2, 'II', 4, a.role || ':' || chr(10) || b.role || ':' || chr(10) FROM forced a JOIN forced b ON b.q = a.q2),
+keeps AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(q, i, q2)),
+steps AS (
+  SELECT f.c, f.k, x.q, x.q2, 'D' AS edit, 3 AS cost, '' AS made FROM f, (SELECT q, q AS q2 FROM forced) x
+  UNION ALL SELECT c, k, q, q2, 'K', (fault IS NOT NULL)::INT, role || ':' || text || chr(10) FROM f JOIN keeps USING (i) WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT c, k, q, q2, 'R', 2 + (fault IS NOT NULL)::INT, forced.role || ':' || text || chr(10) FROM f, forced WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')),
+way(c, k, q, best) AS (
+  SELECT c, 0::BIGINT, 0, {'cost': 0, 'audit': '', 'made': ''} FROM ids
+  UNION ALL
+  SELECT way.c, way.k + 1, s.q2, min({'cost': best.cost + a.cost + s.cost, 'audit': best.audit || a.audit || s.edit, 'made': best.made || a.made || s.made})
+  FROM way JOIN fronts a ON a.q = way.q JOIN steps s ON s.c = way.c AND s.k = way.k + 1 AND s.q = a.q2 GROUP BY ALL),
+last AS (SELECT c, max(k) AS k FROM way GROUP BY c),
+done AS (
+  SELECT c, min({'cost': best.cost + a.cost, 'audit': best.audit || a.audit, 'made': best.made || a.made}) AS best
+  FROM way JOIN last USING (c, k) JOIN fronts a ON a.q = way.q AND a.q2 IN (0, 3) WHERE k > 0 OR a.audit = '' GROUP BY c),
+sums AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(left(best.made, greatest(length(best.made) - 1, 0))) AS repaired_sha256
+FROM ids JOIN done USING (c) LEFT JOIN sums USING (c)
+"""
+
+#: Every document's score for every item.
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+d AS (SELECT row, doc_id, ws, len(ws)::BIGINT AS n FROM words WHERE len(ws) > 0),
+sizes AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sizes GROUP BY term),
+item AS (
+  SELECT row_number() OVER () AS item, item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score
+  FROM item JOIN w USING (term) JOIN tf USING (term) JOIN d USING (row), sizes GROUP BY ALL HAVING sum(w) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row)::INT AS rank FROM scores)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op10_vector_near_duplicates": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op10_vector_near_duplicates": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_ranked_search": OP13_SQL}

@@ -32,7 +32,11 @@ def odd_rows():
     return ODD
 
 
-def _write(spark, root, docs, labels, vectors, turns):
+#: item_id, text: a null, an empty text, repeated terms, a repeated row, terms of other scripts, a text that is a document.
+ITEMS = [(1, "alpha1 beta2 beta2 ALPHA3"), (2, None), (3, ""), (4, "é İstanbul Σας one"), (4, "é İstanbul Σας one"), (None, "emoji \U0001f600 tail"), (5, "nowhere"), (6, BASE)]
+
+
+def _write(spark, root, docs, labels, vectors, turns, items):
     spark.createDataFrame(docs, "doc_id long, text string").withColumns(
         # extra columns whose names the operators use inside
         {"lang": F.lit("en"), "source": F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 2)), "n_chars": F.length("text").cast("long")}
@@ -41,6 +45,7 @@ def _write(spark, root, docs, labels, vectors, turns):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumns({"id": F.lit(1), "vector": F.lit("v"), "key": F.lit(2)}).write.parquet(f"{root}/embeddings.parquet")
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "segments": F.lit("s")}).write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame(items, "item_id long, text string").withColumns({"term": F.lit("x"), "tid": F.lit(1), "rank": F.lit(2)}).write.parquet(f"{root}/benchmark.parquet")
     return root
 
 
@@ -58,12 +63,12 @@ TURNS = [
 @pytest.fixture(scope="session")
 def odd(spark, tmp_path_factory):
     labels = [(1, 1, 0), (2, 1, 0), (3, 0, 1), (4, 1, 1), (8, None, None), (None, 1, 1), (9, 1, 0), (10, 0, 1), (12, 1, 0), (12, 0, 1)]
-    return _write(spark, str(tmp_path_factory.mktemp("odd")), ODD, labels, VECTORS, TURNS)
+    return _write(spark, str(tmp_path_factory.mktemp("odd")), ODD, labels, VECTORS, TURNS, ITEMS)
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return _write(spark, str(tmp_path_factory.mktemp("empty")), [], [], [], [])
+    return _write(spark, str(tmp_path_factory.mktemp("empty")), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")

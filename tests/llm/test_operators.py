@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, fingerprints, mixing, ngram_join, packing, pii, queries, sharding, toxicity
 
-from .conftest import ODD, TURNS, VECTORS
+from .conftest import ITEMS, ODD, TURNS, VECTORS
 
 Q = queries.queries()
 
@@ -29,7 +29,7 @@ def test_empty_tables(spark, empty, name):
     assert Q[name](spark, empty).count() == (1 if name.startswith("op5_") else 0)
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(Q) if n.split("_")[0] not in ("op4", "op5", "op10")])
+@pytest.mark.parametrize("name", [n for n in sorted(Q) if n.split("_")[0] not in ("op4", "op5", "op10", "op12", "op13")])
 def test_one_row_for_each_odd_document(spark, odd, name):
     got = Q[name](spark, odd).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(d for d, _ in ODD)
@@ -624,6 +624,7 @@ def planted(spark, tmp_path_factory):
     docs = list(ODD) + [(int(k // 1.2) + 50, " ".join(f"p{k % 9}q{v + int(v == k % 50)}" for v in range(40 + k % 3))) for k in range(200)]
     spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), F.col("doc_id") % 5))).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     return root
 
 
@@ -632,7 +633,7 @@ def planted(spark, tmp_path_factory):
 def test_matches_sql(spark, request, name, where):
     root = "/root/testdata/sf0.01" if where == "sf0.01" else request.getfixturevalue(where)
     duck = duckdb.connect()
-    for k in ("documents", "embeddings", "conversations"):
+    for k in ("documents", "embeddings", "conversations", "benchmark"):
         at = f"{root}/{k}.parquet"
         duck.execute(f"CREATE VIEW {k} AS SELECT * FROM read_parquet('{at if os.path.isfile(at) else at + '/*.parquet'}')")
     got, found = Q.get(name)(spark, root), duck.execute(queries.oracle_sql()[name])
