@@ -14,7 +14,9 @@ DataFrame functions.
 
 Defined results: a null text is empty; equal texts are linked whatever they hold; other texts without words are linked with nothing; a text of
 fewer than five words is one shingle; rows with the same doc_id are separate documents, each with the links of its own text; a
-null doc_id has class null and no links; an empty table gives no rows; other columns are ignored."""
+null doc_id has class null and no links; an empty table gives no rows; other columns are ignored. Texts are read whole; a tile holds about 2 x 4 million shingles
+at most, so groups of long near copies are cut in more tiles, and only the sets of one tile and a range of their hashes are in memory. Ties of
+similarity at the threshold count as links."""
 
 from __future__ import annotations
 
@@ -33,6 +35,8 @@ from tessera.llm.neardup_vectors import local_roots
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS, STEP = 128, 25, 5, 16
 TOLERANCE, TILE = 1e-6, 1024
+#: Shingles of a chunk of a tile: what bounds a tile of long texts, as TILE bounds one of short texts. Elements that common() takes at a time.
+CHUNK_SHINGLES, ELEMENTS = 4_000_000, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,17 +74,20 @@ def minhashes(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, hashes: int = HASHES) -> DataFrame:
-    """From doc_id, text: doc_id, x and y (hashes of the text), sig (bytes; null without words)."""
+    """From doc_id, text: doc_id, x and y (hashes of the text), sig (bytes; null without words), size (shingles)."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _seeds(hashes)
         for pdf in batches:
-            sets = (shingles(t, words) for t in pdf["text"])
-            sig = [minhashes(s, a, b).astype("<u4").tobytes() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": pdf["x"], "y": pdf["y"], "sig": sig})
+            sig, size = [], []
+            for t in pdf["text"]:
+                s = shingles(t, words)
+                sig.append(minhashes(s, a, b).astype("<u4").tobytes() if len(s) else None)
+                size.append(len(s))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": pdf["x"], "y": pdf["y"], "sig": sig, "size": size})
 
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
-    return rows.mapInPandas(signed, "doc_id long, x long, y long, sig binary")
+    return rows.mapInPandas(signed, "doc_id long, x long, y long, sig binary, size long")
 
 
 def least_matches(threshold: float, hashes: int = HASHES, step: int = STEP, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -103,13 +110,15 @@ def band(sig, k, rows: int = ROWS):
     return F.xxhash64(k, F.substring(sig, k * 4 * rows + 1, F.lit(4 * rows)))
 
 
-def tiles(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """From id, sig: one row per member of a tile: t (band), bucket, a, b (its pair of chunks), chunk (the member's)."""
-    each = classes.where("sig is not null").select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: band(F.col("sig"), k, rows))).alias("t", "bucket"))
-    sizes = each.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
+def tiles(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """From id, sig, size: one row per member of a tile: t (band), bucket, a, b (its pair of chunks), chunk (the member's). A bucket has
+    as many chunks as keep each to about ``tile`` members and ``chunk_shingles`` shingles."""
+    each = classes.where("sig is not null").select("id", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: band(F.col("sig"), k, rows))).alias("t", "bucket"))
+    sizes = each.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
     # buckets of the same members: the earliest band has them
-    sizes = sizes.groupBy("n", "first", "who").agg(F.min(F.struct("t", "bucket")).alias("k")).select("n", "k.t", "k.bucket")
-    member = each.join(sizes, ["t", "bucket"]).withColumn("chunks", F.ceil(F.col("n") / tile).cast("int"))
+    sizes = sizes.groupBy("n", "first", "who").agg(F.min(F.struct("t", "bucket", "volume")).alias("k")).select("n", "k.t", "k.bucket", "k.volume")
+    chunks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("volume") / chunk_shingles))
+    member = each.join(sizes, ["t", "bucket"]).withColumn("chunks", chunks.cast("int"))
     member = member.withColumn("chunk", F.pmod(F.xxhash64("id", "bucket"), F.col("chunks")).cast("int"))
     spread = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return spread.select("id", "t", "bucket", "chunk", F.least("chunk", "o").alias("a"), F.greatest("chunk", "o").alias("b"))
@@ -139,8 +148,8 @@ def _pairs(key: tuple, c: dict, needs: list[tuple[int, int]], rows: int) -> tupl
     return i, j
 
 
-def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """From id, sig (a stored table): t, bucket, a, b, chunk, id of the members of tiles that have a partner after pruning."""
+def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """From id, sig, size (a stored table): t, bucket, a, b, chunk, id of the members of tiles that have a partner after pruning."""
     needs = least_matches(threshold)
 
     def prune(key: tuple, c: dict) -> dict | None:
@@ -151,7 +160,7 @@ def surviving(classes: DataFrame, threshold: float, bands: int = BANDS, rows: in
         n = len(place)
         return {"t": np.full(n, key[0]), "bucket": np.full(n, key[1]), "a": np.full(n, key[2]), "b": np.full(n, key[3]), "chunk": c["chunk"][place], "id": c["id"][place]}
 
-    members = tiles(classes, bands, rows, tile).join(classes.select("id", "sig"), "id")
+    members = tiles(classes, bands, rows, tile, chunk_shingles).join(classes.select("id", "sig"), "id")
     return in_tiles(members, ["chunk", "id"], prune, "t int, bucket long, a int, b int, chunk int, id long")
 
 
@@ -161,7 +170,10 @@ def verified(candidates: DataFrame, texts: DataFrame, threshold: float, words: i
 
     def exact(key: tuple, c: dict) -> dict | None:
         i, j = _pairs(key, c, needs, rows)
-        sets = [shingles(t, words) for t in c["text"]]
+        sets = []
+        for k, t in enumerate(c["text"]):
+            sets.append(shingles(t, words))
+            c["text"][k] = None  # the set takes its place
         n = np.array([len(s) for s in sets])
         both = common(sets, i, j)
         near = both >= threshold * (n[i] + n[j] - both) - 1e-9
@@ -176,11 +188,21 @@ def verified(candidates: DataFrame, texts: DataFrame, threshold: float, words: i
     return in_tiles(candidates.join(texts, "id"), ["chunk", "id"], exact, "id long, links long, towards long")
 
 
-def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 8192, cells: int = 1 << 21) -> np.ndarray:
-    """The number of elements that sets i and j have in common, pair by pair. Sets become rows of bits, ``columns`` elements at a time, and pairs
-    are counted ``cells`` words of bits at a time, so that memory doesn't depend on how many elements or pairs there are."""
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 8192, cells: int = 1 << 21, elements: int = ELEMENTS) -> np.ndarray:
+    """The number of elements that the sorted sets i and j have in common, pair by pair. Elements are taken by ranges of hashes of about ``elements`` in all
+    sets together; in a range sets become rows of bits, ``columns`` elements at a time, and pairs are counted ``cells`` words
+    of bits at a time, so that memory doesn't depend on how many elements or pairs there are."""
     out = np.zeros(len(i), np.int64)
-    every, inside, seen = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    ranges = -(-sum(len(s) for s in sets) // elements)
+    cuts = np.array([(k << 64) // max(1, ranges) for k in range(1, ranges)], np.uint64)
+    ends = [[0, *np.searchsorted(s, cuts).tolist(), len(s)] for s in sets]
+    for k in range(ranges):
+        _add_common(out, [s[e[k] : e[k + 1]] for s, e in zip(sets, ends, strict=True)], i, j, columns, cells)
+    return out
+
+
+def _add_common(out: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int, cells: int) -> None:
+    _, inside, seen = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     column = np.cumsum(seen > 1) - 1
     keep = (seen > 1)[inside]
@@ -197,21 +219,20 @@ def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int =
         some = cells // bits.shape[1]
         for k in range(0, len(i), some):
             out[k : k + some] += np.bitwise_count(bits[i[k : k + some]] & bits[j[k : k + some]]).sum(axis=1, dtype=np.int64)
-    return out
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """From doc_id, text: doc_id, class_id (least doc_id that links reach), n_links (other documents of similarity at or above the threshold), one row per row."""
-    return joined(docs, threshold, words, tile).select("doc_id", "class_id", "n_links")
+    return joined(docs, threshold, words, tile, chunk_shingles).select("doc_id", "class_id", "n_links")
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tile: int = TILE, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """ngram_join() and x, y (hashes of the text) and node (a key of the group of linked texts). Classes have numbers of their own,
     because rows of one doc_id may hold different texts."""
     prints = written(signatures(docs, words), "signatures")
-    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = prints.where("doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "text-classes")
-    left = written(surviving(classes.select("id", "sig"), threshold, tile=tile), "candidates")
+    left = written(surviving(classes.select("id", "sig", "size"), threshold, tile=tile, chunk_shingles=chunk_shingles), "candidates")
     wanted = left.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("least"), text_of().alias("text")).withColumn("x", F.xxhash64("text")).withColumn("y", F.xxhash64(F.lit(1), "text"))
     texts = texts.join(classes.join(wanted, "id", "left_semi"), ["least", "x", "y"]).select("id", "copies", "sig", "text").dropDuplicates(["id"])
