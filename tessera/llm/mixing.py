@@ -13,7 +13,7 @@ Permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): arithmetic
 nothing to sort or to keep. Native: DataFrame functions only; the driver sees one row per source.
 
 Defined results: a null text has size 0 and is never taken; sources are ordered by code point with null last; rows with
-the same doc_id count as separate documents in an order fixed by their text; an empty table gives no rows; other columns are ignored."""
+the same doc_id count as separate documents in an order fixed by their text; an empty table gives no rows; other columns are ignored; texts of any length are counted whole. A row repeated very often is counted once and dealt out by number."""
 
 from __future__ import annotations
 
@@ -168,9 +168,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
     return sources, taken
 
 
-def numbered(docs: DataFrame, key: list[str]) -> DataFrame:
-    """Adds row: the key columns and a number that tells rows with the same key apart; it doesn't depend on where a row is stored."""
-    return docs.withColumn("row", F.struct(*key, F.row_number().over(W.partitionBy(*key).orderBy(key[0])).alias("n")))
+def numbered(docs: DataFrame, key: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Stored rows with row: the key columns, which tell all others, and a number that tells rows with the same key apart. Equal rows are counted, and
+    made again from the count, parts of ``part_rows`` at a time, so that a row repeated very often is no task of its own."""
+    counts = written(docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_n")), "mix-docs")
+    parts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / part_rows))))
+    if (counts.agg(F.max("_n").alias("n")).first()["n"] or 0) > part_rows:
+        parts = parts.repartition(*key, "_part")
+    first = F.col("_part") * part_rows
+    each = parts.withColumn("_k", F.explode(F.sequence(first + 1, F.least(first + part_rows, F.col("_n")))))
+    return each.withColumn("row", F.struct(*key, F.col("_k").cast("int").alias("n"))).drop("_n", "_part", "_k")
 
 
 def mixed_documents(docs: DataFrame, block: int = TEXT_BLOCK, **params) -> DataFrame:
@@ -179,7 +186,7 @@ def mixed_documents(docs: DataFrame, block: int = TEXT_BLOCK, **params) -> DataF
     in the block, so that the texts of a shard, one after the other, are the shard."""
     key = F.struct(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
     slim = docs.select(key.alias("key"), F.col("source"), n_words(text_of()).alias("size"))
-    rows = written(numbered(slim, ["key"]), "mix-docs")
+    rows = numbered(slim, ["key"])
     _, taken = mix(rows.select("row", "source", "size"), block, **params)
     # a document's fragments: as many as its own length makes
     per = taken.groupBy("row").agg(F.collect_list(F.struct("shard", "place", "lo", "word", "words")).alias("_frags")).withColumn("_key", F.col("row.key"))
@@ -198,7 +205,7 @@ def mixed_documents(docs: DataFrame, block: int = TEXT_BLOCK, **params) -> DataF
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text_of()).alias("size"), F.xxhash64("text").alias("text"))
-    rows = written(numbered(slim, ["doc_id", "text", "source"]).drop("text"), "mix-docs")
+    rows = numbered(slim, ["doc_id", "text", "source"])
     sources, taken = mix(rows.select("row", "source", "size"))
     per = taken.groupBy("row").agg(F.sum("words").cast("long").alias("taken"))
     out = rows.join(per, "row", "left").alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
