@@ -16,8 +16,9 @@ def drawn(rows: DataFrame, most: int, salt: str) -> DataFrame:
     n = rows.count()
     if n <= most:
         return rows
-    keep = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 31)) < int((1 << 31) * 0.97 * most / n)
-    return rows.where(keep).limit(most)
+    place = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 31))
+    # should the hash let more through than wanted, it also decides which ones stay
+    return rows.where(place < int((1 << 31) * 0.97 * most / n)).orderBy(place, "doc_id").limit(most)
 
 
 def one_label(labels: DataFrame, column: str) -> DataFrame:
