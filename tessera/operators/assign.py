@@ -138,3 +138,84 @@ def region_attention(p: DataFrame, value: str, scale: float) -> DataFrame:
     top = sum((F.coalesce(weight(c) * c["v"], F.lit(0.0)) for c in cols), F.lit(0.0))
     low = sum((weight(c) for c in cols), F.lit(0.0))
     return q.select("t", "y", "x", (top / low).alias("attended"))
+
+
+def nearest_centres(p: DataFrame, centres: DataFrame, side: float) -> DataFrame:
+    """From pixels (t, y, x, px, py: where they are looked for) and centres (t, spix, cx, cy), anywhere: t, y, x, spix of the nearest centre of the frame; ties go to the smaller number.
+    Centres lie in cells of ``side`` pixels, so a pixel meets those around it only."""
+    from tessera.operators.search import gap, ring_search
+
+    code = F.col("y").cast("long") * (1 << 31) + F.col("x")
+    points = p.select("t", code.alias("r"), F.col("px").cast("double").alias("u"), F.col("py").cast("double").alias("v"))
+    targets = centres.select("t", F.col("spix").alias("q"), F.col("cx").cast("double").alias("u"), F.col("cy").cast("double").alias("v"))
+    out = ring_search(points, targets, ["t"], 1, side, lambda x: gap(x, ("u", "v")), 1.0)
+    return out.select("t", F.floor(F.col("r") / (1 << 31)).cast("int").alias("y"), (F.col("r") % (1 << 31)).cast("int").alias("x"), F.element_at("best", 1)["q"].cast("int").alias("spix"))
+
+
+def attention_windows(p: DataFrame, value: str, scale: float, radius: int, span: int = 0, same_region: bool = False, block: int = 32) -> DataFrame:
+    """Attention over windows in time and space: t, y, x, attended: the mean of the values in the window, weighted by exp(-scale x squared difference). A window has 2 span + 1 frames and
+    (2 radius + 1)^2 places; at a border it starts later or earlier, so that it stays whole where the raster is large enough. same_region: only pixels of the pixel's own region.
+
+    Pixels go once to every block that a window around them can reach into; each block, bounded by its side and the radius, is one group of arrays."""
+    import numpy as np
+    import pandas as pd
+
+    far, wide = 2 * radius, 2 * span
+    last = p.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    size = p.groupBy("t").agg(F.max("y").alias("y1"), F.max("x").alias("x1"))
+    rows = p.select("t", "y", "x", F.col(value).cast("double").alias("v"), "spix").join(size, "t").crossJoin(F.broadcast(last))  # one row
+    reach = lambda c: F.sequence(F.floor((F.col(c) - far) / block), F.floor((F.col(c) + far) / block))
+    rows = rows.withColumn("bt", F.explode(F.sequence(F.greatest(F.col("t") - wide, "t0"), F.least(F.col("t") + wide, "t1")))).withColumn("by", F.explode(reach("y"))).withColumn("bx", F.explode(reach("x")))
+
+    def attended(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bt, by, bx = (int(k) for k in key)
+        t, y, x = (pdf[c].to_numpy() for c in "tyx")
+        t_, y_, x_ = int(t.min()), int(y.min()), int(x.min())
+        shape = (int(t.max()) - t_ + 1, int(y.max()) - y_ + 1, int(x.max()) - x_ + 1)
+        values, labels = np.full(shape, np.nan), np.full(shape, -1, np.int64)
+        values[t - t_, y - y_, x - x_] = pdf["v"]
+        labels[t - t_, y - y_, x - x_] = pdf["spix"]
+        own = (t == bt) & (y // block == by) & (x // block == bx)
+        if not own.any():
+            return pd.DataFrame({"t": [], "y": [], "x": [], "attended": []})
+        t, y, x, mine, label = t[own], y[own], x[own], pdf["v"].to_numpy()[own], pdf["spix"].to_numpy()[own]
+        start = lambda at, r, lo, hi: np.clip(at - r, lo, np.maximum(lo, hi - 2 * r))
+        s = (start(t, span, pdf["t0"].iat[0], pdf["t1"].iat[0]), start(y, radius, 0, pdf["y1"].to_numpy()[own]), start(x, radius, 0, pdf["x1"].to_numpy()[own]))
+        top, low = np.zeros(len(t)), np.zeros(len(t))
+        for d in np.ndindex(2 * span + 1, 2 * radius + 1, 2 * radius + 1):
+            at = [a + k - b for a, k, b in zip(s, d, (t_, y_, x_), strict=True)]
+            there = np.all([(a >= 0) & (a < n) for a, n in zip(at, shape, strict=True)], axis=0)
+            at = tuple(np.where(there, a, 0) for a in at)
+            v = values[at]
+            there &= ~np.isnan(v)
+            if same_region:
+                there &= labels[at] == label
+            w = np.where(there, np.exp(-scale * (np.where(there, v, 0) - mine) ** 2), 0.0)
+            top += w * np.where(there, v, 0)
+            low += w
+        return pd.DataFrame({"t": t, "y": y, "x": x, "attended": top / low})
+
+    return rows.groupBy("bt", "by", "bx").applyInPandas(attended, "t int, y int, x int, attended double")
+
+
+def principal_projection(rows: DataFrame, k: int) -> DataFrame:
+    """From id, v (arrays of one length d): id, projected (k numbers): rows standardised over their own components, projected on the first k right singular vectors. Only the d x d sums of products reach the driver;
+    each vector's largest component is made positive, since a singular vector has no sign of its own."""
+    import numpy as np
+
+    n = F.size("v")
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
+    spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / (n - 1))
+    z = rows.withColumn("_m", mean).withColumn("_s", spread).select("id", F.transform("v", lambda x: (x - F.col("_m")) / F.col("_s")).alias("z"))
+    cells = z.select(F.posexplode("z").alias("a", "x"), "z").select("a", "x", F.posexplode("z").alias("b", "y")).where("a <= b")
+    sums = cells.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # d (d + 1) / 2 rows
+    if not sums:
+        return z.select("id", F.col("z").alias("projected"))
+    d = max(r["b"] for r in sums) + 1
+    gram = np.zeros((d, d))
+    for r in sums:
+        gram[r["a"], r["b"]] = gram[r["b"], r["a"]] = r["s"]
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    dot = lambda axis: F.aggregate(F.zip_with("z", F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+    return z.select("id", F.array(*[dot(axes[:, c]) for c in range(axes.shape[1])]).alias("projected"))

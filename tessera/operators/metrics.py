@@ -41,8 +41,8 @@ def gaussian(size: int = 11, sigma: float = 1.5) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def ssim(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11) -> DataFrame:
-    """Mean structural similarity per frame of two columns, over full windows."""
+def similarity(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11) -> DataFrame:
+    """t, ssim, cs: mean structural similarity per frame of two columns, over full windows, and its part of contrast and structure."""
     w = gaussian(size)
     parts = {"_ma": F.col(a), "_mb": F.col(b), "_aa": F.col(a) * F.col(a), "_bb": F.col(b) * F.col(b), "_ab": F.col(a) * F.col(b)}
     p = filtered(p.select("t", "y", "x", a, b), parts, w)
@@ -50,7 +50,42 @@ def ssim(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11) -> Dat
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     cross, va, vb = m["ab"] - m["ma"] * m["mb"], m["aa"] - m["ma"] * m["ma"], m["bb"] - m["mb"] * m["mb"]
     value = (m["ma"] * m["mb"] * 2.0 + c1) * (cross * 2.0 + c2) / ((m["ma"] * m["ma"] + m["mb"] * m["mb"] + c1) * (va + vb + c2))
-    return p.groupBy("t").agg(F.avg(value).alias("ssim"))
+    return p.groupBy("t").agg(F.avg(value).alias("ssim"), F.avg((cross * 2.0 + c2) / (va + vb + c2)).alias("cs"))
+
+
+def ssim(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11) -> DataFrame:
+    return similarity(p, a, b, peak, size).select("t", "ssim")
+
+
+def halved(p: DataFrame, values: list[str]) -> DataFrame:
+    """Each frame at half its size: means of 2 x 2 pixels. An odd side has a line of zeros before its first and after its last line; a pixel that isn't there counts as 0."""
+    size = p.groupBy("t").agg(((F.max("y") + 1) % 2).alias("_oy"), ((F.max("x") + 1) % 2).alias("_ox"))
+    at = lambda c, odd: F.floor((F.col(c) + F.col(odd)) / 2).cast("int").alias(c)
+    return p.join(size, "t").groupBy("t", at("y", "_oy"), at("x", "_ox")).agg(*[(F.sum(v) / 4.0).alias(v) for v in values])
+
+
+#: The weights of the scales, finest first.
+SCALES = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
+
+
+def ms_ssim(p: DataFrame, a: str, b: str, peak: float = 1.0, size: int = 11, weights: tuple[float, ...] = SCALES) -> DataFrame:
+    """t, ms_ssim: the product over scales of contrast and structure, at the last scale of the whole similarity, negative ones as 0, each to its weight; null where a scale is smaller
+    than the window. The scales are frames of one table, so one pass of windows measures all of them."""
+    n = len(weights)
+    q = p.select("t", "y", "x", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    levels = q.withColumn("t", F.col("t") * n)
+    for k in range(1, n):
+        q = halved(q, ["a", "b"])
+        levels = levels.unionByName(q.withColumn("t", F.col("t") * n + k))
+    each = similarity(levels, "a", "b", peak, size).select(F.floor(F.col("t") / n).cast("int").alias("t"), (F.col("t") % n).alias("k"), "ssim", "cs")
+    value = F.greatest(F.when(F.col("k") == n - 1, F.col("ssim")).otherwise(F.col("cs")), F.lit(0.0))
+    one = [F.pow(F.max(F.when(F.col("k") == k, value)), w) for k, w in enumerate(weights)]
+    out = one[0]
+    for o in one[1:]:
+        out = out * o
+    # greatest() skips nulls, so a scale without windows is asked for by itself
+    whole = F.count_if(F.col("cs").isNotNull()) == n
+    return each.groupBy("t").agg(F.when(whole, out).alias("ms_ssim"))
 
 
 def overlaps(p: DataFrame) -> DataFrame:

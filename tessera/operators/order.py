@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import stored
 
-def cut_points(df: DataFrame, key: str, parts: int) -> list:
-    """At most ``parts`` - 1 quantiles of a numeric column."""
-    if parts < 2:
-        return []
-    return sorted(set(df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 50 * parts)).first()[0] or []))
 
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, part_rows: int = 100_000) -> DataFrame:
+    """Adds ``out``: 0, 1, ... in each group along ``order``; group columns hold no nulls.
 
-def part_of(key: Column, points: list) -> Column:
-    """The number of cut points at or below the key, by halving."""
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < points[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(points))
-
-
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, part_rows: int = 100_000, most: int = 4096) -> DataFrame:
-    """Adds ``out``: 0, 1, ... in each group along ``order``, whose first column is numeric and not null.
-
-    Groups are cut at quantiles of that column, into parts of about ``part_rows`` rows of all groups together (at most ``most`` parts); counts of
-    parts give each part its first rank, a window the rest."""
-    parts = min(most, -(-df.count() // part_rows))
-    cut = df.withColumn("_part", part_of(F.col(order[0]), cut_points(df, order[0], parts)))
+    Spark's range partitioning cuts the order of group and order columns into ranges of about ``part_rows`` rows, however many there are. The ranges are stored
+    with their numbers, since another run of the same partitioning would cut elsewhere; counts of ranges give each its first rank in a group, a window inside a range the rest."""
+    ranges = -(-df.count() // part_rows) or 1
+    cut = stored(df.repartitionByRange(ranges, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     first = cut.groupBy(*group, "_part").count().select(*group, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     local = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))

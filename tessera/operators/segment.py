@@ -8,22 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbours import EIGHT, along_column, along_row, border, simple
+from tessera.operators.neighbours import EIGHT, along_column, along_row, eight, simple_points
 
 SIDES = ("n", "s", "w", "e")
 
 
 def move_labels(p: DataFrame, regions: DataFrame, parity: tuple[int, int], sigma2: float, beta: float) -> DataFrame:
-    """One parity (x % 2, y % 2) of a Potts step. A border pixel that its region can spare takes, among its own and its four neighbours' labels,
-    the one of highest score under its region (mean colour, position, inverse covariance) with a penalty per differing neighbour; ties: own label, then the order n, s, w, e.
+    """One parity (x % 2, y % 2) of a Potts step. A border pixel takes, among its side neighbours' labels, the one of highest score under its region (mean colour,
+    position, inverse covariance) with a penalty per differing neighbour, if it is simple for each of these labels: taking it neither closes
+    nor joins parts of any of them around the pixel. Ties go by the order n, s, w, e, at six digits, so that the order of sums doesn't matter. A pixel of a region of at most
+    two pixels that would stay goes to the first of n, e, s, w. Off the raster, and missing labels, count as equal to any.
 
     regions: t, spix, n, mu_c0.., mu_x, mu_y, i_xx, i_xy, i_yy, logdet."""
-    q = simple(border(p))
-    moving = q.where(F.col("border") & F.col("simple") & (F.col("x") % 2 == parity[0]) & (F.col("y") % 2 == parity[1]))
-    differing = lambda c: sum((F.coalesce((F.col(k) != c).cast("int"), F.lit(0)) for k in EIGHT), F.lit(0))
-    cand = moving.select("t", "y", "x", "c0", "c1", "c2", F.posexplode(F.array(*[F.struct(F.col(c).alias("c"), differing(F.col(c)).alias("d")) for c in ("spix", *SIDES)])).alias("k", "o")).where("o.c >= 0")
-    j = cand.withColumn("c", F.col("o.c")).join(regions.withColumnRenamed("spix", "c"), ["t", "c"])
-    j = j.groupBy("t", "y", "x").agg(F.max_by("c", F.struct(likelihood(sigma2) - F.col("o.d") * beta, -F.col("k"))).alias("_new"))
+    q = eight(p, "spix")
+    off = F.lit(False)
+    for k in SIDES:
+        off = off | F.col(k).isNull() | (F.col(k) != F.col("spix"))
+    q = q.where(off & (F.col("spix") >= 0) & (F.col("x") % 2 == parity[0]) & (F.col("y") % 2 == parity[1]))
+    q = q.withColumns({k: F.coalesce(F.col(k), F.lit(-1)) for k in EIGHT})
+    first = F.coalesce(*[F.when(F.col(k) >= 0, F.col(k)) for k in ("n", "e", "s", "w")])
+    q = q.select("t", "y", "x", "c0", "c1", "c2", F.col("spix").alias("_own"), first.alias("_first"), *EIGHT, F.posexplode(F.array(*SIDES)).alias("k", "c"))
+    # bit i: neighbour i of EIGHT holds the label, or none
+    bits = sum((F.when((F.col(k) == F.col("c")) | (F.col(k) == -1), 1 << i).otherwise(0) for i, k in enumerate(EIGHT)), F.lit(0))
+    q = q.withColumn("_bits", bits).drop(*EIGHT)
+    free = F.element_at(F.array(*[F.lit(v) for v in simple_points()]), F.col("_bits") + 1)
+    j = q.withColumn("_free", free).join(regions.withColumnRenamed("spix", "c"), ["t", "c"], "left")
+    score = F.round(likelihood(sigma2) - (8 - F.bit_count("_bits")) * beta, 6)
+    best = F.max(F.when(F.col("c") >= 0, F.struct(score.alias("s"), (-F.col("k")).alias("k"), "c")))
+    j = j.groupBy("t", "y", "x").agg(F.bool_and("_free").alias("_free"), best.alias("_b"), F.first("_own").alias("_own"), F.first("_first").alias("_first")).where("_free and _b is not null")
+    tiny = regions.where("n <= 2").select("t", F.col("spix").alias("_own"), F.lit(True).alias("_tiny"))
+    best = F.when(F.col("_b.s") > -9999, F.col("_b.c")).otherwise(F.col("_own"))
+    new = F.when(F.col("_tiny") & (best == F.col("_own")), F.col("_first")).otherwise(best)
+    j = j.join(tiny, ["t", "_own"], "left").select("t", "y", "x", new.alias("_new"))
     return p.join(j, ["t", "y", "x"], "left").withColumn("spix", F.coalesce("_new", "spix")).drop("_new")
 
 
@@ -68,12 +84,12 @@ def neighbour_pairs(p: DataFrame, axis: str = "x") -> DataFrame:
 SUMS = ["n", *[f"{a}_c{k}" for a in "sq" for k in range(3)]]
 
 
-def merge_scores(moments: DataFrame, pairs: DataFrame, sigma2: float, log_alpha: float, bonus: float = 0.0) -> DataFrame:
-    """t, f, k, score, accepted: evidence of the union less that of its parts, from the parts' sums (no pixel is read again)."""
+def merge_scores(moments: DataFrame, pairs: DataFrame, sigma2: float, log_alpha: float, bonus: Column | float = 0.0) -> DataFrame:
+    """t, f, k, score, accepted: evidence of the union less that of its parts, from the parts' sums (no pixel is read again). bonus may be a column of the pairs."""
     side = lambda name: moments.select("t", F.col("spix").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in SUMS])
     j = pairs.join(side("f"), ["t", "f"]).join(side("k"), ["t", "k"])
     j = j.withColumns({f"u_{c}": F.col(f"f_{c}") + F.col(f"k_{c}") for c in SUMS})
-    score = evidence("u_", sigma2) - log_alpha - evidence("f_", sigma2) - evidence("k_", sigma2) + bonus
+    score = evidence("u_", sigma2) - log_alpha - evidence("f_", sigma2) - evidence("k_", sigma2) + (bonus if isinstance(bonus, Column) else F.lit(bonus))
     return j.select("t", "f", "k", score.alias("score")).withColumn("accepted", F.col("score") > -2)
 
 
@@ -91,12 +107,6 @@ def adjacent(p: DataFrame) -> DataFrame:
     return each.select("t", F.least("spix", "o").alias("f"), F.greatest("spix", "o").alias("k")).distinct()
 
 
-def halves(p: DataFrame, axis: str = "x") -> DataFrame:
-    """Splits each region at its mean x or y: adds half (0 before, 1 after)."""
-    mean = p.where("spix >= 0").groupBy("t", "spix").agg(F.avg(axis).alias("_mean"))
-    return p.join(mean, ["t", "spix"]).withColumn("half", (F.col(axis) > F.col("_mean")).cast("int")).drop("_mean")
-
-
 def _swept(q: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Distances inside regions after a sweep along the rows and one along the columns: in a run of one label a pixel is as far as any other of the run and the way between."""
     for line, run, at in (("y", "_run_x", "x"), ("x", "_run_y", "y")):
@@ -150,55 +160,94 @@ def parameters(p: DataFrame) -> DataFrame:
     return summary(moments(p)).select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[v.alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], geometry.log_det(*c).alias("logdet"))
 
 
-def refined(p: DataFrame, target: float, rounds: int, sigma2: float = 400.0, beta: float = 0.5, log_alpha: float = 2.0, slack: float = 0.05, step: float = 2.0) -> DataFrame:
-    """The main loop on t, y, x, c0, c1, c2, spix (no label missing). A round updates the regions' parameters, moves labels over the four parities, and steers every frame
-    towards ``target`` regions: a frame with more than that by ``slack`` merges along one axis, one with fewer splits along it,
-    the axes in turn. A frame outside the band makes the wanted step easier by ``step`` with each round."""
+def steered(have: DataFrame, before: DataFrame, target: float, slack: float, step: float) -> DataFrame:
+    """From t, have (regions) and t, bonus of the round before: t, bonus, inside. A frame above the band makes splits harder and merges easier by ``step``
+    with each round, one below it the other way round; it starts from nothing when it crosses the band, and has no bonus in it."""
+    over, under = F.col("have") > target * (1 + slack), F.col("have") < target * (1 - slack)
+    old = F.coalesce(F.col("bonus"), F.lit(0.0))
+    bonus = F.when(over, F.least(old, F.lit(0.0)) - step).when(under, F.greatest(old, F.lit(0.0)) + step).otherwise(0.0)
+    return have.join(before, "t", "left").select("t", bonus.alias("bonus"), (~over & ~under).alias("inside"))
+
+
+def refined(p: DataFrame, target: float, rounds: int, sigma2: float = 400.0, beta: float = 0.5, log_alpha: float = 2.0, slack: float = 0.05, step: float = 2.0, least: int = 0) -> DataFrame:
+    """The main loop on t, y, x, c0, c1, c2, spix (no label missing). Each round counts every frame's regions and sets its bonus (see steered), splits or
+    merges along one axis (splits and merges take turns, and after both the axis changes), and moves labels over the four parities. A frame inside the
+    band after ``least`` rounds stops; the loop ends when all have, or after ``rounds``. Stopped frames are kept apart, so a round works on open ones only."""
     from tessera.operators.lineage import cut
     from tessera.operators.regions import moments
 
-    p = cut(p.select("t", "y", "x", "c0", "c1", "c2", "spix"))
+    p, closed, bonus = cut(p.select("t", "y", "x", "c0", "c1", "c2", "spix")), [], None
     for k in range(rounds):
-        axis, bonus = "xy"[k % 2], step * k
+        m = cut(moments(p, squares=True))
+        have = m.groupBy("t").agg(F.count(F.lit(1)).alias("have"))
+        bonus = cut(steered(have, have.select("t", F.lit(0.0).alias("bonus")) if bonus is None else bonus, target, slack, step))
+        if k >= least:
+            inside = bonus.where("inside").select("t")
+            closed.append(p.join(inside, "t", "left_semi"))
+            p, m = p.join(inside, "t", "left_anti"), m.join(inside, "t", "left_anti")
+            if bonus.where("not inside").isEmpty():
+                break
+        axis = "xy"[k // 2 % 2]
+        if k % 2:
+            won = claims(merge_scores(m, neighbour_pairs(p, axis).join(bonus, "t"), sigma2, log_alpha, -F.col("bonus")))
+            p = cut(merged(p, won))
+        else:
+            h = grown(p, axis)
+            good = split_scores(h, sigma2).join(bonus, "t").where("score + bonus > -2").select("t", "spix")
+            p = cut(divided(h, good).select(*p.columns))
         p = move_all(p, parameters(p), sigma2, beta)
-        m = moments(p, squares=True)
-        many = m.groupBy("t").agg(F.count(F.lit(1)).alias("have"))
-        over, under = (many.where(c).select("t") for c in (F.col("have") > target * (1 + slack), F.col("have") < target * (1 - slack)))
-        won = claims(merge_scores(m, neighbour_pairs(p, axis), sigma2, log_alpha, bonus)).join(over, "t", "left_semi")
-        p = cut(merged(p, won))
-        h = grown(p.join(under, "t", "left_semi"), axis)
-        good = split_scores(h, sigma2, bonus).where("accepted").select("t", "spix")
-        p = cut(divided(h, good).select(*p.columns).unionByName(p.join(under, "t", "left_anti")))
-    return p
+    else:
+        closed.append(p)
+    out = closed[0]
+    for c in closed[1:]:
+        out = out.unionByName(c)
+    return out
 
 
-def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0) -> DataFrame:
-    """From pixels with half: t, spix, score, accepted; regions with an empty half, or with pixels in neither, aren't split."""
+def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0, fresh: DataFrame | None = None) -> DataFrame:
+    """From pixels with half: t, spix, score, accepted; regions with an empty half, or with pixels in neither, aren't split. fresh (t, spix,
+    invalid_ratio): of regions that come from another frame the score is less by twice the share of their pixels that came along."""
     sums = {"n": F.lit(1)} | {f"s_c{k}": F.col(f"c{k}") for k in range(3)} | {f"q_c{k}": F.col(f"c{k}") * F.col(f"c{k}") for k in range(3)}
     agg = []
     for name, cond in (("f", F.lit(True)), ("k", F.col("half") == 0), ("s", F.col("half") == 1)):
         agg += [F.sum(F.when(cond, v).otherwise(0)).cast("long").alias(f"{name}_{c}") for c, v in sums.items()]
     g = h.groupBy("t", "spix").agg(*agg).where("k_n >= 1 and s_n >= 1 and k_n + s_n = f_n")
     score = evidence("k_", sigma2) + evidence("s_", sigma2) - evidence("f_", sigma2) + split_alpha
+    if fresh is not None:
+        g = g.join(fresh.select("t", "spix", "invalid_ratio"), ["t", "spix"], "left")
+        score = score - F.coalesce((1 - F.col("invalid_ratio")) * 2, F.lit(0.0))
     return g.select("t", "spix", score.alias("score")).withColumn("accepted", F.col("score") > -2)
 
 
-def transport(p: DataFrame, value: str, best: int, width: float, sharp: float) -> DataFrame:
-    """t, spix, r, q, w: for each pixel (rank r in its region) the ``best`` pixels q of the same region in the next frame by the difference of a whole-numbered
-    value (ties: smaller rank), with weights softmax(sharp * exp(-difference / width)).
+def transport(p: DataFrame, best: int, alpha: float, sharp: float, unit: float, side: float) -> DataFrame:
+    """t, spix, r, q, w: for each pixel (rank r in its region) the ``best`` pixels q of the same region in the frame before, by the cost
+    alpha x distance of places + (1 - alpha) x distance of colours, ties by rank, with weights softmax(sharp x exp(-cost)).
+
+    Places are relative to the region's mean place in its frame, in units of ``unit`` pixels; they are searched in cells of ``side`` units (see ring_search), so
+    results are those of comparing all pixels of a region with all, and a region of any size is cut in cells."""
+    from tessera.operators.lineage import cut
+    from tessera.operators.regions import rank_in_region
+    from tessera.operators.search import gap, ring_search
+
+    colours = ("c0", "c1", "c2")
+    a = rank_in_region(p.where("spix >= 0")).select("t", "spix", F.col("rank").alias("r"), "x", "y", *colours)
+    mean = p.where("spix >= 0").groupBy("t", "spix").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    a = cut(a.join(mean, ["t", "spix"]).select("t", "spix", "r", *colours, ((F.col("x") - F.col("mx")) / unit).alias("u"), ((F.col("y") - F.col("my")) / unit).alias("v")))
+    before = a.select((F.col("t") + 1).alias("t"), "spix", F.col("r").alias("q"), "u", "v", *colours)
+    out = ring_search(a, before, ["t", "spix"], best, side, lambda x: gap(x, ("u", "v")) * alpha + gap(x, colours) * (1 - alpha), alpha)
+    e = F.transform("best", lambda b: F.struct(b["q"].alias("q"), F.exp(F.exp(-b["cost"]) * sharp).alias("e")))
+    out = out.withColumn("_e", e).withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda acc, b: acc + b["e"]))
+    return out.select("t", "spix", "r", "_s", F.explode("_e").alias("b")).select("t", "spix", "r", F.col("b.q").alias("q"), (F.col("b.e") / F.col("_s")).alias("w"))
+
 
-    The whole region is searched, by values in place of pixels: of a value's pixels in the next frame only the first ``best`` can be chosen, so
-    a region meets at most its number of different values squared, times ``best``, however many pixels it has."""
+def carried_over(p: DataFrame, plan: DataFrame, value: str) -> DataFrame:
+    """t, y, x, warped: each pixel's value predicted from the frame before by a transport plan (t, spix, r, q, w): the weighted sum of the pixels that it chose."""
     from tessera.operators.regions import rank_in_region
 
-    a = rank_in_region(p).select("t", "spix", F.col(value).alias("v"), F.col("rank").alias("r"))
-    first = a.withColumn("k", F.row_number().over(W.partitionBy("t", "spix", "v").orderBy("r"))).where(F.col("k") <= best)
-    target = first.select((F.col("t") - 1).alias("t"), "spix", F.col("v").alias("to"), F.col("r").alias("q"))
-    met = a.select("t", "spix", "v").distinct().join(target, ["t", "spix"]).select("t", "spix", "v", F.abs(F.col("v") - F.col("to")).alias("gap"), "q")
-    order = W.partitionBy("t", "spix", "v").orderBy("gap", "q")
-    met = met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= best).withColumn("e", F.exp(F.exp(-F.col("gap") / width) * sharp))
-    met = met.withColumn("w", F.col("e") / F.sum("e").over(W.partitionBy("t", "spix", "v"))).select("t", "spix", "v", "q", "w")
-    return a.join(met, ["t", "spix", "v"]).select("t", "spix", "r", "q", "w")
+    a = rank_in_region(p.where("spix >= 0")).select("t", "spix", "y", "x", F.col("rank").alias("r"), F.col(value).alias("v"))
+    before = a.select((F.col("t") + 1).alias("t"), "spix", F.col("r").alias("q"), F.col("v").alias("from"))
+    sums = plan.join(before, ["t", "spix", "q"]).groupBy("t", "spix", "r").agg(F.sum(F.col("w") * F.col("from")).alias("warped"))
+    return a.join(sums, ["t", "spix", "r"]).select("t", "y", "x", "warped")
 
 
 def replacements(now: DataFrame, before: DataFrame, same: float, fresh: float) -> DataFrame:

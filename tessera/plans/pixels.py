@@ -1,45 +1,51 @@
 """Pixel tables derived from the given tables (there is no video among them), and the same as SQL.
 
-Frames come from the line numbers of lineitem, a raster of width 64 from its total order; channels are whole numbers,
-so sums are exact. Each frame has its own height: it holds all its whole lines (a last line of fewer than 64 rows is no line of a raster)."""
+Every row of lineitem is a pixel. A line number's rows, in their total order, fill frames of 64 x 128 pixels, line by line; the frames of the seven line numbers
+take turns, so that a frame has a bounded size and the one before it belongs to another line number. The last frame of a line number has fewer lines, and its
+last line may be short. Channels are whole numbers, so sums are exact."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_dir
 from tessera.operators.order import ranked
 
-WIDTH, BLOCK = 64, 8
+#: Pixels across and down a frame, side of the blocks that labels come from, line numbers.
+WIDTH, HEIGHT, BLOCK, TURNS = 64, 128, 8, 7
 ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
 PIX_SQL = f"""
 r0 AS (
-  SELECT CAST(l_linenumber - 1 AS INT) AS t, row_number() OVER (PARTITION BY l_linenumber ORDER BY {", ".join(ORDER)}) - 1 AS p,
+  SELECT l_linenumber - 1 AS line, row_number() OVER (PARTITION BY l_linenumber ORDER BY {", ".join(ORDER)}) - 1 AS p,
          CAST(l_quantity AS INT) AS c0, CAST(round(l_discount * 100) AS INT) AS c1, CAST(round(l_tax * 100) AS INT) AS c2,
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS gt,
          CAST(l_suppkey % 3 AS INT) - 1 AS dx, CAST(l_partkey % 3 AS INT) - 1 AS dy
   FROM lineitem),
-h0 AS (SELECT t AS ht, floor(count(*) / {WIDTH}.0) * {WIDTH} AS pixels FROM r0 GROUP BY t),
+r1 AS (
+  SELECT CAST(floor(p / {WIDTH * HEIGHT}.0) * {TURNS} + line AS INT) AS t, CAST(floor((p % {WIDTH * HEIGHT}) / {WIDTH}.0) AS INT) AS y, CAST(p % {WIDTH} AS INT) AS x, c0, c1, c2, gt, dx, dy FROM r0),
 pix AS (
-  SELECT t, CAST(floor(p / {WIDTH}.0) AS INT) AS y, CAST(p % {WIDTH} AS INT) AS x, c0, c1, c2, gt, dx, dy,
-         CAST(floor(floor(p / {WIDTH}.0) / {BLOCK}.0) * 8 + floor((p % {WIDTH}) / {BLOCK}.0) AS INT) + CASE WHEN c0 > 45 THEN 1 ELSE 0 END AS spix
-  FROM r0 JOIN h0 ON ht = t WHERE p < pixels)
+  SELECT t, y, x, c0, c1, c2, gt, dx, dy, CAST(floor(y / {BLOCK}.0) * 8 + floor(x / {BLOCK}.0) AS INT) + CASE WHEN c0 > 45 THEN 1 ELSE 0 END AS spix FROM r1)
 """
 
+#: Where the view of a folder lies, by application and folder.
+_STORED: dict[tuple[str, str], str] = {}
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t, y, x, c0, c1, c2, gt, dx, dy, spix."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", *ORDER)
     p = ranked(rows, ["l_linenumber"], ORDER, "p")
-    whole = rows.groupBy("l_linenumber").agg((F.floor(F.count(F.lit(1)) / WIDTH) * WIDTH).alias("pixels"))
-    p = p.join(whole, "l_linenumber").where(F.col("p") < F.col("pixels"))
-    y, x = F.floor(F.col("p") / WIDTH), F.col("p") % WIDTH
+    inside = F.col("p") % (WIDTH * HEIGHT)
+    y, x = F.floor(inside / WIDTH), inside % WIDTH
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)
     quantity = F.col("l_quantity").cast("int")
     label = (F.floor(y / BLOCK) * 8 + F.floor(x / BLOCK)).cast("int") + F.when(quantity > 45, 1).otherwise(0)
     return p.select(
-        (F.col("l_linenumber") - 1).cast("int").alias("t"),
+        (F.floor(F.col("p") / (WIDTH * HEIGHT)) * TURNS + F.col("l_linenumber") - 1).cast("int").alias("t"),
         y.cast("int").alias("y"),
         x.cast("int").alias("x"),
         quantity.alias("c0"),
@@ -52,6 +58,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view, stored in the shared folder when an application first asks for it; a table that changes under the same path needs another session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/pixels-{uuid.uuid4().hex}"
+        derived(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def height(p: DataFrame) -> DataFrame:
     """One row: hh, the number of rows of the tallest frame; npix, of its pixels; frames."""
     return p.agg((F.max("y") + 1).alias("hh"), ((F.max("y") + 1) * WIDTH).cast("double").alias("npix"), F.count_distinct("t").alias("frames"))

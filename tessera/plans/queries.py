@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import color, geometry
 from tessera.operators import assign, components, metrics, neighbours, regions, reshape, segment, warp
 from tessera.plans.pixels import PIX_SQL, WIDTH, height, missing, pixels, unit_channels
+from tessera.streaming import video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -285,6 +286,29 @@ def ssim(p):
     return rounded(metrics.ssim(regions.pool_up(unit_channels(p)), "c0", "m_c0"), "t")
 
 
+def _ms_ssim_sql(size: int, weights: tuple[float, ...]) -> str:
+    w, n = metrics.gaussian(size), len(weights)
+    s = UNIT + UMEAN + ", ab0 AS (SELECT u.t, y, x, c0 AS a, m_c0 AS b FROM un u JOIN um m ON u.t = m.t AND u.spix = m.spix)"
+    row, col = "(PARTITION BY t, y ORDER BY x)", "(PARTITION BY t, x ORDER BY y)"
+    parts = {"ma": "a", "mb": "b", "aa": "a*a", "bb": "b*b", "ab": "a*b"}
+    for k in range(n):
+        if k:
+            s += f", od{k} AS (SELECT t, (max(y) + 1) % 2 AS oy, (max(x) + 1) % 2 AS ox FROM ab{k - 1} GROUP BY t), ab{k} AS (SELECT t, CAST(floor((y + oy) / 2.0) AS INT) AS y, CAST(floor((x + ox) / 2.0) AS INT) AS x, sum(a) / 4.0 AS a, sum(b) / 4.0 AS b FROM (SELECT * FROM ab{k - 1} JOIN od{k} USING (t)) q GROUP BY 1, 2, 3)"
+        across = ", ".join(" + ".join(f"{wk!r} * lead({e}, {j}) OVER {row}" for j, wk in enumerate(w)) + f" AS {v}" for v, e in parts.items())
+        down = ", ".join(" + ".join(f"{wk!r} * lead({v}, {j}) OVER {col}" for j, wk in enumerate(w)) + f" AS {v}" for v in parts)
+        cs = "((ab - ma*mb)*2 + 0.0009) / ((aa - ma*ma) + (bb - mb*mb) + 0.0009)"
+        value = f"(ma*mb*2 + 0.0001) / (ma*ma + mb*mb + 0.0001) * {cs}" if k == n - 1 else cs
+        s += f", h{k} AS (SELECT t, y, x, {across} FROM ab{k}), v{k} AS (SELECT t, y, x, {down} FROM h{k}), e{k} AS (SELECT t, avg({value}) AS e FROM v{k} GROUP BY t)"
+    product = " * ".join(f"power(CASE WHEN e{k}.e IS NULL THEN NULL ELSE greatest(e{k}.e, 0) END, {wk!r})" for k, wk in enumerate(weights))
+    return s + f" SELECT e0.t, round({product}, 6) AS ms_ssim FROM e0 " + " ".join(f"JOIN e{k} ON e{k}.t = e0.t" for k in range(1, n))
+
+
+@query(_ms_ssim_sql(5, metrics.SCALES[:3]))
+def ms_ssim(p):
+    """Three scales and windows of five pixels: frames are 64 pixels wide."""
+    return rounded(metrics.ms_ssim(regions.pool_up(unit_channels(p)), "c0", "m_c0", size=5, weights=metrics.SCALES[:3]), "t")
+
+
 OVER = ", sz AS (SELECT t, spix, count(*) AS size FROM pix GROUP BY t, spix), ov AS (SELECT p.t, p.spix, p.gt, count(*) AS n, max(size) AS size FROM pix p JOIN sz ON sz.t = p.t AND sz.spix = p.spix GROUP BY p.t, p.spix, p.gt), k AS (SELECT count(*) * count(DISTINCT gt) AS total FROM pix)"
 
 
@@ -632,18 +656,53 @@ def merge_claims(p):
     return segment.claims(_merges(p).withColumn("score", F.round("score", 6)))
 
 
-@query(", mx AS (SELECT t, spix, avg(x) AS mx FROM pix GROUP BY t, spix), hf AS (SELECT p.t, p.spix, c0, c1, c2, CASE WHEN x > mx THEN 1 ELSE 0 END AS h FROM pix p JOIN mx ON mx.t = p.t AND mx.spix = p.spix), g AS (SELECT t, spix, " + ", ".join(f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS DOUBLE) AS {n}n, " + ", ".join(f"CAST(sum(CASE WHEN {cond} THEN c{k} ELSE 0 END) AS DOUBLE) AS {n}s{k}, CAST(sum(CASE WHEN {cond} THEN c{k}*c{k} ELSE 0 END) AS DOUBLE) AS {n}q{k}" for k in range(3)) for n, cond in (("f", "TRUE"), ("k", "h = 0"), ("z", "h = 1"))) + f" FROM hf GROUP BY t, spix), sc AS (SELECT t, spix, {_evidence('kn', 'ks', 'kq')} + {_evidence('zn', 'zs', 'zq')} - {_evidence('fn', 'fs', 'fq')} AS score FROM g WHERE kn >= 1 AND zn >= 1) SELECT t, spix, round(score, 3) AS score, score > -2 AS accepted FROM sc")
+# breadth first inside regions from both seeds; the longest way between a seed and a pixel of its region is below 60 steps here
+GROWN_SQL = (
+    ", gx AS (SELECT t, y, x, spix, c0, c1, c2 FROM pix), sd AS (SELECT t, spix, CAST(floor(avg(y)) AS INT) AS my, CAST(floor(avg(x)) AS INT) AS mx FROM pix GROUP BY t, spix),"
+    " reach(t, y, x, spix, s, d) AS (SELECT g.t, g.y, g.x, g.spix, v.s, 0 FROM gx g JOIN sd ON sd.t = g.t AND sd.spix = g.spix AND my = g.y JOIN (VALUES (1, -1), (2, 1)) v(s, o) ON g.x = mx + v.o"
+    " UNION SELECT g.t, g.y, g.x, g.spix, s, d + 1 FROM reach r, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(oy, ox), gx g WHERE g.t = r.t AND g.y = r.y + oy AND g.x = r.x + ox AND g.spix = r.spix AND d < 60),"
+    " di AS (SELECT t, y, x, min(d) FILTER (s = 1) AS d1, min(d) FILTER (s = 2) AS d2 FROM reach GROUP BY t, y, x),"
+    " hf AS (SELECT g.*, CASE WHEN di.t IS NULL THEN NULL WHEN d1 IS NULL OR d1 > d2 THEN 1 ELSE 0 END AS half FROM gx g LEFT JOIN di ON di.t = g.t AND di.y = g.y AND di.x = g.x)"
+)
+HALF_SUMS = ", ".join(f"CAST(count(*) FILTER ({cond}) AS DOUBLE) AS {n}n, " + ", ".join(f"CAST(coalesce(sum(c{k}) FILTER ({cond}), 0) AS DOUBLE) AS {n}s{k}, CAST(coalesce(sum(c{k}*c{k}) FILTER ({cond}), 0) AS DOUBLE) AS {n}q{k}" for k in range(3)) for n, cond in (("f", "TRUE"), ("k", "half = 0"), ("z", "half = 1")))
+
+
+@query(GROWN_SQL + f", g AS (SELECT t, spix, {HALF_SUMS} FROM hf GROUP BY t, spix), sc AS (SELECT t, spix, {_evidence('kn', 'ks', 'kq')} + {_evidence('zn', 'zs', 'zq')} - {_evidence('fn', 'fs', 'fq')} AS score FROM g WHERE kn >= 1 AND zn >= 1 AND kn + zn = fn) SELECT t, spix, round(score, 3) AS score, score > -2 AS accepted FROM sc")
 def split_score(p):
-    return segment.split_scores(segment.halves(p), 0.5).select("t", "spix", F.round("score", 3).alias("score"), "accepted")
+    """Of the halves that grow from two seeds."""
+    return segment.split_scores(segment.grown(p), 0.5).select("t", "spix", F.round("score", 3).alias("score"), "accepted")
 
 
-@query()
+@query(GROWN_SQL + " SELECT t, y, x, spix, half FROM hf")
 def split_seeds(p):
     """The two halves of each region by growth from seeds beside its mean."""
     return segment.grown(p).select("t", "y", "x", "spix", "half")
 
 
-@query()
+def _potts_sql(sigma2: float, beta: float) -> str:
+    sides = ("n", "s", "w", "e")
+    s = MEAN_COV + FIXED + ", rp AS (SELECT t, spix AS c, n, mu_c0, mu_c1, mu_c2, mu_x, mu_y, c / d AS i_xx, -xy / d AS i_xy, a / d AS i_yy, ln(d) AS logdet FROM fd), s0 AS (SELECT t, y, x, c0, c1, c2, spix FROM pix)"
+    rows = {"n": ("nw", "n", "ne"), "s": ("sw", "s", "se")}
+    down = ", ".join(f"coalesce({f}({v}) OVER c, -1) AS {k}" for f, side in (("lag", "n"), ("lead", "s")) for v, k in zip(("w0", "spix", "e0"), rows[side], strict=True))
+    eight = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
+    for k, (px, py) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        s += f", a{k} AS (SELECT *, lag(spix) OVER r AS w0, lead(spix) OVER r AS e0 FROM s{k} WINDOW r AS (PARTITION BY t, y ORDER BY x))"
+        s += f", b{k} AS (SELECT t, y, x, c0, c1, c2, spix, coalesce(w0, -1) AS w, coalesce(e0, -1) AS e, {down} FROM a{k} WINDOW c AS (PARTITION BY t, x ORDER BY y))"
+        # one connected run of sides that hold the label (or lie off the raster) around the pixel
+        on = lambda d, c: f"CAST({d} = {c} OR {d} = -1 AS INT)"
+        arcs = lambda c: " + ".join(f"({on(i, c)} - {on(i, c)}*{on(j, c)}*{on(m, c)})" for i, j, m in (("n", "ne", "e"), ("e", "se", "s"), ("s", "sw", "w"), ("w", "nw", "n")))
+        s += f", m{k} AS (SELECT * FROM b{k} WHERE x % 2 = {px} AND y % 2 = {py} AND (n <> spix OR s <> spix OR w <> spix OR e <> spix) AND " + " AND ".join(f"{arcs(c)} = 1" for c in sides) + ")"
+        s += f", u{k} AS (SELECT *, unnest([n, s, w, e]) AS c, unnest([0, 1, 2, 3]) AS k FROM m{k})"
+        differ = " + ".join(f"CAST(u.{d} <> u.c AND u.{d} <> -1 AS INT)" for d in eight)
+        score = f"-((c0-mu_c0)*(c0-mu_c0) + (c1-mu_c1)*(c1-mu_c1) + (c2-mu_c2)*(c2-mu_c2)) / {sigma2!r} - (trunc(x-mu_x)*trunc(x-mu_x)*i_xx + trunc(y-mu_y)*trunc(y-mu_y)*i_yy + trunc(x-mu_x)*trunc(y-mu_y)*i_xy*2.0) - logdet - CASE WHEN rp.n <= 10 THEN 100.0 ELSE 0.0 END - 1000.0 - ({differ}) * {beta!r}"
+        s += f", v{k} AS (SELECT u.t, y, x, spix, CASE WHEN u.n >= 0 THEN u.n WHEN e >= 0 THEN e WHEN s >= 0 THEN s ELSE w END AS front, u.c, k, round({score}, 6) AS score FROM u{k} u JOIN rp ON rp.t = u.t AND rp.c = u.c WHERE u.c >= 0)"
+        s += f", w{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY score DESC, k) AS place FROM v{k}) q WHERE place = 1)"
+        s += f", f{k} AS (SELECT w.t, y, x, CASE WHEN rp.n <= 2 AND CASE WHEN score > -9999 THEN w.c ELSE spix END = spix THEN front WHEN score > -9999 THEN w.c ELSE spix END AS new FROM w{k} w LEFT JOIN rp ON rp.t = w.t AND rp.c = w.spix)"
+        s += f", s{k + 1} AS (SELECT s.t, s.y, s.x, c0, c1, c2, coalesce(f.new, s.spix) AS spix FROM s{k} s LEFT JOIN f{k} f ON f.t = s.t AND f.y = s.y AND f.x = s.x)"
+    return s + " SELECT t, y, x, spix FROM s4"
+
+
+@query(_potts_sql(400.0, 0.5))
 def potts_step(p):
     return segment.move_all(p, segment.parameters(p), 400.0, 0.5).select("t", "y", "x", "spix")
 
@@ -777,9 +836,57 @@ def top2_labels(p):
     return regions.counts(p).withColumn("r", F.row_number().over(w)).where("r <= 2").select("t", "spix", F.col("count").alias("n"))
 
 
-@query(", rk AS (SELECT t, spix, c0, row_number() OVER (PARTITION BY t, spix ORDER BY y, x) - 1 AS r FROM pix), jo AS (SELECT a.t, a.spix, a.r, b.r AS q, abs(a.c0 - b.c0) AS gap FROM rk a JOIN rk b ON b.t = a.t + 1 AND b.spix = a.spix), tp AS (SELECT *, exp(-gap / 10.0) AS s, row_number() OVER (PARTITION BY t, spix, r ORDER BY gap, q) AS k FROM jo) SELECT t, spix, r, q, round(exp(2*s) / sum(exp(2*s)) OVER (PARTITION BY t, spix, r), 6) AS w FROM tp WHERE k <= 5")
+# all pairs of a region and its past self
+PLAN_SQL = UNIT + ", rk AS (SELECT t, spix, y, x, c0, c1, c2, row_number() OVER (PARTITION BY t, spix ORDER BY y, x) - 1 AS r, (x - avg(x) OVER (PARTITION BY t, spix)) / 64.0 AS u, (y - avg(y) OVER (PARTITION BY t, spix)) / 64.0 AS v FROM un), jo AS (SELECT a.t, a.spix, a.r, b.r AS q, round(sqrt((a.u-b.u)*(a.u-b.u) + (a.v-b.v)*(a.v-b.v)) * 0.5 + sqrt((a.c0-b.c0)*(a.c0-b.c0) + (a.c1-b.c1)*(a.c1-b.c1) + (a.c2-b.c2)*(a.c2-b.c2)) * 0.5, 9) AS cost FROM rk a JOIN rk b ON b.t = a.t - 1 AND b.spix = a.spix), tp AS (SELECT *, row_number() OVER (PARTITION BY t, spix, r ORDER BY cost, q) AS k FROM jo), pl AS (SELECT t, spix, r, q, exp(2*exp(-cost)) / sum(exp(2*exp(-cost))) OVER (PARTITION BY t, spix, r) AS w FROM tp WHERE k <= 5)"
+
+
+def _plan(p):
+    return segment.transport(unit_channels(p), 5, 0.5, 2.0, float(WIDTH), 0.0625)
+
+
+@query(PLAN_SQL + " SELECT t, spix, r, q, round(w, 6) AS w FROM pl")
 def ot_top5(p):
-    return rounded(segment.transport(p, "c0", 5, 10.0, 2.0), "t", "spix", "r", "q")
+    return rounded(_plan(p), "t", "spix", "r", "q")
+
+
+@query(PLAN_SQL + ", wr AS (SELECT pl.t, pl.spix, pl.r, sum(w * b.c0) AS warped FROM pl JOIN rk b ON b.t = pl.t - 1 AND b.spix = pl.spix AND b.r = pl.q GROUP BY pl.t, pl.spix, pl.r) SELECT rk.t, y, x, round(warped, 6) AS warped FROM wr JOIN rk ON rk.t = wr.t AND rk.spix = wr.spix AND rk.r = wr.r")
+def ot_warp(p):
+    """Each frame predicted from the one before through the transport of its regions."""
+    return rounded(segment.carried_over(unit_channels(p), _plan(p), "c0"), "t", "y", "x")
+
+
+# --- videos -------------------------------------------------------------------------------------------------------------
+def _two_videos(p):
+    """The frames dealt to two videos."""
+    return p.withColumns({"video": (F.col("t") % 2).cast("int"), "frame": F.floor(F.col("t") / 2).cast("int")})
+
+
+@query(
+    ", vp AS (SELECT * REPLACE (CAST((t % 2) * 65536 + floor(t / 2.0) AS INT) AS t) FROM pix)"
+    + MAP_SQL.replace("FROM pix", "FROM vp").replace(" SELECT t, spix, n, round(xx", " SELECT CAST(floor(t / 65536.0) AS INT) AS video, CAST(t % 65536 AS INT) AS frame, spix, n, round(xx")
+)
+def video_map_update(p):
+    """region_map_update on two videos in one table: the frame before is of the same video."""
+    return video.unkeyed(region_map_update(video.keyed(_two_videos(p)).drop("video", "frame")))
+
+
+CARRY_SQL = """, sp AS (SELECT CAST(t % 2 AS INT) AS video, CAST(floor(t / 2.0) AS INT) AS frame, spix, count(*) AS n, CAST(sum(x*x) AS DOUBLE) - CAST(sum(x) AS DOUBLE) / count(*) * CAST(sum(x) AS DOUBLE) AS sxx,
+    CAST(sum(x*y) AS DOUBLE) - CAST(sum(x) AS DOUBLE) / count(*) * CAST(sum(y) AS DOUBLE) AS sxy, CAST(sum(y*y) AS DOUBLE) - CAST(sum(y) AS DOUBLE) / count(*) * CAST(sum(y) AS DOUBLE) AS syy FROM pix GROUP BY t, spix),
+  od AS (SELECT *, row_number() OVER (PARTITION BY video, spix ORDER BY frame) AS k FROM sp),
+  reach(video, spix, k, frame, n, xx, xy, yy) AS (
+    SELECT video, spix, k, frame, n, sxx / n, sxy / n, syy / n FROM od WHERE k = 1
+    UNION ALL SELECT o.video, o.spix, o.k, o.frame, o.n,
+      (r.xx * (CAST(r.n AS DOUBLE) / sqrt(greatest(r.xx*r.yy - r.xy*r.xy, 1e-5)) * r.n) + sxx) / (o.n + CAST(r.n AS DOUBLE) * 50 + 3),
+      (r.xy * (CAST(r.n AS DOUBLE) / sqrt(greatest(r.xx*r.yy - r.xy*r.xy, 1e-5)) * r.n) + sxy) / (o.n + CAST(r.n AS DOUBLE) * 50 + 3),
+      (r.yy * (CAST(r.n AS DOUBLE) / sqrt(greatest(r.xx*r.yy - r.xy*r.xy, 1e-5)) * r.n) + syy) / (o.n + CAST(r.n AS DOUBLE) * 50 + 3)
+    FROM reach r JOIN od o ON o.video = r.video AND o.spix = r.spix AND o.k = r.k + 1)
+  SELECT video, frame, spix, n, round(xx, 3) AS xx, round(xy, 3) AS xy, round(yy, 3) AS yy FROM reach"""
+
+
+@query(CARRY_SQL)
+def carried_parameters(p):
+    """The posterior of a region in a frame is its prior in the next, over all frames of both videos."""
+    return rounded(video.carried_parameters(video.spreads(_two_videos(p))), "video", "frame", "spix", "n", places=3)
 
 
 @on_tables("WITH c AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) q GROUP BY label, i), d AS (SELECT e.vec_id AS id, c.label, sum((e.v - c.v)*(e.v - c.v)) AS d FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) e JOIN c ON c.i = e.i GROUP BY 1, 2) SELECT id, label, round(exp(-d) / sum(exp(-d)) OVER (PARTITION BY id), 5) AS p FROM d")
@@ -798,6 +905,20 @@ def ordered_frames(spark, sf_dir):
     return ordered(e, "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("video"), "event_id", F.col("frame").cast("long").alias("frame"), F.round("change", 6).alias("change"))
 
 
+@query(", ce AS (SELECT t, spix, avg(x) AS cx, avg(y) AS cy FROM pix GROUP BY t, spix), di AS (SELECT p.t, y, x, ce.spix, round(sqrt((x + dx*2.5 - cx)*(x + dx*2.5 - cx) + (y + dy*2.5 - cy)*(y + dy*2.5 - cy)), 9) AS d FROM pix p JOIN ce ON ce.t = p.t) SELECT t, y, x, spix FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d, spix) AS k FROM di) q WHERE k = 1")
+def nearest_centre(p):
+    """The region whose centre is nearest to where a pixel goes."""
+    centres = p.groupBy("t", "spix").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return assign.nearest_centres(p.withColumns({"px": F.col("x") + F.col("dx") * 2.5, "py": F.col("y") + F.col("dy") * 2.5}), centres, 8.0)
+
+
+@on_tables()
+def principal_projection(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    out = assign.principal_projection(e, 3)
+    return out.select("id", *[F.round(F.get("projected", k), 5).alias(f"p{k}") for k in range(3)])
+
+
 # --- windows and priors -------------------------------------------------------------------------------------------------
 ATTEND = " SELECT a.t, a.y, a.x, round(sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0)) * b.c0) / sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0))), 5) AS attended FROM pix a JOIN pix b ON b.t = a.t AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 {} GROUP BY a.t, a.y, a.x"
 
@@ -812,6 +933,20 @@ def region_attention(p):
     return rounded(assign.region_attention(p, "c0", 0.01), "t", "y", "x", places=5)
 
 
+# windows of 3 frames and 5 x 5 places that start later or earlier at borders
+SHIFTED = ", sz AS (SELECT t, max(y) AS y1, max(x) AS x1, (SELECT min(t) FROM pix) AS t0, (SELECT max(t) FROM pix) AS t1 FROM pix GROUP BY t), st AS (SELECT p.*, least(greatest(p.t - 1, t0), greatest(t0, t1 - 2)) AS ts, least(greatest(y - 2, 0), greatest(0, y1 - 4)) AS ys, least(greatest(x - 2, 0), greatest(0, x1 - 4)) AS xs FROM pix p JOIN sz ON sz.t = p.t) SELECT a.t, a.y, a.x, round(sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0)) * b.c0) / sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0))), 5) AS attended FROM st a, (SELECT unnest(range(0, 3)) AS i) ti, (SELECT unnest(range(0, 5)) AS j) yj, (SELECT unnest(range(0, 5)) AS k) xk, pix b WHERE b.t = a.ts + i AND b.y = a.ys + j AND b.x = a.xs + k {} GROUP BY a.t, a.y, a.x"
+
+
+@query(SHIFTED.format(""))
+def video_attention(p):
+    return rounded(assign.attention_windows(p, "c0", 0.01, 2, 1), "t", "y", "x", places=5)
+
+
+@query(SHIFTED.format("AND b.spix = a.spix"))
+def video_region_attention(p):
+    return rounded(assign.attention_windows(p, "c0", 0.01, 2, 1, same_region=True), "t", "y", "x", places=5)
+
+
 @query(", c AS (SELECT t, spix, count(*) AS n FROM pix GROUP BY t, spix), h AS (SELECT (max(y) + 1) * 64.0 AS w FROM pix) SELECT t, spix, round(ln(n / w) + 4*ln(1 - n / w) + lgamma(7) - lgamma(2) - lgamma(5), 6) AS log_prior FROM c, h")
 def beta_size_prior(p):
     sized = regions.counts(p).crossJoin(F.broadcast(height(p).select("npix")))  # one row

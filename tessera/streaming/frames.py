@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import stored
+from tessera.operators.order import ranked
+
 
 def ordered(df: DataFrame, video: str, order: list[str], value: str = "value") -> DataFrame:
-    """Adds frame (0, 1, ... per video) and change (of the value since the frame before)."""
-    w = W.partitionBy(video).orderBy(*order)
-    return df.withColumn("frame", F.row_number().over(w) - 1).withColumn("change", F.col(value) - F.lag(value).over(w))
+    """Adds frame (0, 1, ... per video) and change (of the value since the frame before). A video may hold most rows: frames are numbered by ranges, and
+    the frame before comes by a join, so no video is a task."""
+    rows = stored(ranked(df, [video], order, "frame"), "frames")
+    before = rows.select(video, (F.col("frame") + 1).alias("frame"), F.col(value).alias("_before"))
+    return rows.join(before, [video, "frame"], "left").withColumn("change", F.col(value) - F.col("_before")).drop("_before")
 
 
 def carried(stream: DataFrame) -> DataFrame:
