@@ -11,7 +11,7 @@ from tessera.operators.lineage import cut
 from tessera.operators.neighbours import along_column, along_row, four
 
 
-def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+def stars(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """u, v with v the least node that u reaches: a node's larger neighbours, then its smaller ones, are linked to the least
     around it, until nothing changes (the number of rounds grows with the logarithm of a component, not its diameter)."""
     now, mark = cut(edges), None
@@ -42,7 +42,7 @@ def components(p: DataFrame, label: str = "spix", rounds: int = 40) -> DataFrame
     three = runs.withColumn("_me", me).withColumn("_three", F.array(F.lag("_me").over(along_row()), F.col("_me"), F.lead("_me").over(along_row())))
     up = three.withColumn("_up", F.lag("_three").over(along_column())).select(F.col("_run").alias("u"), F.col(label).alias("_l"), F.explode("_up").alias("o"))
     edges = up.where((F.col("o.l") == F.col("_l")) & (F.col("o.r") < F.col("u"))).select("u", F.col("o.r").alias("v")).distinct()
-    roots = _stars(edges, rounds)
+    roots = stars(edges, rounds)
     out = runs.join(roots.withColumnRenamed("u", "_run").withColumnRenamed("v", "_root"), "_run", "left")
     return out.withColumn("region", F.coalesce("_root", "_run")).drop("_run", "_root")
 
@@ -103,3 +103,43 @@ def propagated(p: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     count = lambda q, name: q.where("spix >= 0").groupBy("t", "spix").agg(F.count(F.lit(1)).alias(name))
     per = count(out, "n_filled").join(count(moved, "n_shifted"), ["t", "spix"], "left").withColumn("n_shifted", F.coalesce("n_shifted", F.lit(0)))
     return out, per.withColumn("invalid_ratio", (F.col("n_filled") - F.col("n_shifted")) / (F.col("n_filled") + 1e-8))
+
+
+def bounded(p: DataFrame, least: float = 0.3, most: float = 3.0, rounds: int = 40) -> DataFrame:
+    """Connected regions of bounded size: t, y, x, spix, region (least pixel number of the region). least and most are in units of a frame's pixels over its labels (from 0 to the largest).
+
+    Components of equal labels that are larger than the upper bound are divided by tiles, whose side makes every piece small enough, and pieces are components again. Then regions
+    smaller than the lower bound join: each takes the neighbour with which it shares the longest border (ties by numbers), and regions linked so become one, round by round,
+    until none is too small or a frame is one region. Only regions, their sizes and borders take part in the rounds; pixels are relabelled once. What small
+    regions join may so become larger than the upper bound."""
+    size = p.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), (F.max("spix") + 1).alias("_k"))
+    size = size.select("t", F.floor(F.col("_n") / F.col("_k") * least).alias("_least"), F.floor(F.col("_n") / F.col("_k") * most).alias("_most"))
+    whole = cut(components(p, rounds=rounds))
+    wide = whole.groupBy("t", "region").agg(F.count(F.lit(1)).alias("_size")).join(size, "t")
+    side = F.greatest(F.floor(F.sqrt("_most")), F.lit(1))
+    q = whole.join(wide, ["t", "region"]).withColumn("_tile", F.when(F.col("_size") > F.col("_most"), F.concat_ws(":", F.floor(F.col("y") / side), F.floor(F.col("x") / side))).otherwise(""))
+    q = q.withColumn("_piece", F.concat_ws("/", "region", "_tile")).drop("region", "_size", "_tile", "_least", "_most")
+    q = cut(components(q, "_piece", rounds).drop("_piece"))
+    sizes = cut(q.groupBy("t", "region").agg(F.count(F.lit(1)).alias("size")).join(size.select("t", "_least"), "t"))
+    edges = cut(_borders(q))
+    known = cut(sizes.select("t", "region", F.col("region").alias("root")))
+    for _ in range(rounds):
+        small = sizes.where(F.col("size") < F.col("_least")).select("t", F.col("region").alias("u"))
+        # an order of edges that both ends share, so that picks make trees
+        place = F.struct(F.col("w").alias("w"), (-F.least("u", "v")).alias("a"), (-F.greatest("u", "v")).alias("b"))
+        picks = cut(edges.join(small, ["t", "u"]).groupBy("t", "u").agg(F.max_by("v", place).alias("v")).select("u", "v"))
+        if picks.isEmpty():
+            return q.join(known, ["t", "region"]).select("t", "y", "x", "spix", F.col("root").alias("region"))
+        to = stars(picks.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rounds).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+        moved = lambda df, c: df.join(to, F.col(c) == F.col("_u"), "left").withColumn(c, F.coalesce("_v", c)).drop("_u", "_v")
+        sizes = cut(moved(sizes, "region").groupBy("t", "region").agg(F.sum("size").alias("size"), F.first("_least").alias("_least")))
+        edges = cut(moved(moved(edges, "u"), "v").where("u != v").groupBy("t", "u", "v").agg(F.sum("w").alias("w")))
+        known = cut(moved(known, "root"))
+    raise RuntimeError(f"regions are still too small after {rounds} rounds")
+
+
+def _borders(q: DataFrame) -> DataFrame:
+    """t, u, v, w: how many pairs of neighbouring pixels two regions have, both ways."""
+    two = q.select("t", F.col("region").alias("u"), F.lead("region").over(along_row()).alias("_e"), F.lead("region").over(along_column()).alias("_s"))
+    each = two.select("t", "u", F.explode(F.array("_e", "_s")).alias("v")).where("v is not null and u != v")
+    return each.union(each.select("t", "v", "u")).groupBy("t", "u", "v").agg(F.count(F.lit(1)).alias("w"))

@@ -153,11 +153,54 @@ def divided(h: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def parameters(p: DataFrame) -> DataFrame:
     """What move_labels needs of each region."""
+    from tessera.operators.regions import moments
+
+    return parameters_of(moments(p))
+
+
+def parameters_of(m: DataFrame) -> DataFrame:
+    """The same from moments."""
     from tessera.functions import geometry
-    from tessera.operators.regions import moments, summary
+    from tessera.operators.regions import summary
 
     c = [F.col(k) for k in ("xx", "xy", "yy")]
-    return summary(moments(p)).select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[v.alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], geometry.log_det(*c).alias("logdet"))
+    return summary(m).select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[v.alias(k) for v, k in zip(geometry.inverse(*c), ("i_xx", "i_xy", "i_yy"), strict=True)], geometry.log_det(*c).alias("logdet"))
+
+
+def refined_with(p: DataFrame, prior: DataFrame, rounds: int, sigma2: float, beta: float) -> DataFrame:
+    """Rounds of parameters and label moves, with a prior of the regions' covariances (t, spix, prior_count, p_xx, p_xy, p_yy); regions without one are as their pixels say."""
+    from tessera.operators.lineage import cut
+    from tessera.operators.regions import map_update, moments
+
+    shape = ["i_xx", "i_xy", "i_yy", "logdet"]
+    for _ in range(rounds):
+        m = cut(moments(p))
+        smooth = map_update(m, prior).select("t", "spix", *[F.col(c).alias(f"_{c}") for c in shape])
+        own = parameters_of(m).join(smooth, ["t", "spix"], "left")
+        p = move_all(p, cut(own.select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[F.coalesce(f"_{c}", c).alias(c) for c in shape])), sigma2, beta)
+    return p
+
+
+def priors_of(p: DataFrame) -> DataFrame:
+    from tessera.operators.regions import moments, summary
+
+    return summary(moments(p)).select("t", "spix", F.col("n").cast("double").alias("prior_count"), *[F.col(c).alias(f"p_{c}") for c in ("xx", "xy", "yy")])
+
+
+def forward_backward(p: DataFrame, rounds: int, inner: int = 1, sigma2: float = 400.0, beta: float = 0.5) -> DataFrame:
+    """Refinement of all frames of t, y, x, c0, c1, c2, spix with the next frame's covariances as priors, cyclic in time. Frames but the last need what the frame after them
+    was before the round, so they go together; the last one needs what the first has become."""
+    from tessera.operators.lineage import cut
+
+    p = cut(p.select("t", "y", "x", "c0", "c1", "c2", "spix"))
+    first, last = p.agg(F.min("t"), F.max("t")).first()
+    for _ in range(rounds):
+        after = cut(priors_of(p)).withColumn("t", F.col("t") - 1)
+        most = cut(refined_with(p.where(F.col("t") != last), after, inner, sigma2, beta))
+        begin = most if first != last else p
+        turn = priors_of(begin.where(F.col("t") == first)).withColumn("t", F.lit(last).cast("int"))
+        p = cut(most.unionByName(refined_with(p.where(F.col("t") == last), cut(turn), inner, sigma2, beta)))
+    return p
 
 
 def steered(have: DataFrame, before: DataFrame, target: float, slack: float, step: float) -> DataFrame:

@@ -22,6 +22,13 @@ def shifted_labels(p: DataFrame) -> DataFrame:
     return p.select("t", "y", "x").join(won, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("best.spix", F.lit(-1)).alias("spix"))
 
 
+def shift_order(p: DataFrame) -> DataFrame:
+    """For every place where some region arrives, on the raster or off it: t, y, x, arriving (how many regions), selected (the one that is shown: of fewest pixels, then the smaller number)."""
+    r = p.where("spix >= 0").groupBy("t", "spix").agg(half_away(F.avg("dx")).alias("fx"), half_away(F.avg("dy")).alias("fy"), F.count(F.lit(1)).alias("size"))
+    moved = p.join(r, ["t", "spix"]).select("t", (F.col("y") + F.col("fy")).alias("y"), (F.col("x") + F.col("fx")).alias("x"), "spix", "size")
+    return moved.groupBy("t", "y", "x").agg(F.count(F.lit(1)).alias("arriving"), F.min(F.struct("size", "spix"))["spix"].alias("selected"))
+
+
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import color, geometry
-from tessera.operators import assign, components, metrics, neighbours, regions, reshape, segment, warp
+from tessera.operators import assign, augment, components, metrics, neighbours, regions, reshape, segment, warp
 from tessera.plans.pixels import PIX_SQL, WIDTH, height, missing, pixels, unit_channels
 from tessera.streaming import video
 
@@ -309,6 +309,46 @@ def ms_ssim(p):
     return rounded(metrics.ms_ssim(regions.pool_up(unit_channels(p)), "c0", "m_c0", size=5, weights=metrics.SCALES[:3]), "t")
 
 
+def _uniform_sql(seed: int, *what: str) -> str:
+    """what: SQL texts."""
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(what)})), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0)"
+
+
+def _normal_sql(seed: int, *what: str) -> str:
+    import math
+
+    u, v = _uniform_sql(seed, "'u'", *what), _uniform_sql(seed, "'v'", *what)
+    return f"sqrt(ln(1.0 - {u}) * -2.0) * cos({v} * {2 * math.pi!r})"
+
+
+@query(UNIT + " SELECT t, y, x, " + ", ".join(f"round({c} + {_normal_sql(5, repr(c), 't', 'y', 'x')} * 0.1, 6) AS {c}" for c in ("c0", "c1")) + " FROM un")
+def noise(p):
+    return rounded(augment.noisy(unit_channels(p).select("t", "y", "x", "c0", "c1"), ["c0", "c1"], 0.1, 5), "t", "y", "x")
+
+
+PATCH = (
+    ", fr AS (SELECT t, max(y) + 1 AS h, max(x) + 1 AS w FROM pix GROUP BY t HAVING max(y) + 1 >= 6 AND max(x) + 1 >= 6), rp AS (SELECT *, unnest([0, 1, 2]) AS patch FROM fr),"
+    f" dr AS (SELECT t, patch, CAST(floor({_uniform_sql(3, repr('top'), 't', 'patch')} * (h - 5)) AS INT) AS top, CAST(floor({_uniform_sql(3, repr('left'), 't', 'patch')} * (w - 5)) AS INT) AS lft, "
+    + ", ".join(f"{_uniform_sql(3, repr(n), 't', 'patch')} < 0.5 AS {n}" for n in ("flip_y", "flip_x", "turn"))
+    + " FROM rp), pa AS (SELECT p.t, patch, turn, c0, spix, CASE WHEN flip_y THEN 5 - (y - top) ELSE y - top END AS a, CASE WHEN flip_x THEN 5 - (x - lft) ELSE x - lft END AS b FROM pix p JOIN dr ON dr.t = p.t AND y BETWEEN top AND top + 5 AND x BETWEEN lft AND lft + 5)"
+)
+
+
+@query(PATCH + " SELECT t, patch, CASE WHEN turn THEN b ELSE a END AS y, CASE WHEN turn THEN a ELSE b END AS x, c0, spix FROM pa")
+def random_patches(p):
+    return augment.patches(p.select("t", "y", "x", "c0", "spix"), 6, 3, 3)
+
+
+@query()
+def bounded_components(p):
+    return components.bounded(p).select("t", "y", "x", "spix", "region")
+
+
+@query()
+def forward_backward(p):
+    return segment.forward_backward(p, 1).select("t", "y", "x", "spix")
+
+
 OVER = ", sz AS (SELECT t, spix, count(*) AS size FROM pix GROUP BY t, spix), ov AS (SELECT p.t, p.spix, p.gt, count(*) AS n, max(size) AS size FROM pix p JOIN sz ON sz.t = p.t AND sz.spix = p.spix GROUP BY p.t, p.spix, p.gt), k AS (SELECT count(*) * count(DISTINCT gt) AS total FROM pix)"
 
 
@@ -518,6 +558,11 @@ def shift_labels(p):
     return warp.shifted_labels(p)
 
 
+@query(SHIFT + " SELECT t, y, x, count(*) AS arriving, arg_min(spix, (size, spix)) AS selected FROM mv GROUP BY t, y, x")
+def shift_order(p):
+    return warp.shift_order(p)
+
+
 @query()
 def invalid_ratio(p):
     _, per = components.propagated(p, WIDTH)

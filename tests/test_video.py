@@ -223,3 +223,93 @@ def test_projection_is_that_of_the_singular_vectors(spark):
     sign = np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(axis=1)])
     assert np.allclose([got[k] for k in range(80)], u[:, :2] * s[:2] * sign)
     assert assign.principal_projection(spark.createDataFrame([], "id int, v array<double>"), 2).count() == 0
+
+
+def cells_of(labels):
+    """Components of equal labels, eight neighbours, by flood fill: number of each pixel's component, in the order of their first pixels."""
+    h, w = len(labels), len(labels[0])
+    out = [[None] * w for _ in range(h)]
+    for y in range(h):
+        for x in range(w):
+            if out[y][x] is None:
+                todo, out[y][x] = [(y, x)], (y, x)
+                while todo:
+                    a, b = todo.pop()
+                    for c in range(max(0, a - 1), min(h, a + 2)):
+                        for d in range(max(0, b - 1), min(w, b + 2)):
+                            if out[c][d] is None and labels[c][d] == labels[y][x]:
+                                out[c][d] = (y, x)
+                                todo.append((c, d))
+    return out
+
+
+def plain_bounded(labels, least, most):
+    """The same rule on one frame with sets."""
+    h, w = len(labels), len(labels[0])
+    unit = h * w / (max(v for row in labels for v in row) + 1)
+    low, high = int(unit * least), int(unit * most)
+    region = cells_of(labels)
+    count = collections.Counter(r for row in region for r in row)
+    side = max(1, int(high**0.5))
+    region = cells_of([[(region[y][x], (y // side, x // side) if count[region[y][x]] > high else None) for x in range(w)] for y in range(h)])
+    code = lambda r: r[0] * (1 << 20) + r[1]
+    now = [[code(region[y][x]) for x in range(w)] for y in range(h)]
+    while True:
+        count = collections.Counter(r for row in now for r in row)
+        edges = collections.Counter()
+        for y in range(h):
+            for x in range(w):
+                for c, d in ((y + 1, x), (y, x + 1)):
+                    if c < h and d < w and now[c][d] != now[y][x]:
+                        edges[now[y][x], now[c][d]] += 1
+                        edges[now[c][d], now[y][x]] += 1
+        root = {r: r for r in count}
+
+        def find(r, root=root):
+            while root[r] != r:
+                r = root[r]
+            return r
+
+        picks = 0
+        for u, n in count.items():
+            around = [(n_, -min(u, b), -max(u, b), b) for (a, b), n_ in edges.items() if a == u]
+            if n < low and around:
+                picks += 1
+                a, b = find(u), find(max(around)[3])
+                root[max(a, b)] = min(a, b)
+        if not picks:
+            return now
+        now = [[find(r) for r in row] for row in now]
+
+
+@pytest.mark.parametrize("least,most,k", [(0.3, 3.0, 12), (1.0, 1.5, 3), (0.0, 0.2, 2), (50.0, 90.0, 40)])
+def test_bounded_regions(spark, least, most, k):
+    from tessera.operators import components
+
+    rng = np.random.default_rng(k)
+    labels = [[[int(rng.integers(k)) if rng.random() < 0.3 else (y // 5 * 3 + x // 6) % k for x in range(17)] for y in range(13)] for _ in range(2)]
+    got = {(r.t, r.y, r.x): r.region - (r.t << 40) for r in components.bounded(table(spark, labels), least, most).collect()}
+    for t in range(2):
+        want = plain_bounded(labels[t], least, most)
+        assert all(got[t, y, x] == want[y][x] for y in range(13) for x in range(17))
+        sizes = collections.Counter(v for row in want for v in row)
+        unit = 13 * 17 / (max(v for row in labels[t] for v in row) + 1)
+        assert min(sizes.values()) >= int(unit * least) or len(sizes) == 1
+
+
+def test_forward_and_backward_is_frame_after_frame(spark):
+    """All frames but the last go together; a plain run takes them one by one."""
+    rng = np.random.default_rng(8)
+    grids = [[[10 * ((x + t) // 4 % 2) + int(rng.integers(4)) for x in range(12)] for y in range(8)] for t in range(3)]
+    labels = [[[(x + int(rng.integers(2))) // 4 for x in range(12)] for y in range(8)] for t in range(3)]
+    p = table(spark, grids, labels)
+    now = {t: p.where(F.col("t") == t) for t in range(3)}
+    start = {t: segment.priors_of(now[t]) for t in range(3)}
+    done = {}
+    for t in range(3):
+        after = start[t + 1] if t < 2 else segment.priors_of(done[0])
+        done[t] = segment.refined_with(now[t], after.withColumn("t", F.lit(t)), 1, 4.0, 0.5).cache()
+    want = {(r.t, r.y, r.x): r.spix for t in range(3) for r in done[t].collect()}
+    got = {(r.t, r.y, r.x): r.spix for r in segment.forward_backward(p, 1, 1, 4.0, 0.5).collect()}
+    assert got == want and got != {(t, y, x): labels[t][y][x] for t in range(3) for y in range(8) for x in range(12)}
+    assert segment.forward_backward(now[0], 1, 1, 4.0, 0.5).count() == 96
