@@ -49,28 +49,41 @@ def block_means(p: DataFrame, size: int, width: int) -> DataFrame:
     return q.groupBy("t", "cand").agg(*[F.avg(c).alias(f"m_{c}") for c in ("c0", "c1", "c2")])
 
 
-def soft_assignment(cands: DataFrame, means: DataFrame, sharp: float) -> DataFrame:
-    """t, y, x, channels, cand, p: softmax of -sharp x squared colour distance over a pixel's candidates."""
-    j = cands.where("cand >= 0").join(means, ["t", "cand"])
-    d = sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in ("c0", "c1", "c2")), F.lit(0.0))
-    j = j.select("t", "y", "x", "c0", "c1", "c2", "k", "cand", F.exp(-d * sharp).alias("e"))
-    total = j.groupBy("t", "y", "x").agg(F.sum("e").alias("s"))
-    return j.join(total, ["t", "y", "x"]).withColumn("p", F.when(F.col("s") > 0, F.col("e") / F.col("s")).otherwise(0.0)).drop("e", "s")
+def soft_assignment(p: DataFrame, means: DataFrame, size: int, width: int, sharp: float) -> DataFrame:
+    """t, y, x, channels, near: softmax of -sharp x squared colour distance over the blocks around a pixel's own (array of k, cand, p). The means around a block are gathered in one row for it, so
+    that a pixel meets one row and nothing is multiplied by nine before the result."""
+    across = math.ceil(width / size)
+    here = means.withColumns({"_r": F.floor(F.col("cand") / across), "_c": F.col("cand") % across})
+    around = here.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate(NINE)])))
+    r, c = F.col("_r") - F.col("_k.dy"), F.col("_c") - F.col("_k.dx")
+    around = around.where((r >= 0) & (c >= 0) & (c < across)).select("t", (r * across + c).cast("int").alias("_block"), F.struct("_k.k", "cand", "m_c0", "m_c1", "m_c2").alias("m"))
+    table = around.groupBy("t", "_block").agg(F.sort_array(F.collect_list("m")).alias("_all"))
+    d = lambda m: sum((F.pow(F.col(c) - m[f"m_{c}"], 2) for c in ("c0", "c1", "c2")), F.lit(0.0))
+    j = p.withColumn("_block", square_labels(F.col("x"), F.col("y"), size, width)).join(table, ["t", "_block"])
+    j = j.withColumn("_e", F.transform("_all", lambda m: F.struct(m["k"].alias("k"), m["cand"].alias("cand"), F.exp(-d(m) * sharp).alias("e"))))
+    j = j.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda s, m: s + m["e"]))
+    near = F.transform("_e", lambda m: F.struct(m["k"].alias("k"), m["cand"].alias("cand"), F.when(F.col("_s") > 0, m["e"] / F.col("_s")).otherwise(0.0).alias("p")))
+    return j.select("t", "y", "x", "c0", "c1", "c2", near.alias("near"))
+
+
+def exploded(sims: DataFrame) -> DataFrame:
+    """One row per pixel and candidate: t, y, x, channels, k, cand, p."""
+    return sims.select("t", "y", "x", "c0", "c1", "c2", F.explode("near").alias("n")).select("t", "y", "x", "c0", "c1", "c2", "n.k", "n.cand", "n.p")
 
 
 def soft_means(sims: DataFrame) -> DataFrame:
-    return sims.groupBy("t", "cand").agg(*[(F.sum(F.col("p") * F.col(c)) / F.sum("p")).alias(f"m_{c}") for c in ("c0", "c1", "c2")])
+    return exploded(sims).groupBy("t", "cand").agg(*[(F.sum(F.col("p") * F.col(c)) / F.sum("p")).alias(f"m_{c}") for c in ("c0", "c1", "c2")])
 
 
 def slic(p: DataFrame, size: int, width: int, sharp: float, rounds: int) -> DataFrame:
     """Soft assignments after some rounds of assignment and means."""
     from tessera.operators.lineage import cut
 
-    cands, means = nine_candidates(p, size, width), block_means(p, size, width)
-    sims = soft_assignment(cands, means, sharp)
+    p = p.select("t", "y", "x", "c0", "c1", "c2")
+    sims = soft_assignment(p, block_means(p, size, width), size, width, sharp)
     for _ in range(rounds - 1):
-        sims = soft_assignment(cands, cut(soft_means(sims)), sharp)
-    return sims
+        sims = soft_assignment(p, cut(soft_means(sims)), size, width, sharp)
+    return exploded(sims)
 
 
 def best_label(sims: DataFrame) -> DataFrame:

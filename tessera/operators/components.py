@@ -73,18 +73,35 @@ def fill_step(p: DataFrame, centres: DataFrame, parity: tuple[int, int], width:
 
 
 def filled(p: DataFrame, centres: DataFrame, width: int, rounds: int = 1000) -> DataFrame:
-    """Passes over the four parities until no pixel is missing."""
-    left = None
+    """Passes over the four parities until no pixel is missing, each as in fill_step. Only missing pixels and the labels beside them take part; their labels are written back once."""
+    holes = cut(p.where("spix < 0").select("t", "y", "x"))
+    total = holes.count()
+    if not total:
+        return p
+    sides = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("y") + dy).alias("ny"), (F.col("x") + dx).alias("nx")) for k, (dy, dx) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1)))])
+    links = holes.select("t", "y", "x", F.explode(sides).alias("o")).select("t", "y", "x", "o.*")
+    links = links.join(p.select("t", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("spix").alias("c")), ["t", "ny", "nx"])
+    tall = p.groupBy("t").agg((F.max("y") + 1).alias("hh"))
+    links = cut(links.join(tall, "t"))
+    given, between = links.where("c >= 0").drop("ny", "nx"), links.where("c < 0").drop("c")
+    found, have = None, 0
+    score = nearness(F.col("x"), F.col("y"), F.col("mu_x"), F.col("mu_y"), F.lit(width), F.col("hh"))
+    middle = centres.select("t", F.col("spix").alias("c"), "mu_x", "mu_y")
     for _ in range(rounds):
         for parity in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            p = fill_step(p, centres, parity, width)
-        p = cut(p)
-        now = p.where("spix < 0").count()
-        if now == 0:
-            return p
-        if now == left:
+            now = lambda df: df.where((F.col("x") % 2 == parity[0]) & (F.col("y") % 2 == parity[1]))  # noqa: B023, E731
+            cand = now(given)
+            if found is not None:
+                beside = found.select("t", F.col("y").alias("ny"), F.col("x").alias("nx"), "c")
+                cand = cand.unionByName(now(between).join(beside, ["t", "ny", "nx"]).drop("ny", "nx")).join(found.select("t", "y", "x"), ["t", "y", "x"], "left_anti")
+            new = cut(cand.join(middle, ["t", "c"]).groupBy("t", "y", "x").agg(F.max_by("c", F.struct(score, -F.col("k"))).alias("c")))
+            found = new if found is None else found.unionByName(new)
+        found = cut(found)
+        before, have = have, found.count()
+        if have == total:
+            return p.join(found.withColumnRenamed("c", "_new"), ["t", "y", "x"], "left").withColumn("spix", F.coalesce("_new", "spix")).drop("_new")
+        if have == before:
             raise ValueError("no labelled pixel next to the missing ones")
-        left = now
     raise RuntimeError("not filled within the rounds")
 
 
