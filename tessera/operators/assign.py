@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,9 +173,6 @@ def attention_windows(p: DataFrame, value: str, scale: float, radius: int, span:
     (2 radius + 1)^2 places; at a border it starts later or earlier, so that it stays whole where the raster is large enough. same_region: only pixels of the pixel's own region.
 
     Pixels go once to every block that a window around them can reach into; each block, bounded by its side and the radius, is one group of arrays."""
-    import numpy as np
-    import pandas as pd
-
     far, wide = 2 * radius, 2 * span
     last = p.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     size = p.groupBy("t").agg(F.max("y").alias("y1"), F.max("x").alias("x1"))
@@ -214,21 +214,34 @@ def attention_windows(p: DataFrame, value: str, scale: float, radius: int, span:
 def principal_projection(rows: DataFrame, k: int) -> DataFrame:
     """From id, v (arrays of one length d): id, projected (k numbers): rows standardised over their own components, projected on the first k right singular vectors. Only the d x d sums of products reach the driver;
     each vector's largest component is made positive, since a singular vector has no sign of its own."""
-    import numpy as np
-
-    n = F.size("v")
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / (n - 1))
-    z = rows.withColumn("_m", mean).withColumn("_s", spread).select("id", F.transform("v", lambda x: (x - F.col("_m")) / F.col("_s")).alias("z"))
-    cells = z.select(F.posexplode("z").alias("a", "x"), "z").select("a", "x", F.posexplode("z").alias("b", "y")).where("a <= b")
-    sums = cells.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # d (d + 1) / 2 rows
-    if not sums:
-        return z.select("id", F.col("z").alias("projected"))
-    d = max(r["b"] for r in sums) + 1
+    def standard(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.array(pdf["v"].tolist(), float)
+        x = x - x.mean(axis=1, keepdims=True)
+        return x / x.std(axis=1, ddof=1, keepdims=True)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                z = standard(pdf)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pd.DataFrame({"a": range(len(total)), "s": total.tolist()})
+
+    cells = rows.select("v").mapInPandas(products, "a int, s array<double>").select("a", F.posexplode("s").alias("b", "x"))
+    sums = cells.groupBy("a", "b").agg(F.sum("x").alias("s")).collect()  # d x d rows
+    d = max((r["b"] for r in sums), default=-1) + 1
     gram = np.zeros((d, d))
     for r in sums:
-        gram[r["a"], r["b"]] = gram[r["b"], r["a"]] = r["s"]
-    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :k]
-    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    dot = lambda axis: F.aggregate(F.zip_with("z", F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
-    return z.select("id", F.array(*[dot(axes[:, c]) for c in range(axes.shape[1])]).alias("projected"))
+        gram[r["a"], r["b"]] = r["s"]
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :k] if d else np.zeros((0, 0))
+    if d:
+        axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "projected": (standard(pdf) @ axes).tolist()})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "v").mapInPandas(projected, f"id {kind}, projected array<double>")

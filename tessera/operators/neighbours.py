@@ -24,12 +24,11 @@ def four(df: DataFrame, value: str, prefix: str = "") -> DataFrame:
 
 
 def eight(df: DataFrame, value: str) -> DataFrame:
-    """Adds nw, n, ne, w, e, sw, s, se."""
+    """Adds nw, n, ne, w, e, sw, s, se. The last line of a frame may be short: what lies below is looked up from the pixels above it, side by side."""
     r, c = along_row(), along_column()
-    df = df.withColumn("_three", F.struct(F.lag(value).over(r).alias("a"), F.col(value).alias("b"), F.lead(value).over(r).alias("c")))
-    df = df.withColumn("_up", F.lag("_three").over(c)).withColumn("_down", F.lead("_three").over(c))
-    names = {"nw": "_up.a", "n": "_up.b", "ne": "_up.c", "w": "_three.a", "e": "_three.c", "sw": "_down.a", "s": "_down.b", "se": "_down.c"}
-    return df.withColumns({k: F.col(v) for k, v in names.items()}).drop("_three", "_up", "_down")
+    df = df.withColumn("s", F.lead(value).over(c))
+    df = df.withColumns({"w": F.lag(value).over(r), "e": F.lead(value).over(r), "sw": F.lag("s").over(r), "se": F.lead("s").over(r)})
+    return df.withColumns({"n": F.lag(value).over(c), "nw": F.lag("w").over(c), "ne": F.lag("e").over(c)})
 
 
 def border(df: DataFrame, label: str = "spix") -> DataFrame:
@@ -51,9 +50,11 @@ def border_upper(df: DataFrame, label: str = "spix") -> DataFrame:
 
 
 def dilated(df: DataFrame, value: str, radius: int, out: str) -> DataFrame:
-    """The largest value within a square, one axis after the other."""
-    df = df.withColumn("_wide", F.max(value).over(along_row().rowsBetween(-radius, radius)))
-    return df.withColumn(out, F.max("_wide").over(along_column().rowsBetween(-radius, radius))).drop("_wide")
+    """The largest value within a square, one axis after the other, in both orders: beside a short last line only one of them passes through pixels that are there."""
+    r, c = along_row().rowsBetween(-radius, radius), along_column().rowsBetween(-radius, radius)
+    df = df.withColumn("_wide", F.max(value).over(r))
+    df = df.withColumns({"_both": F.max("_wide").over(c), "_tall": F.max(value).over(c)})
+    return df.withColumn(out, F.greatest("_both", F.max("_tall").over(r))).drop("_wide", "_both", "_tall")
 
 
 def corner_edges(df: DataFrame, label: str, out: str) -> DataFrame:

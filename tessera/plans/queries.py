@@ -210,8 +210,8 @@ def boundary_precision(p):
 
 # simple: the number of 4-connected runs of equal neighbours around the pixel, as the sum over sides of (side - side * corner * next side)
 BITS_SQL = (
-    ", h3 AS (SELECT t, y, x, spix, lag(spix) OVER r AS w, lead(spix) OVER r AS e FROM pix WINDOW r AS (PARTITION BY t, y ORDER BY x)),"
-    " h8 AS (SELECT *, " + ", ".join(f"{f}({v}) OVER c AS {k}" for f, row in (("lag", "n"), ("lead", "s")) for v, k in (("w", row + "w"), ("spix", row), ("e", row + "e"))) + " FROM h3 WINDOW c AS (PARTITION BY t, x ORDER BY y)),"
+    ", h3 AS (SELECT t, y, x, spix, lag(spix) OVER r AS w, lead(spix) OVER r AS e, lag(spix) OVER c AS n, lead(spix) OVER c AS s FROM pix WINDOW r AS (PARTITION BY t, y ORDER BY x), c AS (PARTITION BY t, x ORDER BY y)),"
+    " h8 AS (SELECT *, lag(w) OVER c AS nw, lag(e) OVER c AS ne, lag(s) OVER r AS sw, lead(s) OVER r AS se FROM h3 WINDOW r AS (PARTITION BY t, y ORDER BY x), c AS (PARTITION BY t, x ORDER BY y)),"
     " eq AS (SELECT t, y, x, " + ", ".join(f"CAST(coalesce({k} = spix, TRUE) AS INT) AS {k}" for k in ("nw", "n", "ne", "w", "e", "sw", "s", "se")) + " FROM h8)"
     " SELECT t, y, x, nw + 2*n + 4*ne + 8*w + 16*e + 32*sw + 64*s + 128*se AS bits, (n - n*ne*e) + (e - e*se*s) + (s - s*sw*w) + (w - w*nw*n) = 1 AS simple FROM eq"
 )
@@ -727,12 +727,12 @@ def split_seeds(p):
 def _potts_sql(sigma2: float, beta: float) -> str:
     sides = ("n", "s", "w", "e")
     s = MEAN_COV + FIXED + ", rp AS (SELECT t, spix AS c, n, mu_c0, mu_c1, mu_c2, mu_x, mu_y, c / d AS i_xx, -xy / d AS i_xy, a / d AS i_yy, ln(d) AS logdet FROM fd), s0 AS (SELECT t, y, x, c0, c1, c2, spix FROM pix)"
-    rows = {"n": ("nw", "n", "ne"), "s": ("sw", "s", "se")}
-    down = ", ".join(f"coalesce({f}({v}) OVER c, -1) AS {k}" for f, side in (("lag", "n"), ("lead", "s")) for v, k in zip(("w0", "spix", "e0"), rows[side], strict=True))
     eight = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
     for k, (px, py) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        s += f", a{k} AS (SELECT *, lag(spix) OVER r AS w0, lead(spix) OVER r AS e0 FROM s{k} WINDOW r AS (PARTITION BY t, y ORDER BY x))"
-        s += f", b{k} AS (SELECT t, y, x, c0, c1, c2, spix, coalesce(w0, -1) AS w, coalesce(e0, -1) AS e, {down} FROM a{k} WINDOW c AS (PARTITION BY t, x ORDER BY y))"
+        lines = "WINDOW r AS (PARTITION BY t, y ORDER BY x), c AS (PARTITION BY t, x ORDER BY y)"
+        s += f", a{k} AS (SELECT *, lag(spix) OVER r AS w0, lead(spix) OVER r AS e0, lag(spix) OVER c AS n0, lead(spix) OVER c AS s0 FROM s{k} {lines})"
+        s += f", g{k} AS (SELECT *, lag(w0) OVER c AS nw0, lag(e0) OVER c AS ne0, lag(s0) OVER r AS sw0, lead(s0) OVER r AS se0 FROM a{k} {lines})"
+        s += f", b{k} AS (SELECT t, y, x, c0, c1, c2, spix, {', '.join(f'coalesce({d}0, -1) AS {d}' for d in eight)} FROM g{k})"
         # one connected run of sides that hold the label (or lie off the raster) around the pixel
         on = lambda d, c: f"CAST({d} = {c} OR {d} = -1 AS INT)"
         arcs = lambda c: " + ".join(f"({on(i, c)} - {on(i, c)}*{on(j, c)}*{on(m, c)})" for i, j, m in (("n", "ne", "e"), ("e", "se", "s"), ("s", "sw", "w"), ("w", "nw", "n")))
@@ -979,7 +979,7 @@ def region_attention(p):
 
 
 # windows of 3 frames and 5 x 5 places that start later or earlier at borders
-SHIFTED = ", sz AS (SELECT t, max(y) AS y1, max(x) AS x1, (SELECT min(t) FROM pix) AS t0, (SELECT max(t) FROM pix) AS t1 FROM pix GROUP BY t), st AS (SELECT p.*, least(greatest(p.t - 1, t0), greatest(t0, t1 - 2)) AS ts, least(greatest(y - 2, 0), greatest(0, y1 - 4)) AS ys, least(greatest(x - 2, 0), greatest(0, x1 - 4)) AS xs FROM pix p JOIN sz ON sz.t = p.t) SELECT a.t, a.y, a.x, round(sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0)) * b.c0) / sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0))), 5) AS attended FROM st a, (SELECT unnest(range(0, 3)) AS i) ti, (SELECT unnest(range(0, 5)) AS j) yj, (SELECT unnest(range(0, 5)) AS k) xk, pix b WHERE b.t = a.ts + i AND b.y = a.ys + j AND b.x = a.xs + k {} GROUP BY a.t, a.y, a.x"
+SHIFTED = ", sz AS (SELECT t, max(y) AS y1, max(x) AS x1, (SELECT min(t) FROM pix) AS t0, (SELECT max(t) FROM pix) AS t1 FROM pix GROUP BY t), st AS (SELECT p.*, least(greatest(p.t - 1, t0), greatest(t0, t1 - 2)) AS ts, least(greatest(y - 2, 0), greatest(0, y1 - 4)) AS ys, least(greatest(x - 2, 0), greatest(0, x1 - 4)) AS xs FROM pix p JOIN sz ON sz.t = p.t), wi AS (SELECT *, unnest([0, 1, 2]) AS i FROM st), wj AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS j FROM wi), wk AS (SELECT *, ts + i AS bt, ys + j AS by_, xs + k AS bx FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM wj) q) SELECT a.t, a.y, a.x, round(sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0)) * b.c0) / sum(exp(-0.01*(b.c0 - a.c0)*(b.c0 - a.c0))), 5) AS attended FROM wk a JOIN pix b ON b.t = a.bt AND b.y = a.by_ AND b.x = a.bx {} GROUP BY a.t, a.y, a.x"
 
 
 @query(SHIFTED.format(""))
