@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.lineage import stored as written  # noqa: F401  cuts the lineage: the rows as a Parquet table in the shared folder, read again
+
 #: Words are runs of anything but these characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,24 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local one only where none is named and Spark runs on one machine, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(column), F.lit(""))
