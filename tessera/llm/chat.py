@@ -5,7 +5,8 @@ Native: DataFrame functions only. One row per conversation at the end, since its
 Defined results: a null text is empty; a null role is the empty role; turns with equal numbers follow role, then text;
 null turn numbers come first; repeated rows are turns of their own; a null conv_id is a conversation of its own; an
 empty table gives no rows; other columns are ignored. A conversation whose order of roles the machine rejects is
-formatted all the same, with ``valid`` false and ``bad_turn`` the place of the first wrong turn."""
+formatted all the same, with ``valid`` false and ``bad_turn`` the place of the first wrong turn. Texts of any length are
+formatted whole."""
 
 from __future__ import annotations
 

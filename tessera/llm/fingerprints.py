@@ -10,7 +10,7 @@ Native: DataFrame functions only.
 Defined results: a null or wordless text has the empty fingerprint, which is 1 like another empty one and 0 like any other;
 a text of fewer than five words is one shingle; rows that repeat a doc_id and its text count once in the order of
 documents, others with the same doc_id follow a hash of their text; a null doc_id comes first; an empty table gives no
-rows; other columns are ignored."""
+rows; other columns are ignored. Texts of any length are hashed whole; equal hashes in a bin are the same value, so ties need no order."""
 
 from __future__ import annotations
 

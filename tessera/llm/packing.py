@@ -9,7 +9,8 @@ its place by its length and its rank among the pieces of that length.
 Styles: tokenising and the lookup are Python on Arrow batches; ranks are DataFrame functions.
 
 Defined results: a null text is empty, an empty text is the closing id alone; repeated rows are packed each; ties of
-length follow doc_id, piece and checksum; a null doc_id is kept; an empty table gives no rows; other columns are ignored."""
+length follow doc_id, piece and checksum; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
+Texts of any length are tokenized whole, and only documents of over 2048 ids are cut."""
 
 from __future__ import annotations
 

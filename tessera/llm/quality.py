@@ -13,7 +13,8 @@ Styles: measures and the score are Python on Arrow batches, each text on its own
 the gradient steps are numpy on the driver.
 
 Defined results: a null text is empty and has a score like any; repeated rows are scored each, and an id is in a sample once, with the least of its
-rows' measures; a null doc_id isn't held out and never fitted on; an empty table gives no rows; without positives every score is 0.5; other columns are ignored."""
+rows' measures; a null doc_id isn't held out and never fitted on; an empty table gives no rows; without positives every score is 0.5, and if a half of the
+sample lacks a class the prior is 0.5 (too few rows to estimate it); other columns are ignored. Texts of any length are measured whole; equal scores have no order, since each row is decided alone."""
 
 from __future__ import annotations
 

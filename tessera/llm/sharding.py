@@ -10,7 +10,8 @@ subdivided by a second hash into as many parts as it takes, so no window grows w
 have a number of their own, which divides them too.
 
 Defined results: a null text has size 1 and the crc of the empty text; null ids come first; repeated rows are records of
-their own; an empty table gives no rows; other columns are ignored."""
+their own; an empty table gives no rows; other columns are ignored. A text of any length is one record, measured whole; records of equal keys
+are ordered by doc_id and then by their place in the stored table."""
 
 from __future__ import annotations
 
