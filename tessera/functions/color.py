@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +69,35 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 def unit(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+#: Steps of the flow colour circle from red to yellow, green, cyan, blue, magenta and back (Baker et al., A database and evaluation methodology for optical flow).
+WHEEL_STEPS = (15, 6, 4, 11, 13, 6)
+
+
+def wheel() -> list[tuple[float, float, float]]:
+    """The colours of the circle in 0..1: in each section one channel rises or falls in even steps."""
+    out = []
+    for k, n in enumerate(WHEEL_STEPS):
+        full, moving = (0, 1, 1, 2, 2, 0)[k], (1, 0, 2, 1, 0, 2)[k]
+        for i in range(n):
+            c = [0.0, 0.0, 0.0]
+            c[full], step = 1.0, int(255 * i / n) / 255
+            c[moving] = 1.0 - step if k % 2 else step
+            out.append(tuple(c))
+    return out
+
+
+def flow_colour(dx: Column, dy: Column, most: Column) -> list[Column]:
+    """Bytes of red, green, blue of a flow: its direction on the circle, its length in units of ``most`` as saturation. A value short of a byte by less than 1e-9
+    is that byte, so that the order of sums doesn't matter."""
+    circle = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, "rgb", strict=True)]) for c in wheel()])
+    n = sum(WHEEL_STEPS)
+    u, v = dx / most, dy / most
+    length = F.sqrt(u * u + v * v)
+    # straight to the right lies the seam of the circle: it belongs to the beginning
+    at = F.when((v == 0) & (u > 0), 0.0).otherwise((F.atan2(-v, -u) / math.pi + 1.0) / 2.0 * (n - 1))
+    low = F.floor(at).cast("int")
+    first, second, part = F.element_at(circle, low + 1), F.element_at(circle, (low + 1) % n + 1), at - low
+    mixed = [first[c] * (1.0 - part) + second[c] * part for c in "rgb"]
+    return [F.floor(F.when(length <= 1, 1.0 - length * (1.0 - m)).otherwise(m * 0.75) * 255.0 + 1e-9).cast("int") for m in mixed]

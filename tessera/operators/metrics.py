@@ -141,6 +141,25 @@ def underseg_legacy(p: DataFrame) -> DataFrame:
     return whole.join(met, "gt").agg(F.avg((F.col("met") - F.col("whole")) / F.col("whole")).alias("ue_legacy"))
 
 
+def underseg_legacy_2d(p: DataFrame) -> DataFrame:
+    """ue_legacy_2d: the same frame by frame, mean over segments and then over frames."""
+    whole = p.groupBy("t", "gt").agg(F.count(F.lit(1)).alias("whole"))
+    met = overlaps(p).groupBy("t", "gt").agg(F.sum("size").alias("met"))
+    per = whole.join(met, ["t", "gt"]).groupBy("t").agg(F.avg((F.col("met") - F.col("whole")) / F.col("whole")).alias("u"))
+    return per.agg(F.avg("u").alias("ue_legacy_2d"))
+
+
+def label_losses(sims: DataFrame, p: DataFrame) -> DataFrame:
+    """t, cross, compact per frame. From soft assignments (t, y, x, cand, p) and pixels (t, y, x, gt): cross, the mean of -log of the share that pooling over regions gives a pixel's own segment;
+    compact, the mean squared distance of a pixel's place and its pooled place."""
+    j = sims.select("t", "y", "x", "cand", "p").join(p.select("t", "y", "x", "gt"), ["t", "y", "x"])
+    mass = j.groupBy("t", "cand").agg(F.sum("p").alias("_m"), *[(F.sum(F.col("p") * F.col(c)) / F.sum("p")).alias(f"_{c}") for c in ("y", "x")])
+    share = j.groupBy("t", "cand", "gt").agg(F.sum("p").alias("_g"))
+    j = j.join(share, ["t", "cand", "gt"]).join(mass, ["t", "cand"])
+    per = j.groupBy("t", "y", "x").agg(F.sum(F.col("p") * F.col("_g") / F.col("_m")).alias("own"), *[F.sum(F.col("p") * F.col(f"_{c}")).alias(f"p{c}") for c in ("y", "x")])
+    return per.groupBy("t").agg(F.avg(-F.ln(F.greatest("own", F.lit(1e-15)))).alias("cross"), F.avg(F.pow(F.col("py") - F.col("y"), 2) + F.pow(F.col("px") - F.col("x"), 2)).alias("compact"))
+
+
 def underseg_frame(p: DataFrame, segment: int = 1) -> DataFrame:
     """ue per frame: for labels that meet the segment, pixels of label or segment that are not in both, over the pixels."""
     size = p.groupBy("t").agg(F.count(F.lit(1)).alias("npix"), F.count_if(F.col("gt") == segment).alias("whole"))

@@ -135,3 +135,14 @@ def beta_size_prior(sizes: DataFrame, whole: float, a: float = 2.0, b: float = 5
     norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     share = F.col("count") / whole
     return sizes.withColumn("log_prior", F.ln(share) * (a - 1) + F.ln(1.0 - share) * (b - 1) + norm)
+
+
+def came_by_filling(p: DataFrame, shifted: DataFrame) -> DataFrame:
+    """t, spix, n, n_invalid: a region's pixels, and those of them where the shifted labels (t, y, x, spix) had none."""
+    before = shifted.select("t", "y", "x", (F.col("spix") < 0).alias("_gone"))
+    return p.where("spix >= 0").join(before, ["t", "y", "x"]).groupBy("t", "spix").agg(F.count(F.lit(1)).alias("n"), F.count_if("_gone").alias("n_invalid"))
+
+
+def compact_parameters(params: DataFrame, ids: DataFrame) -> DataFrame:
+    """Region parameters (spix and any others) under their new ids; those without one keep theirs."""
+    return params.join(ids, "spix", "left").withColumn("spix", F.coalesce("new_spix", "spix").cast("long")).drop("new_spix")

@@ -900,6 +900,77 @@ def ot_warp(p):
     return rounded(segment.carried_over(unit_channels(p), _plan(p), "c0"), "t", "y", "x")
 
 
+# --- smaller forms --------------------------------------------------------------------------------------------------------
+@query(SHIFT + " SELECT p.t, p.spix, count(*) AS n, count_if(sh.spix < 0) AS n_invalid FROM pix p JOIN sh ON sh.t = p.t AND sh.y = p.y AND sh.x = p.x GROUP BY p.t, p.spix")
+def came_by_filling(p):
+    return regions.came_by_filling(p, warp.shifted_labels(p))
+
+
+@query(" SELECT t, y, x, round((sum(c0) OVER w + CAST(spix AS DOUBLE)) / count(*) OVER w, 6) AS grad FROM pix WINDOW w AS (PARTITION BY spix)")
+def video_pool_backward(p):
+    g = p.select("t", "y", "x", "spix", F.col("c0").alias("g_up"), F.col("spix").cast("double").alias("g_down"))
+    return rounded(regions.pool_backward(g, ("spix",)).select("t", "y", "x", "grad"), "t", "y", "x")
+
+
+@query(MEAN_COV + ", ci AS (SELECT spix, 20 + row_number() OVER (ORDER BY spix) - 1 AS new FROM (SELECT DISTINCT spix FROM pix WHERE spix >= 20) q) SELECT t, coalesce(new, mc.spix) AS spix, n, round(mu_c0, 6) AS mu_c0, round(xx, 6) AS xx FROM mc LEFT JOIN ci ON ci.spix = mc.spix")
+def compact_parameters(p):
+    s = regions.summary(regions.moments(p)).select("t", "spix", "n", "mu_c0", "xx")
+    return rounded(regions.compact_parameters(s, regions.compact_ids(p, 20)), "t", "spix", "n")
+
+
+SNAP = ", g0 AS (SELECT t, c0, x + 0.999*dx AS gx, y + 0.999*dy AS gy FROM pix), g AS (SELECT t, c0, CASE WHEN abs(gx - round(gx)) < 0.01 THEN round(gx) ELSE gx END AS gx, CASE WHEN abs(gy - round(gy)) < 0.01 THEN round(gy) ELSE gy END AS gy FROM g0)"
+
+
+@query(SNAP + ", sm AS (SELECT t, CAST(gy AS INT) AS y, CAST(gx AS INT) AS x, sum(c0) AS total, count(*) AS weight FROM g GROUP BY 1, 2, 3) SELECT p.t, p.y, p.x, CAST(coalesce(total, 0) AS DOUBLE) AS total, CAST(coalesce(weight, 0) AS DOUBLE) AS weight FROM pix p LEFT JOIN sm ON sm.t = p.t AND sm.y = p.y AND sm.x = p.x")
+def splat_snapped(p):
+    return warp.splat(p, "c0", 0.999, 0.01)
+
+
+MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > {1} - 1 THEN ({1} - 1) * 2 - ({0}) ELSE {0} END"
+REFLECT = ", hh AS (SELECT t AS ht, max(y) + 1 AS h FROM pix GROUP BY t), g AS (SELECT t, y, x, CAST(" + MIRROR.format("x + 0.5*dx", "64") + " AS DOUBLE) AS gx, CAST(" + MIRROR.format("y + 0.5*dy", "h") + " AS DOUBLE) AS gy FROM pix JOIN hh ON ht = t), cn AS (" + " UNION ALL ".join(f"SELECT t, y, x, CAST(floor(gx) AS INT) + {i} AS cx, CAST(floor(gy) AS INT) + {j} AS cy, ({'gx - floor(gx)' if i else '1 - (gx - floor(gx))'}) * ({'gy - floor(gy)' if j else '1 - (gy - floor(gy))'}) AS w FROM g" for j in (0, 1) for i in (0, 1)) + ")"
+
+
+@query(REFLECT + " SELECT c.t, c.y, c.x, sum(coalesce(p.c0, 0) * w) AS warped FROM cn c LEFT JOIN pix p ON p.t = c.t AND p.y = c.cy AND p.x = c.cx WHERE w > 0 GROUP BY c.t, c.y, c.x")
+def warp_back_reflected(p):
+    return warp.warped_reflected(p, "c0", WIDTH)
+
+
+@query(OVER + ", w AS (SELECT t, gt, count(*) AS w FROM pix GROUP BY t, gt), m AS (SELECT t, gt, sum(size) AS met FROM ov GROUP BY t, gt) SELECT round(avg(u), 6) AS ue_legacy_2d FROM (SELECT w.t, avg(CAST(met - w AS DOUBLE) / w) AS u FROM w JOIN m ON m.t = w.t AND m.gt = w.gt GROUP BY w.t) q")
+def ue_legacy_2d(p):
+    return rounded(metrics.underseg_legacy_2d(p))
+
+
+@query(CANDS + SIMS + ", sg AS (SELECT s.t, s.y, s.x, s.cand, s.p, g.gt FROM si s JOIN pix g ON g.t = s.t AND g.y = s.y AND g.x = s.x), ma AS (SELECT t, cand, sum(p) AS m, sum(p*y)/sum(p) AS my, sum(p*x)/sum(p) AS mx FROM sg GROUP BY t, cand), sh AS (SELECT t, cand, gt, sum(p) AS g FROM sg GROUP BY t, cand, gt), pp AS (SELECT sg.t, y, x, sum(p * g / m) AS own, sum(p*my) AS py, sum(p*mx) AS px FROM sg JOIN ma ON ma.t = sg.t AND ma.cand = sg.cand JOIN sh ON sh.t = sg.t AND sh.cand = sg.cand AND sh.gt = sg.gt GROUP BY sg.t, y, x) SELECT t, round(avg(-ln(greatest(own, 1e-15))), 5) AS \"cross\", round(avg((py-y)*(py-y) + (px-x)*(px-x)), 4) AS compact FROM pp GROUP BY t")
+def label_losses(p):
+    out = metrics.label_losses(_sims(p), p)
+    return out.select("t", F.round("cross", 5).alias("cross"), F.round("compact", 4).alias("compact"))
+
+
+def _flow_colour_sql() -> str:
+    n = sum(color.WHEEL_STEPS)
+    lists = [f"[{', '.join(repr(c[k]) for c in color.wheel())}]" for k in range(3)]
+    out = ", ".join(f"CAST(floor(255.0 * CASE WHEN len <= 1 THEN 1 - len * (1 - ({w}[lo + 1] * (1 - f) + {w}[(lo + 1) % {n} + 1] * f)) ELSE 0.75 * ({w}[lo + 1] * (1 - f) + {w}[(lo + 1) % {n} + 1] * f) END + 1e-9) AS INT) AS {k}" for w, k in zip(lists, "rgb", strict=True))
+    return f", fl AS (SELECT t, y, x, dx * (1 + c1) / 12.0::DOUBLE AS u, dy * (1 + c2) / 12.0::DOUBLE AS v FROM pix), an AS (SELECT *, sqrt(u*u + v*v) AS len, (atan2(-v, -u) / pi() + 1) / 2 * {n - 1} AS k FROM fl), lo AS (SELECT *, CAST(floor(k) AS INT) AS lo, k - floor(k) AS f FROM an) SELECT t, y, x, {out} FROM lo WHERE u <> 0 OR v <> 0"
+
+
+@query(_flow_colour_sql())
+def flow_colour(p):
+    """Of pixels that move."""
+    q = p.select("t", "y", "x", (F.col("dx") * (F.col("c1") + 1)).alias("u"), (F.col("dy") * (F.col("c2") + 1)).alias("v")).where("u != 0 or v != 0")
+    return q.select("t", "y", "x", *[c.alias(n) for c, n in zip(color.flow_colour(F.col("u").cast("double"), F.col("v").cast("double"), F.lit(12.0)), "rgb", strict=True)])
+
+
+@on_tables("SELECT method, vid, coalesce(q, -1) AS quality, row_number() OVER (ORDER BY vid DESC, method) - 1 AS place FROM (SELECT l_returnflag AS method, l_linenumber AS vid, round(avg(CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN l_quantity END), 6) AS q, avg(l_tax) AS t FROM lineitem GROUP BY 1, 2) m")
+def sorted_results(spark, sf_dir):
+    """A result table with a column dropped and one renamed, missing values as -1, and its places in an order of two keys."""
+    from tessera.operators.order import ranked
+
+    some = F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "N"), F.col("l_quantity"))
+    m = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linenumber").alias("vid")).agg(F.round(F.avg(some), 6).alias("q"), F.avg("l_tax").alias("t"))
+    m = m.drop("t").withColumnRenamed("q", "quality").na.fill(-1.0, ["quality"]).withColumns({"_g": F.lit(0), "_v": -F.col("vid")})
+    return ranked(m, ["_g"], ["_v", "method"], "place").select("method", "vid", "quality", F.col("place").cast("long").alias("place"))
+
+
 # --- videos -------------------------------------------------------------------------------------------------------------
 def _two_videos(p):
     """The frames dealt to two videos."""
