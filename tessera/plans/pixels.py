@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,15 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view, stored in the shared folder when an application first asks for it; a table that changes under the same path needs another session."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        path = f"{shared_dir(spark)}/pixels-{uuid.uuid4().hex}"
-        derived(spark, sf_dir).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the shared folder has been cleared meanwhile
+            del _STORED[key]
+    path = f"{shared_dir(spark)}/pixels-{uuid.uuid4().hex}"
+    derived(spark, sf_dir).write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def height(p: DataFrame) -> DataFrame:

@@ -25,6 +25,16 @@ def test_every_row_is_a_pixel_of_a_bounded_frame(spark, sf, rows):
     assert (r.n, r.places) == (rows, rows) and r.y < pixels.HEIGHT and r.x == pixels.WIDTH - 1 and r.least >= 0
 
 
+def test_view_is_stored_again_when_it_has_been_cleared(spark):
+    import shutil
+
+    root = "/root/testdata/sf0.001"
+    assert pixels.pixels(spark, root).count() == 6_000
+    path = pixels._STORED[spark.sparkContext.applicationId, root]
+    shutil.rmtree(path.removeprefix("file:"))
+    assert pixels.pixels(spark, root).count() == 6_000 and pixels._STORED[spark.sparkContext.applicationId, root] != path
+
+
 def test_frames_are_numbered_without_a_task_per_video(spark):
     """One video holds nearly all frames."""
     rng = random.Random(2)
