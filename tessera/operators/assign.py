@@ -53,7 +53,7 @@ def block_means(p: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def soft_assignment(p: DataFrame, means: DataFrame, size: int, width: int, sharp: float) -> DataFrame:
-    """t, y, x, channels, near: softmax of -sharp x squared colour distance over the blocks around a pixel's own (array of k, cand, p). The means around a block are gathered in one row for it, so
+    """t, y, x, channels, k, cand, p: softmax of -sharp x squared colour distance over the blocks around a pixel's own. The means around a block are gathered in one row for it, so
     that a pixel meets one row and nothing is multiplied by nine before the result."""
     across = math.ceil(width / size)
     here = means.withColumns({"_r": F.floor(F.col("cand") / across), "_c": F.col("cand") % across})
@@ -65,17 +65,13 @@ def soft_assignment(p: DataFrame, means: DataFrame, size: int, width: int, sharp
     j = p.withColumn("_block", square_labels(F.col("x"), F.col("y"), size, width)).join(table, ["t", "_block"])
     j = j.withColumn("_e", F.transform("_all", lambda m: F.struct(m["k"].alias("k"), m["cand"].alias("cand"), F.exp(-d(m) * sharp).alias("e"))))
     j = j.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda s, m: s + m["e"]))
-    near = F.transform("_e", lambda m: F.struct(m["k"].alias("k"), m["cand"].alias("cand"), F.when(F.col("_s") > 0, m["e"] / F.col("_s")).otherwise(0.0).alias("p")))
-    return j.select("t", "y", "x", "c0", "c1", "c2", near.alias("near"))
-
-
-def exploded(sims: DataFrame) -> DataFrame:
-    """One row per pixel and candidate: t, y, x, channels, k, cand, p."""
-    return sims.select("t", "y", "x", "c0", "c1", "c2", F.explode("near").alias("n")).select("t", "y", "x", "c0", "c1", "c2", "n.k", "n.cand", "n.p")
+    # the sum is a column before the rows are made, else it would be made again for each of them
+    j = j.select("t", "y", "x", "c0", "c1", "c2", "_s", F.explode("_e").alias("n"))
+    return j.select("t", "y", "x", "c0", "c1", "c2", "n.k", "n.cand", F.when(F.col("_s") > 0, F.col("n.e") / F.col("_s")).otherwise(0.0).alias("p"))
 
 
 def soft_means(sims: DataFrame) -> DataFrame:
-    return exploded(sims).groupBy("t", "cand").agg(*[(F.sum(F.col("p") * F.col(c)) / F.sum("p")).alias(f"m_{c}") for c in ("c0", "c1", "c2")])
+    return sims.groupBy("t", "cand").agg(*[(F.sum(F.col("p") * F.col(c)) / F.sum("p")).alias(f"m_{c}") for c in ("c0", "c1", "c2")])
 
 
 def slic(p: DataFrame, size: int, width: int, sharp: float, rounds: int) -> DataFrame:
@@ -86,7 +82,7 @@ def slic(p: DataFrame, size: int, width: int, sharp: float, rounds: int) -> Data
     sims = soft_assignment(p, block_means(p, size, width), size, width, sharp)
     for _ in range(rounds - 1):
         sims = soft_assignment(p, cut(soft_means(sims)), size, width, sharp)
-    return exploded(sims)
+    return sims
 
 
 def best_label(sims: DataFrame) -> DataFrame:
