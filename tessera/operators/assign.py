@@ -164,49 +164,131 @@ def nearest_centres(p: DataFrame, centres: DataFrame, side: float) -> DataFrame:
     return out.select("t", F.floor(F.col("r") / (1 << 31)).cast("int").alias("y"), (F.col("r") % (1 << 31)).cast("int").alias("x"), F.element_at("best", 1)["q"].cast("int").alias("spix"))
 
 
-def attention_windows(p: DataFrame, value: str, scale: float, radius: int, span: int = 0, same_region: bool = False, block: int = 32) -> DataFrame:
-    """Attention over windows in time and space: t, y, x, attended: the mean of the values in the window, weighted by exp(-scale x squared difference). A window has 2 span + 1 frames and
-    (2 radius + 1)^2 places; at a border it starts later or earlier, so that it stays whole where the raster is large enough. same_region: only pixels of the pixel's own region.
+def _padded(column: pd.Series, fill: float, kind: type) -> np.ndarray:
+    """Arrays of a few numbers each, as rows of one length."""
+    n = column.str.len().to_numpy()
+    out = np.full((len(n), max(n.max(initial=0), 1)), fill, kind)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.concatenate([np.asarray(v) for v in column]) if n.sum() else []
+    return out
 
-    Pixels go once to every block that a window around them can reach into; each block, bounded by its side and the radius, is one group of arrays."""
+
+def _window_blocks(p: DataFrame, value: str, radius: int, span: int, block: int, *more: str) -> DataFrame:
+    """Pixels once in every block that a window around them can reach into (bt, by, bx), with the ends of the table in time and of their frame."""
     far, wide = 2 * radius, 2 * span
     last = p.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     size = p.groupBy("t").agg(F.max("y").alias("y1"), F.max("x").alias("x1"))
-    rows = p.select("t", "y", "x", F.col(value).cast("double").alias("v"), "spix").join(size, "t").crossJoin(F.broadcast(last))  # one row
+    rows = p.select("t", "y", "x", F.col(value).cast("double").alias("v"), *more).join(size, "t").crossJoin(F.broadcast(last))  # one row
     reach = lambda c: F.sequence(F.floor((F.col(c) - far) / block), F.floor((F.col(c) + far) / block))
-    rows = rows.withColumn("bt", F.explode(F.sequence(F.greatest(F.col("t") - wide, "t0"), F.least(F.col("t") + wide, "t1")))).withColumn("by", F.explode(reach("y"))).withColumn("bx", F.explode(reach("x")))
+    return rows.withColumn("bt", F.explode(F.sequence(F.greatest(F.col("t") - wide, "t0"), F.least(F.col("t") + wide, "t1")))).withColumn("by", F.explode(reach("y"))).withColumn("bx", F.explode(reach("x")))
 
-    def attended(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+class _Block:
+    """The windows of one block's pixels, place by place."""
+
+    def __init__(self, key: tuple, pdf: pd.DataFrame, radius: int, span: int, block: int, shift: bool):
         bt, by, bx = (int(k) for k in key)
         t, y, x = (pdf[c].to_numpy() for c in "tyx")
-        t_, y_, x_ = int(t.min()), int(y.min()), int(x.min())
-        shape = (int(t.max()) - t_ + 1, int(y.max()) - y_ + 1, int(x.max()) - x_ + 1)
-        values, labels = np.full(shape, np.nan), np.full(shape, -1, np.int64)
-        values[t - t_, y - y_, x - x_] = pdf["v"]
-        labels[t - t_, y - y_, x - x_] = pdf["spix"]
-        own = (t == bt) & (y // block == by) & (x // block == bx)
-        if not own.any():
-            return pd.DataFrame({"t": [], "y": [], "x": [], "attended": []})
-        t, y, x, mine, label = t[own], y[own], x[own], pdf["v"].to_numpy()[own], pdf["spix"].to_numpy()[own]
-        start = lambda at, r, lo, hi: np.clip(at - r, lo, np.maximum(lo, hi - 2 * r))
-        s = (start(t, span, pdf["t0"].iat[0], pdf["t1"].iat[0]), start(y, radius, 0, pdf["y1"].to_numpy()[own]), start(x, radius, 0, pdf["x1"].to_numpy()[own]))
-        top, low = np.zeros(len(t)), np.zeros(len(t))
-        for d in np.ndindex(2 * span + 1, 2 * radius + 1, 2 * radius + 1):
-            at = [a + k - b for a, k, b in zip(s, d, (t_, y_, x_), strict=True)]
-            there = np.all([(a >= 0) & (a < n) for a, n in zip(at, shape, strict=True)], axis=0)
-            at = tuple(np.where(there, a, 0) for a in at)
-            v = values[at]
-            there &= ~np.isnan(v)
+        self.least = (int(t.min()), int(y.min()), int(x.min()))
+        self.shape = tuple(int(a.max()) - b + 1 for a, b in zip((t, y, x), self.least, strict=True))
+        self.row = np.full(self.shape, -1, np.int64)
+        self.row[tuple(a - b for a, b in zip((t, y, x), self.least, strict=True))] = np.arange(len(pdf))
+        self.own = np.flatnonzero((t == bt) & (y // block == by) & (x // block == bx))
+        self.at = (t[self.own], y[self.own], x[self.own])
+        start = lambda at, r, lo, hi: np.clip(at - r, lo, np.maximum(lo, hi - 2 * r)) if shift else at - r
+        ends = [pdf[c].to_numpy()[self.own] for c in ("t0", "t1", "y1", "x1")]
+        self.start = (start(self.at[0], span, ends[0], ends[1]), start(self.at[1], radius, 0, ends[2]), start(self.at[2], radius, 0, ends[3]))
+        self.places = list(np.ndindex(2 * span + 1, 2 * radius + 1, 2 * radius + 1))
+
+    def rows(self) -> Iterator[np.ndarray]:
+        """For each place of the window the row of pdf that lies there, for all own pixels; -1 where there is none."""
+        for d in self.places:
+            at = [a + k - b for a, k, b in zip(self.start, d, self.least, strict=True)]
+            there = np.all([(a >= 0) & (a < n) for a, n in zip(at, self.shape, strict=True)], axis=0)
+            yield np.where(there, self.row[tuple(np.where(there, a, 0) for a in at)], -1)
+
+
+def _alike(cands: np.ndarray, probs: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The probability that two pixels are in one region: the sum over common candidates of the product."""
+    same = cands[own][:, :, None] == cands[other][:, None, :]
+    return (np.where(same, probs[own][:, :, None] * probs[other][:, None, :], 0.0)).sum(axis=(1, 2))
+
+
+def with_candidates(p: DataFrame, sims: DataFrame) -> DataFrame:
+    """Adds cands and probs, arrays of the candidates of each pixel (a bounded number) in order and their probabilities."""
+    each = sims.groupBy("t", "y", "x").agg(F.sort_array(F.collect_list(F.struct("cand", "p"))).alias("_c"))
+    return p.join(each, ["t", "y", "x"]).withColumns({"cands": F.col("_c.cand"), "probs": F.col("_c.p")}).drop("_c")
+
+
+def attention_windows(p: DataFrame, value: str, scale: float, radius: int, span: int = 0, same_region: bool = False, block: int = 32, soft: bool = False) -> DataFrame:
+    """Attention over windows in time and space: t, y, x, attended: the mean of the values in the window, weighted by exp(-scale x squared difference). A window has 2 span + 1 frames and
+    (2 radius + 1)^2 places; at a border it starts later or earlier, so that it stays whole where the raster is large enough. same_region: only pixels of the pixel's own region.
+    soft: weights are times the probability that both pixels are in one region, from cands and probs (see with_candidates).
+
+    Pixels go once to every block that a window around them can reach into; each block, bounded by its side and the radius, is one group of arrays."""
+    more = ["spix"] if same_region else ["cands", "probs"] if soft else []
+    rows = _window_blocks(p, value, radius, span, block, *more)
+
+    def attended(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(key, pdf, radius, span, block, True)
+        values = pdf["v"].to_numpy()
+        mine, top, low = values[b.own], np.zeros(len(b.own)), np.zeros(len(b.own))
+        labels = pdf["spix"].to_numpy() if same_region else None
+        cands, probs = (_padded(pdf["cands"], -1, np.int64), _padded(pdf["probs"], 0.0, float)) if soft else (None, None)
+        for other in b.rows() if len(b.own) else ():
+            there = other >= 0
             if same_region:
-                there &= labels[at] == label
-            w = np.where(there, np.exp(-scale * (np.where(there, v, 0) - mine) ** 2), 0.0)
-            top += w * np.where(there, v, 0)
+                there &= labels[other] == labels[b.own]
+            w = np.where(there, np.exp(-scale * (values[other] - mine) ** 2), 0.0)
+            if soft:
+                w *= _alike(cands, probs, b.own, other)
+            top += w * values[other]
             low += w
-        return pd.DataFrame({"t": t, "y": y, "x": x, "attended": top / low})
+        t, y, x = b.at
+        return pd.DataFrame({"t": t, "y": y, "x": x, "attended": top / (low + 1e-10 if soft else low)})
 
     return rows.groupBy("bt", "by", "bx").applyInPandas(attended, "t int, y int, x int, attended double")
 
 
+def similarity_conv(p: DataFrame, value: str, kernel: list[list[float]], normal: str = "sum", renormalised: bool = True, block: int = 32) -> DataFrame:
+    """Convolution with a given odd kernel whose weights are times the probability that a neighbour is in the pixel's region (cands and probs, see with_candidates), which is
+    divided by its sum or its maximum over the window (normal: sum or max). renormalised: weights are divided by the sum of their absolute values. Off the raster counts as 0."""
+    if normal not in ("sum", "max"):
+        raise ValueError("normal must be sum or max")
+    weights = np.array(kernel, float)
+    radius = len(weights) // 2
+    if weights.shape != (2 * radius + 1, 2 * radius + 1):
+        raise ValueError("kernels are square, with an odd side")
+    rows = _window_blocks(p, value, radius, 0, block, "cands", "probs")
+
+    def convolved(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(key, pdf, radius, 0, block, False)
+        t, y, x = b.at
+        if not len(b.own):
+            return pd.DataFrame({"t": t, "y": y, "x": x, "conv": []})
+        values, cands, probs = pdf["v"].to_numpy(), _padded(pdf["cands"], -1, np.int64), _padded(pdf["probs"], 0.0, float)
+        others = list(b.rows())
+        like = np.stack([np.where(o >= 0, _alike(cands, probs, b.own, o), 0.0) for o in others])
+        like /= 1e-5 + (like.sum(axis=0) if normal == "sum" else like.max(axis=0))
+        w = like * np.array([weights[d[1:]] for d in b.places])[:, None]
+        if renormalised:
+            w /= 1e-10 + np.abs(w).sum(axis=0)
+        return pd.DataFrame({"t": t, "y": y, "x": x, "conv": (w * np.stack([values[o] for o in others])).sum(axis=0)})
+
+    return rows.groupBy("bt", "by", "bx").applyInPandas(convolved, "t int, y int, x int, conv double")
+
+
+def present_softmax(p: DataFrame, means: DataFrame, sharp: float) -> DataFrame:
+    """t, y, x, spix, p: softmax of -sharp x squared colour distance over all regions that are present in the pixel's frame; regions of other frames take no part. The means of a
+    frame (t, spix, m_c0, m_c1, m_c2; a frame is bounded) are one row that its pixels meet, and the largest weight is taken out first, so no pixel has only zeros."""
+    table = means.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("spix", "m_c0", "m_c1", "m_c2"))).alias("_all"))
+    d = lambda m: sum((F.pow(F.col(c) - m[f"m_{c}"], 2) for c in ("c0", "c1", "c2")), F.lit(0.0))
+    j = p.select("t", "y", "x", "c0", "c1", "c2").join(table, "t")
+    j = j.withColumn("_d", F.transform("_all", lambda m: F.struct(d(m).alias("d"), m["spix"].alias("spix")))).withColumn("_least", F.array_min("_d")["d"])
+    j = j.withColumn("_e", F.transform("_d", lambda m: F.struct(m["spix"].alias("spix"), F.exp((F.col("_least") - m["d"]) * sharp).alias("e"))))
+    j = j.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda s, m: s + m["e"])).select("t", "y", "x", "_s", F.explode("_e").alias("n"))
+    return j.select("t", "y", "x", "n.spix", (F.col("n.e") / F.col("_s")).alias("p"))
+
+
 def principal_projection(rows: DataFrame, k: int) -> DataFrame:
     """From id, v (arrays of one length d): id, projected (k numbers): rows standardised over their own components, projected on the first k right singular vectors. Only the d x d sums of products reach the driver;
     each vector's largest component is made positive, since a singular vector has no sign of its own."""

@@ -47,3 +47,15 @@ def complete_settings(results: DataFrame, setting: list[str], item: str) -> Data
     """The settings whose results cover as many different items as the fullest setting, and how many."""
     n = results.groupBy(*setting).agg(F.count_distinct(item).alias("items"))
     return n.crossJoin(F.broadcast(n.agg(F.max("items").alias("_most")))).where("items = _most").drop("_most")
+
+
+def buffer_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """From a buffer of measurements (keys, metric, value): mean over the values that are there (neither null nor NaN; null if there are none), n of those, and n_all."""
+    there = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    return rows.groupBy(*keys, "metric").agg(F.avg(F.when(there, F.col("value"))).alias("mean"), F.count_if(there).alias("n"), F.count(F.lit(1)).alias("n_all"))
+
+
+def frame_columns(rows: DataFrame, keys: list[str], metrics: list[str], frames: int) -> DataFrame:
+    """From keys, frame, metric, value: one row per key with a column <metric>_<frame> for each metric and frame 0 to frames - 1; null where a value isn't there."""
+    cell = lambda m, t: F.max(F.when((F.col("metric") == m) & (F.col("frame") == t), F.col("value"))).alias(f"{m}_{t}")
+    return rows.groupBy(*keys).agg(*[cell(m, t) for m in metrics for t in range(frames)])

@@ -170,17 +170,23 @@ def parameters_of(m: DataFrame) -> DataFrame:
 def refined_with(p: DataFrame, prior: DataFrame, rounds: int, sigma2: float, beta: float) -> DataFrame:
     """Rounds of parameters and label moves, with a prior of the regions' covariances (t, spix, prior_count, p_xx, p_xy, p_yy); regions without one are as their pixels say."""
     from tessera.operators.lineage import cut
-    from tessera.operators.regions import map_update, moments
+    from tessera.operators.regions import moments
 
-    shape = ["i_xx", "i_xy", "i_yy", "logdet"]
     for _ in range(rounds):
-        m = cut(moments(p))
-        smooth = map_update(m, prior).select("t", "spix", *[F.col(c).alias(f"_{c}") for c in shape])
-        own = parameters_of(m).join(smooth, ["t", "spix"], "left")
-        p = move_all(p, cut(own.select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[F.coalesce(f"_{c}", c).alias(c) for c in shape])), sigma2, beta)
+        p = move_all(p, cut(smoothed_parameters(cut(moments(p)), prior)), sigma2, beta)
     return p
 
 
+def smoothed_parameters(m: DataFrame, prior: DataFrame) -> DataFrame:
+    """What move_labels needs of each region, from moments, with a prior's covariance where a region has one."""
+    from tessera.operators.regions import map_update
+
+    shape = ["i_xx", "i_xy", "i_yy", "logdet"]
+    smooth = map_update(m, prior).select("t", "spix", *[F.col(c).alias(f"_{c}") for c in shape])
+    own = parameters_of(m).join(smooth, ["t", "spix"], "left")
+    return own.select("t", "spix", "n", *[f"mu_{k}" for k in ("c0", "c1", "c2", "x", "y")], *[F.coalesce(f"_{c}", c).alias(c) for c in shape])
+
+
 def priors_of(p: DataFrame) -> DataFrame:
     from tessera.operators.regions import moments, summary
 
@@ -247,19 +253,19 @@ def refined(p: DataFrame, target: float, rounds: int, sigma2: float = 400.0, bet
     return out
 
 
-def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0, fresh: DataFrame | None = None) -> DataFrame:
-    """From pixels with half: t, spix, score, accepted; regions with an empty half, or with pixels in neither, aren't split. fresh (t, spix,
-    invalid_ratio): of regions that come from another frame the score is less by twice the share of their pixels that came along."""
+def half_sums(h: DataFrame, *more: Column) -> DataFrame:
+    """From pixels with half: t, spix and the sums that evidence() takes, of the region (f_), its first half (k_) and its second (s_); regions with an empty half, or with pixels in neither, aren't there."""
     sums = {"n": F.lit(1)} | {f"s_c{k}": F.col(f"c{k}") for k in range(3)} | {f"q_c{k}": F.col(f"c{k}") * F.col(f"c{k}") for k in range(3)}
     agg = []
     for name, cond in (("f", F.lit(True)), ("k", F.col("half") == 0), ("s", F.col("half") == 1)):
         agg += [F.sum(F.when(cond, v).otherwise(0)).cast("long").alias(f"{name}_{c}") for c, v in sums.items()]
-    g = h.groupBy("t", "spix").agg(*agg).where("k_n >= 1 and s_n >= 1 and k_n + s_n = f_n")
+    return h.groupBy("t", "spix").agg(*agg, *more).where("k_n >= 1 and s_n >= 1 and k_n + s_n = f_n")
+
+
+def split_scores(h: DataFrame, sigma2: float, split_alpha: float = 0.0) -> DataFrame:
+    """From pixels with half: t, spix, score, accepted. Regions that come from another frame have a rule of their own (operators/propagated.py)."""
     score = evidence("k_", sigma2) + evidence("s_", sigma2) - evidence("f_", sigma2) + split_alpha
-    if fresh is not None:
-        g = g.join(fresh.select("t", "spix", "invalid_ratio"), ["t", "spix"], "left")
-        score = score - F.coalesce((1 - F.col("invalid_ratio")) * 2, F.lit(0.0))
-    return g.select("t", "spix", score.alias("score")).withColumn("accepted", F.col("score") > -2)
+    return half_sums(h).select("t", "spix", score.alias("score")).withColumn("accepted", F.col("score") > -2)
 
 
 def transport(p: DataFrame, best: int, alpha: float, sharp: float, unit: float, side: float) -> DataFrame:

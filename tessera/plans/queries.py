@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import color, geometry
-from tessera.operators import assign, augment, components, metrics, neighbours, regions, reshape, segment, warp
+from tessera.operators import assign, augment, components, metrics, neighbours, propagated, regions, reshape, segment, warp
 from tessera.plans.pixels import PIX_SQL, WIDTH, height, missing, pixels, unit_channels
 from tessera.streaming import video
 
@@ -1078,3 +1078,135 @@ def remap_ids(p):
 @query(REGION_SQL + ", cf AS (SELECT *, row_number() OVER (PARTITION BY t, spix ORDER BY size DESC, region) - 1 AS k FROM cs), pe AS (SELECT t, spix, count(*) - 1 AS extra FROM cf GROUP BY t, spix), sa AS (SELECT t, spix, coalesce(sum(extra) OVER (PARTITION BY t ORDER BY spix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, max(spix) OVER (PARTITION BY t) AS top FROM pe) SELECT cf.t, cf.spix, region, CAST(CASE WHEN k = 0 THEN cf.spix ELSE top + first + k END AS BIGINT) AS spix_new FROM cf JOIN sa ON sa.t = cf.t AND sa.spix = cf.spix")
 def split_child_ids(p):
     return regions.child_ids(components.component_sizes(components.components(p))).select("t", "spix", "region", "spix_new")
+
+
+# --- windows with soft regions ------------------------------------------------------------------------------------------
+def _soft(p):
+    return assign.with_candidates(p, _sims(p))
+
+
+# windows of 3 frames and 3 x 3 places; like: the probability that both pixels are in one region
+SOFT = CANDS + SIMS + """, sz AS (SELECT t, max(y) AS y1, max(x) AS x1, (SELECT min(t) FROM pix) AS t0, (SELECT max(t) FROM pix) AS t1 FROM pix GROUP BY t),
+  st AS (SELECT p.t, y, x, c0, least(greatest(p.t - 1, t0), greatest(t0, t1 - 2)) AS ts, least(greatest(y - 1, 0), greatest(0, y1 - 2)) AS ys, least(greatest(x - 1, 0), greatest(0, x1 - 2)) AS xs FROM pix p JOIN sz ON sz.t = p.t),
+  wi AS (SELECT t, y, x, c0, ts + i AS bt, ys + j AS by_, xs + k AS bx FROM st, (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b, (SELECT unnest([0, 1, 2]) AS k) c),
+  wp AS (SELECT w.t, w.y, w.x, exp(-0.01*(b.c0 - w.c0)*(b.c0 - w.c0)) AS e, b.c0 AS v, sum(u.p * b.p) AS alike FROM wi w JOIN si u ON u.t = w.t AND u.y = w.y AND u.x = w.x JOIN si b ON b.t = w.bt AND b.y = w.by_ AND b.x = w.bx AND b.cand = u.cand GROUP BY w.t, w.y, w.x, w.c0, w.bt, w.by_, w.bx, b.c0)"""
+
+
+@query(SOFT + " SELECT t, y, x, round(sum(e * alike * v) / (sum(e * alike) + 1e-10), 5) AS attended FROM wp GROUP BY t, y, x")
+def video_soft_attention(p):
+    """Windows over time whose weights are times the probability that both pixels are in one region."""
+    return rounded(assign.attention_windows(_soft(p), "c0", 0.01, 1, 1, soft=True), "t", "y", "x", places=5)
+
+
+KERNEL = [[(2 - abs(i)) * (2 - abs(j)) / 16 for j in (-1, 0, 1)] for i in (-1, 0, 1)]
+CONV = CANDS + SIMS + ", lk AS (SELECT a.t, a.y, a.x, (2 - abs(b.y - a.y)) * (2 - abs(b.x - a.x)) / 16.0::DOUBLE AS kernel, b.c0 AS v, sum(a.p * b.p) AS alike FROM si a JOIN si b ON b.t = a.t AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.cand = a.cand GROUP BY a.t, a.y, a.x, b.y, b.x, b.c0)"
+
+
+@query(CONV + ", wt AS (SELECT t, y, x, v, kernel * alike / (sum(alike) OVER (PARTITION BY t, y, x) + 1e-5) AS w FROM lk) SELECT t, y, x, round(sum(w * v) / (sum(w) + 1e-10), 5) AS conv FROM wt GROUP BY t, y, x")
+def similarity_conv(p):
+    """A kernel's weights times the probability that a neighbour is in the pixel's region."""
+    return rounded(assign.similarity_conv(_soft(p), "c0", KERNEL), "t", "y", "x", places=5)
+
+
+@query(CONV + ", wt AS (SELECT t, y, x, v, kernel * alike / (max(alike) OVER (PARTITION BY t, y, x) + 1e-5) AS w FROM lk) SELECT t, y, x, round(sum(w * v), 5) AS conv FROM wt GROUP BY t, y, x")
+def similarity_conv_by_maximum(p):
+    return rounded(assign.similarity_conv(_soft(p), "c0", KERNEL, "max", renormalised=False), "t", "y", "x", places=5)
+
+
+@query(", m AS (SELECT t, spix, avg(c0) AS a, avg(c1) AS b, avg(c2) AS d FROM pix GROUP BY t, spix), e AS (SELECT p.t, y, x, m.a, exp(-0.01*((c0-a)*(c0-a) + (c1-b)*(c1-b) + (c2-d)*(c2-d))) AS e FROM pix p JOIN m ON m.t = p.t) SELECT t, y, x, count(*) AS present, round(sum(e * a) / sum(e), 5) AS pooled FROM e GROUP BY t, y, x")
+def present_softmax(p):
+    """Pixels against all regions of their own frame: how many are present, and their means pooled by probability."""
+    means = regions.pool_down(p).select("t", "spix", *[f"m_{c}" for c in C])
+    j = assign.present_softmax(p, means, 0.01).join(means.select("t", "spix", "m_c0"), ["t", "spix"])
+    return j.groupBy("t", "y", "x").agg(F.count(F.lit(1)).alias("present"), F.round(F.sum(F.col("p") * F.col("m_c0")), 5).alias("pooled"))
+
+
+# --- buffers of measurements ----------------------------------------------------------------------------------------------
+MEASURED = (
+    UNIT + UMEAN + OVER + """, bs AS (SELECT t, spix, max(n) AS best FROM ov GROUP BY t, spix),
+  me AS (SELECT u.t, 'psnr' AS metric, -10 * log10(avg(((c0-m_c0)*(c0-m_c0) + (c1-m_c1)*(c1-m_c1) + (c2-m_c2)*(c2-m_c2)) / 3)) AS value FROM un u JOIN um m ON u.t = m.t AND u.spix = m.spix GROUP BY u.t
+    UNION ALL SELECT b.t, 'asa', CASE WHEN b.t % 5 <> 4 THEN CAST(sum(best) AS DOUBLE) / max(f.n) END FROM bs b JOIN (SELECT t, count(*) AS n FROM pix GROUP BY t) f ON f.t = b.t GROUP BY b.t),
+  bu AS (SELECT CAST(floor(t / 7.0) AS INT) AS epoch, t % 7 AS frame, metric, value FROM me)"""
+)
+
+
+def _measured(p):
+    """psnr and asa of frames, seven of them an epoch; asa is NaN in every fifth frame, as where nothing was measured."""
+    psnr_ = metrics.pooling_psnr(unit_channels(p)).select("t", F.lit("psnr").alias("metric"), F.col("psnr").alias("value"))
+    asa_ = metrics.achievable_accuracy(p).select("t", F.lit("asa").alias("metric"), F.when(F.col("t") % 5 != 4, F.col("asa")).otherwise(F.lit(float("nan"))).alias("value"))
+    return psnr_.unionByName(asa_).select(F.floor(F.col("t") / 7).cast("int").alias("epoch"), (F.col("t") % 7).alias("frame"), "metric", "value")
+
+
+@query(MEASURED + " SELECT epoch, metric, round(avg(value), 6) AS mean, count(value) AS n, count(*) AS n_all FROM bu GROUP BY epoch, metric")
+def metric_buffer(p):
+    """Means over an epoch's frames that leave out what wasn't measured."""
+    return reshape.buffer_means(_measured(p), ["epoch"]).withColumn("mean", F.round("mean", 6))
+
+
+@query(MEASURED + " SELECT epoch, " + ", ".join(f"round(max(CASE WHEN metric = '{m}' AND frame = {t} THEN value END), 6) AS {m}_{t}" for m in ("psnr", "asa") for t in range(7)) + " FROM bu GROUP BY epoch")
+def metric_frames(p):
+    """A column for each measurement and frame of an epoch."""
+    out = reshape.frame_columns(_measured(p), ["epoch"], ["psnr", "asa"], 7)
+    return out.select("epoch", *[F.round(F.nanvl(c, F.lit(None)), 6).alias(c) for c in out.columns if c != "epoch"])
+
+
+# --- splits and merges of regions that came from the frame before; even labels stand for those ----------------------------
+def _came(p):
+    return p.where("spix % 2 = 0").select("t", "spix").distinct()
+
+
+def _halves(p):
+    gone = warp.shifted_labels(p).select("t", "y", "x", (F.col("spix") < 0).alias("_gone"))
+    return segment.grown(p.join(gone, ["t", "y", "x"], "left").withColumn("gone", F.coalesce("_gone", F.lit(True))).drop("_gone"))
+
+
+CAME_SPLIT = (
+    SHIFT + GROWN_SQL + ", hg AS (SELECT hf.*, coalesce(sh.spix, -1) < 0 AS gone FROM hf LEFT JOIN sh ON sh.t = hf.t AND sh.y = hf.y AND sh.x = hf.x)"
+    f", g AS (SELECT t, spix, {HALF_SUMS}, count(*) FILTER (half = 0 AND gone) AS kg, count(*) FILTER (half = 1 AND gone) AS zg FROM hg GROUP BY t, spix)"
+    f", sc AS (SELECT t, spix, spix % 2 = 0 AS came, CASE WHEN spix % 2 = 0 AND kg > zg THEN 1 ELSE 0 END AS kept, kg > zg AS swapped, {_evidence('kn', 'ks', 'kq')} + {_evidence('zn', 'zs', 'zq')} - {_evidence('fn', 'fs', 'fq')}"
+    " - 2 * (1 - CASE WHEN spix % 2 <> 0 THEN 1.0 WHEN kg > zg THEN zg / zn ELSE kg / kn END) AS score FROM g WHERE kn >= 1 AND zn >= 1 AND kn + zn = fn)"
+)
+
+
+def _came_splits(p):
+    return propagated.split_scores(_halves(p), _came(p), 0.5)
+
+
+@query(CAME_SPLIT + " SELECT t, spix, came, kept, swapped, round(score, 3) AS score, score > -2 AS accepted FROM sc")
+def split_score_propagated(p):
+    """Of regions that came along the half with fewer filled pixels keeps the id, and its own pixels count against the split."""
+    return _came_splits(p).withColumn("score", F.round("score", 3))
+
+
+@query(
+    CAME_SPLIT + MEAN_COV + ", tp AS (SELECT t, max(spix) AS top FROM pix GROUP BY t), nw AS (SELECT sc.t, spix, swapped, top + row_number() OVER (PARTITION BY sc.t ORDER BY spix) AS new FROM sc JOIN tp ON tp.t = sc.t WHERE score > -2),"
+    " pj AS (SELECT m.t, m.spix, m.n, m.xx, m.xy, m.yy, coalesce(swapped, FALSE) AS turned, new, CASE WHEN swapped THEN greatest(m.n / 2.0, 36.0) ELSE m.n / 2.0 END AS part FROM mc m LEFT JOIN nw ON nw.t = m.t AND nw.spix = m.spix)"
+    " SELECT t, spix, round(CASE WHEN turned THEN part ELSE n END, 6) AS prior_count, round(CASE WHEN turned THEN 1 ELSE xx END, 6) AS p_xx, round(CASE WHEN turned THEN 0 ELSE xy END, 6) AS p_xy, round(CASE WHEN turned THEN 1 ELSE yy END, 6) AS p_yy FROM pj"
+    " UNION ALL SELECT t, new, round(part, 6), 1, 0, 1 FROM pj WHERE new IS NOT NULL"
+)
+def split_priors(p):
+    """Priors of the kept and the new ids."""
+    splits = propagated.new_ids(p, _came_splits(p))
+    return rounded(propagated.split_priors(segment.priors_of(p), splits), "t", "spix")
+
+
+CAME_MERGE = MERGE_SQL + """, wn AS (SELECT t, k, f FROM (SELECT *, row_number() OVER (PARTITION BY t, k ORDER BY round(score, 6) DESC, f) AS r FROM sc WHERE score > -2 AND f % 2 <> k % 2) q WHERE r = 1),
+  wo AS (SELECT a.t, CASE WHEN a.f % 2 = 0 THEN a.k ELSE a.f END AS f, CASE WHEN a.f % 2 = 0 THEN a.f ELSE a.k END AS k FROM wn a LEFT JOIN wn b ON b.t = a.t AND b.f = a.k WHERE b.t IS NULL OR (b.k = a.f AND a.f % 2 = 0))"""
+
+
+def _came_claims(p):
+    pairs = propagated.mixed_pairs(segment.neighbour_pairs(p), _came(p))
+    scored = segment.merge_scores(regions.moments(p, squares=True), pairs, 0.5, 2.0)
+    return propagated.claims(scored.withColumn("score", F.round("score", 6)), pairs)
+
+
+@query(CAME_MERGE + " SELECT t, f, k FROM wo")
+def merge_claims_propagated(p):
+    """Of each pair exactly one region came along, and stays."""
+    return _came_claims(p)
+
+
+@query(CAME_MERGE + ", ns AS (SELECT t, spix, count(*) AS n FROM pix GROUP BY t, spix) SELECT a.t, a.spix, round(a.n + coalesce(sum(b.n), 0), 6)::DOUBLE AS prior_count FROM ns a LEFT JOIN wo g ON g.t = a.t AND g.f = a.spix LEFT JOIN wo w ON w.t = a.t AND w.k = a.spix LEFT JOIN ns b ON b.t = w.t AND b.spix = w.f WHERE g.t IS NULL GROUP BY a.t, a.spix, a.n")
+def merged_priors(p):
+    """Counts of the priors of regions that go are added to those of the regions that stay."""
+    return propagated.merged_priors(segment.priors_of(p), _came_claims(p)).select("t", "spix", F.round("prior_count", 6).alias("prior_count"))
