@@ -283,10 +283,12 @@ def present_softmax(p: DataFrame, means: DataFrame, sharp: float) -> DataFrame:
     table = means.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("spix", "m_c0", "m_c1", "m_c2"))).alias("_all"))
     d = lambda m: sum((F.pow(F.col(c) - m[f"m_{c}"], 2) for c in ("c0", "c1", "c2")), F.lit(0.0))
     j = p.select("t", "y", "x", "c0", "c1", "c2").join(table, "t")
-    j = j.withColumn("_d", F.transform("_all", lambda m: F.struct(d(m).alias("d"), m["spix"].alias("spix")))).withColumn("_least", F.array_min("_d")["d"])
-    j = j.withColumn("_e", F.transform("_d", lambda m: F.struct(m["spix"].alias("spix"), F.exp((F.col("_least") - m["d"]) * sharp).alias("e"))))
-    j = j.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda s, m: s + m["e"])).select("t", "y", "x", "_s", F.explode("_e").alias("n"))
-    return j.select("t", "y", "x", "n.spix", (F.col("n.e") / F.col("_s")).alias("p"))
+    j = j.withColumn("_d", F.transform("_all", lambda m: F.struct(m["spix"].alias("spix"), (-d(m) * sharp).alias("v"))))
+    # the largest exponent and the sum in one pass: a column that a lambda refers to would be made again for each element
+    more = lambda a, m: F.struct(F.greatest(a["top"], m["v"]).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], m["v"])) + F.exp(m["v"] - F.greatest(a["top"], m["v"]))).alias("sum"))
+    j = j.withColumn("_n", F.aggregate("_d", F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("sum")), more))
+    j = j.select("t", "y", "x", "_n", F.explode("_d").alias("n"))
+    return j.select("t", "y", "x", "n.spix", (F.exp(F.col("n.v") - F.col("_n.top")) / F.col("_n.sum")).alias("p"))
 
 
 def principal_projection(rows: DataFrame, k: int) -> DataFrame:

@@ -1089,7 +1089,8 @@ def _soft(p):
 SOFT = CANDS + SIMS + """, sz AS (SELECT t, max(y) AS y1, max(x) AS x1, (SELECT min(t) FROM pix) AS t0, (SELECT max(t) FROM pix) AS t1 FROM pix GROUP BY t),
   st AS (SELECT p.t, y, x, c0, least(greatest(p.t - 1, t0), greatest(t0, t1 - 2)) AS ts, least(greatest(y - 1, 0), greatest(0, y1 - 2)) AS ys, least(greatest(x - 1, 0), greatest(0, x1 - 2)) AS xs FROM pix p JOIN sz ON sz.t = p.t),
   wi AS (SELECT t, y, x, c0, ts + i AS bt, ys + j AS by_, xs + k AS bx FROM st, (SELECT unnest([0, 1, 2]) AS i) a, (SELECT unnest([0, 1, 2]) AS j) b, (SELECT unnest([0, 1, 2]) AS k) c),
-  wp AS (SELECT w.t, w.y, w.x, exp(-0.01*(b.c0 - w.c0)*(b.c0 - w.c0)) AS e, b.c0 AS v, sum(u.p * b.p) AS alike FROM wi w JOIN si u ON u.t = w.t AND u.y = w.y AND u.x = w.x JOIN si b ON b.t = w.bt AND b.y = w.by_ AND b.x = w.bx AND b.cand = u.cand GROUP BY w.t, w.y, w.x, w.c0, w.bt, w.by_, w.bx, b.c0)"""
+  wu AS MATERIALIZED (SELECT w.*, cand, p FROM wi w JOIN si u ON u.t = w.t AND u.y = w.y AND u.x = w.x),
+  wp AS (SELECT w.t, w.y, w.x, exp(-0.01*(b.c0 - w.c0)*(b.c0 - w.c0)) AS e, b.c0 AS v, w.p * b.p AS alike FROM wu w JOIN si b ON b.t = w.bt AND b.y = w.by_ AND b.x = w.bx AND b.cand = w.cand)"""
 
 
 @query(SOFT + " SELECT t, y, x, round(sum(e * alike * v) / (sum(e * alike) + 1e-10), 5) AS attended FROM wp GROUP BY t, y, x")
