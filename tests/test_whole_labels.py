@@ -32,3 +32,9 @@ def test_distinct_ids_of_all_frames(spark, labels):
     got, want = against_sql(spark, "distinct_ids")
     assert got == want == [(k,) for k in labels if k >= 20]
     assert len(got) == 117  # the labels of one frame are 109 of them
+
+
+def test_compact_ids_of_all_frames(spark, labels):
+    got, want = against_sql(spark, "compact_ids")
+    assert got == want == [(k, 20 + r) for r, k in enumerate(3 * k + 1 for k in labels if 3 * k + 1 >= 20)]
+    assert len(got) == 130
