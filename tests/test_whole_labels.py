@@ -38,3 +38,20 @@ def test_compact_ids_of_all_frames(spark, labels):
     got, want = against_sql(spark, "compact_ids")
     assert got == want == [(k, 20 + r) for r, k in enumerate(3 * k + 1 for k in labels if 3 * k + 1 >= 20)]
     assert len(got) == 130
+
+
+def test_factorize_of_all_frames(spark, labels):
+    got, want = against_sql(spark, "factorize")
+    assert got == want and [k for k, _ in got] == labels
+    assert sorted(c for _, c in got) == list(range(137))
+
+
+def test_factorize_with_labels_first_seen_in_a_short_last_frame(spark):
+    """The first raster's second frame is one short line of the larger of two line numbers: its labels come before those of the second raster."""
+    from tessera.operators import regions
+    from tessera.plans.pixels import HEIGHT, TURNS, whole
+
+    rows = [(0, 0, 0, 0), (0, HEIGHT - 1, 63, 127), (TURNS, 0, 0, 0), (TURNS, 0, 9, 1), (1, 0, 0, 1), (1, 8, 0, 8)]
+    p = spark.createDataFrame(rows, "t int, y int, x int, spix int")
+    assert sorted(map(tuple, whole(p).collect())) == [(0, 0, 0, 0), (0, 127, 63, 127), (0, 128, 0, 128), (0, 128, 9, 129), (1, 0, 0, 1), (1, 8, 0, 8)]
+    assert {r.spix: r.code for r in regions.factorize(whole(p)).collect()} == {0: 0, 127: 1, 128: 2, 129: 3, 1: 4, 8: 5}
