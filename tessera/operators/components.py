@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import nearness
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, dropped
 from tessera.operators.neighbours import along_column, along_row, four
 
 
@@ -16,12 +16,14 @@ def stars(edges: DataFrame, rounds: int = 40) -> DataFrame:
     around it, until nothing changes (the number of rounds grows with the logarithm of a component, not its diameter)."""
     now, mark = cut(edges), None
     for _ in range(rounds):
+        table = now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         moved = now.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         now = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        dropped(table)
         row = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if row == mark:
             return now
@@ -39,7 +41,8 @@ def components(p: DataFrame, label: str = "spix", rounds: int = 40) -> DataFrame
     starts = F.coalesce(F.lag(label).over(along_row()) != F.col(label), F.lit(True))
     runs = cut(p.withColumn("_run", F.max(F.when(starts, code)).over(along_row().rowsBetween(W.unboundedPreceding, 0))))
     me = F.struct(F.col(label).alias("l"), F.col("_run").alias("r"))
-    three = runs.withColumn("_me", me).withColumn("_three", F.array(F.lag("_me").over(along_row()), F.col("_me"), F.lead("_me").over(along_row())))
+    # only what the windows read, dealt out by frame: both share one exchange
+    three = runs.select("t", "y", "x", label, "_run").repartition("t").withColumn("_me", me).withColumn("_three", F.array(F.lag("_me").over(along_row()), F.col("_me"), F.lead("_me").over(along_row())))
     up = three.withColumn("_up", F.lag("_three").over(along_column())).select(F.col("_run").alias("u"), F.col(label).alias("_l"), F.explode("_up").alias("o"))
     edges = up.where((F.col("o.l") == F.col("_l")) & (F.col("o.r") < F.col("u"))).select("u", F.col("o.r").alias("v")).distinct()
     roots = stars(edges, rounds)
@@ -131,12 +134,13 @@ def bounded(p: DataFrame, least: float = 0.3, most: float = 3.0, rounds: int = 4
     regions join may so become larger than the upper bound."""
     size = p.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), (F.max("spix") + 1).alias("_k"))
     size = size.select("t", F.floor(F.col("_n") / F.col("_k") * least).alias("_least"), F.floor(F.col("_n") / F.col("_k") * most).alias("_most"))
-    whole = cut(components(p, rounds=rounds))
+    whole = cut(components(p.select("t", "y", "x", "spix"), rounds=rounds))
     wide = whole.groupBy("t", "region").agg(F.count(F.lit(1)).alias("_size")).join(size, "t")
     side = F.greatest(F.floor(F.sqrt("_most")), F.lit(1))
-    q = whole.join(wide, ["t", "region"]).withColumn("_tile", F.when(F.col("_size") > F.col("_most"), F.concat_ws(":", F.floor(F.col("y") / side), F.floor(F.col("x") / side))).otherwise(""))
-    q = q.withColumn("_piece", F.concat_ws("/", "region", "_tile")).drop("region", "_size", "_tile", "_least", "_most")
+    q = whole.join(wide, ["t", "region"]).withColumn("_tile", F.when(F.col("_size") > F.col("_most"), F.floor(F.col("y") / side) * (1 << 20) + F.floor(F.col("x") / side)).otherwise(-1))
+    q = q.select("t", "y", "x", "spix", F.struct("region", "_tile").alias("_piece"))
     q = cut(components(q, "_piece", rounds).drop("_piece"))
+    dropped(whole)
     sizes = cut(q.groupBy("t", "region").agg(F.count(F.lit(1)).alias("size")).join(size.select("t", "_least"), "t"))
     edges = cut(_borders(q))
     known = cut(sizes.select("t", "region", F.col("region").alias("root")))
@@ -149,14 +153,16 @@ def bounded(p: DataFrame, least: float = 0.3, most: float = 3.0, rounds: int = 4
             return q.join(known, ["t", "region"]).select("t", "y", "x", "spix", F.col("root").alias("region"))
         to = stars(picks.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rounds).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
         moved = lambda df, c: df.join(to, F.col(c) == F.col("_u"), "left").withColumn(c, F.coalesce("_v", c)).drop("_u", "_v")
+        old = sizes, edges, known, picks
         sizes = cut(moved(sizes, "region").groupBy("t", "region").agg(F.sum("size").alias("size"), F.first("_least").alias("_least")))
         edges = cut(moved(moved(edges, "u"), "v").where("u != v").groupBy("t", "u", "v").agg(F.sum("w").alias("w")))
         known = cut(moved(known, "root"))
+        dropped(*old)
     raise RuntimeError(f"regions are still too small after {rounds} rounds")
 
 
 def _borders(q: DataFrame) -> DataFrame:
     """t, u, v, w: how many pairs of neighbouring pixels two regions have, both ways."""
-    two = q.select("t", F.col("region").alias("u"), F.lead("region").over(along_row()).alias("_e"), F.lead("region").over(along_column()).alias("_s"))
+    two = q.select("t", "y", "x", "region").repartition("t").select("t", F.col("region").alias("u"), F.lead("region").over(along_row()).alias("_e"), F.lead("region").over(along_column()).alias("_s"))
     each = two.select("t", "u", F.explode(F.array("_e", "_s")).alias("v")).where("v is not null and u != v")
     return each.union(each.select("t", "v", "u")).groupBy("t", "u", "v").agg(F.count(F.lit(1)).alias("w"))
