@@ -23,11 +23,17 @@ def grid(*axes: DataFrame) -> DataFrame:
 
 def tiled_mean(p: DataFrame, value: str, size: int, step: int) -> DataFrame:
     """Every pixel goes to the tiles (of ``size``, every ``step``) that cover it, each tile is centred on its mean, and tiles are averaged where they overlap."""
-    first = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - size) / step) + 1)
-    each = p.select("t", "y", "x", F.col(value).alias("v"), F.explode(F.sequence(first("y"), F.floor(F.col("y") / step))).alias("ty"))
-    each = each.withColumn("tx", F.explode(F.sequence(first("x"), F.floor(F.col("x") / step))))
-    mean = each.groupBy("t", "ty", "tx").agg(F.avg("v").alias("m"))
-    return each.join(mean, ["t", "ty", "tx"]).groupBy("t", "y", "x").agg(F.avg(F.col("v") - F.col("m")).alias("tiled"))
+    import math
+
+    # tiles are made of cells, so all pixels of a cell lie in the same tiles; only cells are repeated for each tile
+    side = math.gcd(size, step)
+    first = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) * side - size) / step) + 1)
+    rows = p.select("t", "y", "x", F.col(value).alias("v"), *[F.floor(F.col(c) / side).alias(f"_c{c}") for c in "yx"])
+    cells = rows.groupBy("t", "_cy", "_cx").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    each = cells.withColumn("ty", F.explode(F.sequence(first("_cy"), F.floor(F.col("_cy") * side / step)))).withColumn("tx", F.explode(F.sequence(first("_cx"), F.floor(F.col("_cx") * side / step))))
+    mean = each.groupBy("t", "ty", "tx").agg((F.sum("s") / F.sum("n")).alias("m"))
+    around = each.select("t", "_cy", "_cx", "ty", "tx").join(mean.hint("merge"), ["t", "ty", "tx"]).groupBy("t", "_cy", "_cx").agg(F.avg("m").alias("m"))
+    return rows.join(around.hint("merge"), ["t", "_cy", "_cx"]).select("t", "y", "x", (F.col("v") - F.col("m")).alias("tiled"))
 
 
 def to_unit_range(df: DataFrame, channels: list[str]) -> DataFrame:
